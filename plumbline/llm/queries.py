@@ -8,13 +8,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.formatting import Collapsed, collapse_formatting
+from plumbline.llm.lookalike import consistent_turns, equal_looking
 from plumbline.llm.near import near_groups
-from plumbline.llm.tables import edge_type, sql_trimmed, table, upper_id
+from plumbline.llm.overlap import Overlap, split_overlap
+from plumbline.llm.tables import edge_type, plain_label, sql_trimmed, table, upper_id
 from plumbline.scratch import Scratch
 
 CONFIRMED = ("exact_semantic_signature", "char_ngram", "token_jaccard")
 
 
+def _collapsed(spark: SparkSession, sf_dir: str) -> Collapsed:
+    return collapse_formatting(table(spark, sf_dir, "scenarios"), "scenario_id", "dialogue", "state", Scratch(spark))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of groups that differ in formatting only."""
+    return _collapsed(spark, sf_dir).members.select("group_id", F.col("id").alias("scenario_id"))
+
+
+def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that remain, with the number of copies of each."""
+    return _collapsed(spark, sf_dir).records
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of dialogues that look the same and are stored differently."""
+    return equal_looking(table(spark, sf_dir, "scenarios"), "scenario_id", "dialogue")
+
+
+def p2_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn in its consistent form."""
+    rows = table(spark, sf_dir, "scenarios").select("scenario_id", consistent_turns("dialogue.text").alias("texts"))
+    return rows.select("scenario_id", F.posexplode("texts").alias("turn", "text"))
+
+
+_SPLIT_LABELS = ("development", "heldout")
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> Overlap:
+    rows = table(spark, sf_dir, "scenarios").withColumn("split", plain_label("split"))
+    return split_overlap(rows, "scenario_id", "dialogue", "split", *_SPLIT_LABELS, Scratch(spark))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a development and a heldout scenario that are linked."""
+    return _splits(spark, sf_dir).pairs
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each split and suite: scenarios, those in a cross-split pair, and the pairs; for heldout the mean coverage."""
+    found = _splits(spark, sf_dir)
+    rows = table(spark, sf_dir, "scenarios").select("scenario_id", plain_label("split").alias("split"), "suite")
+    ends = found.pairs.select(F.explode(F.array("left_id", "right_id")).alias("scenario_id"))
+    ends = ends.groupBy("scenario_id").agg(F.count("*").alias("n_pairs"))
+    rows = rows.where("split IN ('development', 'heldout')").join(ends, "scenario_id", "left")
+    rows = rows.join(found.coverage.withColumnRenamed("id", "scenario_id"), "scenario_id", "left")
+    return rows.groupBy("split", "suite").agg(
+        F.count("*").alias("n_scenarios"),
+        F.count("n_pairs").alias("n_overlapping"),
+        F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"),
+        F.round(F.avg("coverage"), 6).alias("mean_coverage"),
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of near-duplicate groups."""
     groups = near_groups(table(spark, sf_dir, "scenarios"), "scenario_id", "dialogue", Scratch(spark))
@@ -52,6 +109,12 @@ SELECT n_members, count(*) AS n_groups FROM (SELECT count(*) AS n_members FROM g
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_records": p1_records,
+    "p2_found": p2_found,
+    "p2_dialogues": p2_dialogues,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_sizes": p5_sizes,
