@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -18,28 +16,9 @@ from pyspark.sql import types as T
 THRESHOLD = 0.8
 
 
-def _class_of(keep: bool) -> str:
-    """A regular-expression class of all code points that are (not) letters or digits."""
-    spans, start = [], None
-    for point in range(sys.maxunicode + 2):
-        inside = point <= sys.maxunicode and chr(point).isalnum() == keep
-        if inside and start is None:
-            start = point
-        elif not inside and start is not None:
-            spans.append(f"\\U{start:08x}-\\U{point - 1:08x}")
-            start = None
-    return "[" + "".join(spans) + "]+"
-
-
-_NOT_ALNUM: re.Pattern | None = None
-
-
 def comparison_text(text: str) -> str:
     """Compatibility form, lower case, letters and digits only."""
-    global _NOT_ALNUM  # noqa: PLW0603 - built once for each worker, it takes a third of a second
-    if _NOT_ALNUM is None:
-        _NOT_ALNUM = re.compile(_class_of(keep=False))
-    return _NOT_ALNUM.sub("", unicodedata.normalize("NFKC", text).lower())
+    return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).lower()))
 
 
 @F.pandas_udf(T.StringType())
