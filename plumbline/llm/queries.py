@@ -12,9 +12,13 @@ from plumbline.llm.formatting import Collapsed, collapse_formatting
 from plumbline.llm.lookalike import consistent_turns, equal_looking
 from plumbline.llm.near import near_groups
 from plumbline.llm.overlap import Overlap, split_overlap
+from plumbline.llm.mixture import Mixture, mix
+from plumbline.llm.splits import assign_splits, broken_groups
 from plumbline.llm.tables import edge_type, plain_label, sql_trimmed, table, upper_id
+from plumbline.llm.tokens import encode
 from plumbline.scratch import Scratch
 
+RELATING = ("leakage_component_id", "family_id")
 CONFIRMED = ("exact_semantic_signature", "char_ngram", "token_jaccard")
 
 
@@ -91,6 +95,61 @@ def p5_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("n_members").agg(F.count("*").alias("n_groups"))
 
 
+def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "scenarios")
+    plain = [plain_label(c).alias(c) for c in (*RELATING, "split")]
+    return rows.select("scenario_id", *plain, F.col("label.primary_action").alias("action"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of related groups that the stored splits tear apart."""
+    found = broken_groups(_related(spark, sf_dir), "scenario_id", RELATING, "split", _SPLIT_LABELS, Scratch(spark))
+    return found.select("group_id", F.col("id").alias("scenario_id"))
+
+
+def p7_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scenario with its new split."""
+    targets = table(spark, sf_dir, "split_targets")
+    placed = assign_splits(_related(spark, sf_dir), "scenario_id", RELATING, "action", targets, Scratch(spark))
+    return placed.select(F.col("id").alias("scenario_id"), "split_name")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each split."""
+    counts = p7_assigned(spark, sf_dir).groupBy("split_name").agg(F.count("*").alias("n_scenarios"))
+    rows = table(spark, sf_dir, "split_targets").join(counts, "split_name", "left").fillna(0, ["n_scenarios"])
+    whole = table(spark, sf_dir, "scenarios").agg(F.count("*").alias("n"))
+    return rows.join(whole).select("split_name", "target_share", (F.col("n_scenarios") / F.col("n")).alias("actual_share"), "n_scenarios")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens of each source."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", plain_label("source").alias("source"))
+    sizes = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n"))
+    found = sources.join(sizes, "doc_id").groupBy("source")
+    return found.agg(F.count("*").alias("n_documents"), F.sum(F.when(F.col("n") >= 0, F.col("n"))).alias("n_tokens"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    return mix(documents, targets, "doc_id", "text", "source", Scratch(spark))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each copy of a document in the mixture, in shuffled order."""
+    return _mixture(spark, sf_dir).rows
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixture(spark, sf_dir).report
+
+
 _LEFT, _RIGHT = f"upper({sql_trimmed('left_id')})", f"upper({sql_trimmed('right_id')})"
 _EDGES = f"""
 edges AS (
@@ -102,7 +161,23 @@ reach AS (SELECT a AS v, a AS w FROM both_ways UNION SELECT r.v, e.b FROM reach
 grouped AS (SELECT min(w) AS group_id, v AS scenario_id FROM reach GROUP BY v)
 """
 
+_COMPONENT, _FAMILY, _SPLIT = (f"lower({sql_trimmed(c)})" for c in (*RELATING, "split"))
+_RELATED = f"""
+rows AS (
+  SELECT scenario_id, {_SPLIT} AS split, '0:' || {_COMPONENT} AS c, '1:' || {_FAMILY} AS f, coalesce(c, f, '-:' || scenario_id) AS node
+  FROM scenarios),
+ties AS (SELECT c AS a, f AS b FROM rows WHERE c IS NOT NULL AND f IS NOT NULL),
+both_ways AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties),
+reach AS (SELECT a AS v, a AS w FROM both_ways UNION SELECT r.v, e.b FROM reach r JOIN both_ways e ON r.w = e.a),
+rooted AS (SELECT v AS node, min(w) AS root FROM reach GROUP BY v),
+placed AS (SELECT scenario_id, split, coalesce(root, rows.node) AS root FROM rows LEFT JOIN rooted ON rows.node = rooted.node),
+broken AS (
+  SELECT root, min(scenario_id) AS group_id FROM placed GROUP BY root
+  HAVING bool_or(split = 'development') AND bool_or(split = 'heldout'))
+"""
+
 SQL = {
+    "p7_found": f"WITH RECURSIVE {_RELATED} SELECT group_id, scenario_id FROM placed JOIN broken USING (root)",
     "p5_found": f"WITH RECURSIVE {_EDGES} SELECT group_id, scenario_id FROM grouped",
     "p5_sizes": f"""WITH RECURSIVE {_EDGES}
 SELECT n_members, count(*) AS n_groups FROM (SELECT count(*) AS n_members FROM grouped GROUP BY group_id) GROUP BY n_members""",
@@ -118,4 +193,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_sizes": p5_sizes,
+    "p7_found": p7_found,
+    "p7_assigned": p7_assigned,
+    "p7_report": p7_report,
+    "p8_ids": p8_ids,
+    "p8_counts": p8_counts,
+    "p9_mixture": p9_mixture,
+    "p9_report": p9_report,
 }
