@@ -13,6 +13,7 @@ from plumbline.llm.lookalike import consistent_turns, equal_looking
 from plumbline.llm.near import near_groups
 from plumbline.llm.overlap import Overlap, split_overlap
 from plumbline.llm.mixture import Mixture, mix
+from plumbline.llm.sentences import sentences
 from plumbline.llm.splits import assign_splits, broken_groups
 from plumbline.llm.tables import edge_type, plain_label, sql_trimmed, table, upper_id
 from plumbline.llm.tokens import encode
@@ -150,6 +151,18 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every sentence of every document ends."""
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "end_char")
+
+
+def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and their characters for each language label as stored."""
+    labels = table(spark, sf_dir, "documents").select("doc_id", plain_label("lang").alias("lang"))
+    found = sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").join(labels, "doc_id")
+    return found.groupBy("lang").agg(F.count("*").alias("n_sentences"), F.sum(F.col("end_char") - F.col("start_char")).alias("n_chars"))
+
+
 _LEFT, _RIGHT = f"upper({sql_trimmed('left_id')})", f"upper({sql_trimmed('right_id')})"
 _EDGES = f"""
 edges AS (
@@ -200,4 +213,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_counts": p8_counts,
     "p9_mixture": p9_mixture,
     "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_lengths": p10_lengths,
 }

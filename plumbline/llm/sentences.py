@@ -10,6 +10,7 @@ line break always ends a sentence.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +42,7 @@ _REFERENCES = {
     "ar": "ص ج ت",
 }
 _CLOSING = {
-    "en": "etc Inc Ltd Co Corp Bros LLC Jr Sr a.m p.m U.S U.K U.N E.U Ph.D B.A M.A no",
+    "en": "etc Inc Ltd Co Corp Bros LLC Jr a.m p.m U.S U.K U.N E.U Ph.D B.A M.A no",
     "de": "usw usf etc u.s.w u.s.f GmbH e.V Co Jan Feb Aug Sept Okt Nov Dez",
     "fr": "etc s.a s.a.r.l Cie",
     "es": "etc S.A S.L Cía EE.UU a.m p.m",
@@ -54,12 +55,20 @@ _MONTHS_DE = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|
 #: What plainly begins a sentence: a capital or a letter without case, with an opener before it or none.
 _BEGINS = r"""["'“„«‹「『‘(（\[【¿¡]*[\p{Lu}\p{Lt}\p{Lo}]|["“„«‹「『(（\[【¿¡]"""
 _BLANK = r"[\p{White_Space}\p{Cf}]"
-_WORD_START = r"(?<![\p{L}\p{M}\p{N}.])"
+#: A word may start right after a letter of a script that writes no blanks, as in "書類No.".
+_WORD_START = r"(?<![\p{Latin}\p{Devanagari}\p{Arabic}\p{M}\p{N}.])"
+
+
+# German abbreviations of two words.
+_PAIRS_DE = "|".join(
+    rf"{a}\.{_BLANK}?{b}|{a}"
+    for a, b in (x.split() for x in ("z B", "d h", "u a", "z T", "o g", "i V", "i A", "s o", "s u", "m E", "u U", "z Zt"))
+)
 
 
 def _either(words: str) -> str:
     found = sorted({w for w in words.split()}, key=len, reverse=True)
-    both = {x for w in found for x in (w, w[0].upper() + w[1:])}
+    both = {unicodedata.normalize(form, x) for w in found for x in (w, w[0].upper() + w[1:]) for form in ("NFC", "NFD")}
     return "|".join(regex.escape(w) for w in sorted(both, key=lambda w: (-len(w), w)))
 
 
@@ -67,7 +76,8 @@ def _language_rules(language: str) -> list[tuple[bool, str, str]]:
     rules = []
     if language == "de":
         rules.append((JOIN, r"(?<!\d)\d{1,2}\.", rf"{_BLANK}*(?:{_MONTHS_DE})\b"))
-        rules.append((JOIN, rf"{_WORD_START}(?:z|d|u|o|i)\.", rf"{_BLANK}?\p{{L}}"))
+        # Abbreviations of two words and their second halves.
+        rules.append((JOIN, rf"{_WORD_START}(?:{_PAIRS_DE})\.", ""))
     if language == "en":
         # The answer "no." is no number: it refers to one only if one follows.
         rules.append((BREAK, rf"{_WORD_START}no\.", rf"{_BLANK}+\p{{Lu}}\p{{Ll}}"))
