@@ -25,18 +25,19 @@ class Related(NamedTuple):
     roots: DataFrame
 
 
-def relate(records: DataFrame, id_column: str, by: Sequence[str], keep: Sequence[str], scratch: Scratch) -> Related:
+def relate(records: DataFrame, id_column: str, by: Sequence[str], keep: tuple[str, str], scratch: Scratch) -> Related:
     """Which records share a value in one of ``by``, directly or through others.
 
     The graph has a vertex for each value, not for each record: a record ties its own
     values together, and equal ties are counted once before any graph work. A value that
     a third of all rows share is therefore one vertex. Null values relate nothing; a
-    record without any value stands alone. ``id_column`` is unique, or its rows are alike.
+    record without any value stands alone. ``keep`` is a column to carry along and its new name.
     """
     values = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(c))) for i, c in enumerate(by)]
     alone = F.concat(F.lit("-:"), F.col(id_column).cast("string"))
-    rows = records.select(F.col(id_column).alias("id"), *keep, F.array_compact(F.array(*values)).alias("values"), alone.alias("alone"))
-    rows = rows.select("id", *keep, "values", F.coalesce(F.get("values", F.lit(0)), "alone").alias("node"))
+    column, name = keep
+    rows = records.select(F.col(id_column).alias("id"), F.col(column).alias(name), F.array_compact(F.array(*values)).alias("values"), alone.alias("alone"))
+    rows = rows.select("id", name, "values", F.coalesce(F.get("values", F.lit(0)), "alone").alias("node"))
     ties = rows.where("size(values) > 1").select("node", F.explode(F.slice("values", 2, len(by))).alias("other")).distinct()
     roots = components(ties, "node", "other", scratch).select(F.col("id").alias("node"), F.col("group_id").alias("root"))
     return Related(rows.drop("values"), roots)
@@ -52,7 +53,7 @@ def broken_groups(records: DataFrame, id_column: str, by: Sequence[str], split:
     Rows with another or a null split belong to their group; ``group_id`` is its smallest
     id. Repeated rows are given once; an empty table gives an empty result.
     """
-    related = relate(records, id_column, by, [F.col(split).alias("split")], scratch)
+    related = relate(records, id_column, by, (split, "split"), scratch)
     rows = related.rows
     # Reduced to one row a node before roots are looked up.
     nodes = rows.groupBy("node").agg(
@@ -126,7 +127,7 @@ def assign_splits(records: DataFrame, id_column: str, by: Sequence[str], label:
     shares = [(r.split_name, r.target_share) for r in targets.orderBy("split_name").limit(101).collect()]
     if not 0 < len(shares) <= 100 or abs(sum(s for _, s in shares) - 1) > 1e-9:
         raise ValueError("targets must be 1 to 100 shares that add up to 1")
-    related = relate(records, id_column, by, [F.col(label).alias("label")], scratch)
+    related = relate(records, id_column, by, (label, "label"), scratch)
     counted = related.rows.groupBy("node", "label").agg(F.count("*").alias("n"))
     per_label = _with_root(counted, related.roots).groupBy("root", "label").agg(F.sum("n").alias("n"))
     groups = per_label.groupBy("root").agg(
