@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from plumbline.plans import delivery
+from plumbline.plans import delivery, scored
 
-FLAGSHIP = "p6_found"
+FLAGSHIP = "score_metrics"
 
 
 def modules() -> list[ModuleType]:
     """Modules with ``QUERIES`` and ``SQL``."""
-    return [delivery]
+    return [scored, delivery]
