@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from plumbline.plans import delivery, scored
+from plumbline.plans import delivery, ruled, scored
 
 FLAGSHIP = "score_metrics"
 
 
 def modules() -> list[ModuleType]:
     """Modules with ``QUERIES`` and ``SQL``."""
-    return [scored, delivery]
+    return [scored, ruled, delivery]
