@@ -1,21 +1,23 @@
 """Records of one split that occur, exactly or almost, among the records of another.
 
-The comparison text of every evaluation record is cut into passages of LENGTH characters
-side by side. Distinct passages go to shards of bounded size; each becomes one
-Aho-Corasick automaton, and every training text is scanned once by every automaton, so
-the work is the length of the training texts times the number of shards, and each
-position of a training text gives one match at most. The intervals of an evaluation
-record that were matched merge into its coverage.
-
-Which pairs can be similar enough follows from counting: an edit costs a text at least
-four of its pieces for every two passages it damages, so a text of n characters that is
-linked (similarity 0.8) has at most n / 14 damaged passages. The rarest n / 14 + 1
-passages of a record therefore include one that its partner holds unchanged; only these
-propose pairs, which keeps common phrases from proposing any. Every pair is then
-confirmed on the exact pieces.
-
-Shards are files in the shared folder that the tasks read by themselves. Nothing of
-either side passes through the driver.
+Passages are all runs of LENGTH characters of an evaluation record's comparison text. An
+edit that costs a text k of its pieces damages at most k + 3 passages, and a text linked
+at similarity 0.8 has lost so few pieces that no more than 0.27 of its passages can be
+damaged, whatever the edits (the worst are scattered deletions of one character: 6
+passages each, one in 23 characters). So of any selection of passages all but that many
+must occur in a linked partner. The selection is the rarest ones, by counts over all
+texts of both splits, so common phrases propose nothing.
+
+Evaluation records go to shards of bounded size by the number of their pieces. Each
+shard becomes one Aho-Corasick automaton over its passages, which scans the training
+texts whose size allows a link with it; the passages found in a text are counted for
+each evaluation record in the same task, so what leaves the task is only the pairs that
+share enough. Those are confirmed on the exact pieces, and the intervals of the
+evaluation text that the partner also holds are merged into its coverage.
+
+Shards are files in the shared folder that the tasks read by themselves; no text of
+either side passes through the driver. What is broadcast is a table of counters of fixed
+size.
 """
 
 from __future__ import annotations
@@ -24,73 +26,187 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pfs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.near import comparison_rows
-from plumbline.llm.pieces import exact_links, piece_codes
+from plumbline.llm.pieces import in_batches, linked_udf, piece_codes
 from plumbline.scratch import Scratch
 
-LENGTH = 8
-#: Passages of one automaton: about 100 MB of nodes.
-SHARD = 120_000
+LENGTH = 6
+#: Of a text's passages at most DAMAGED in a hundred plus SLACK can be lost in a linked partner.
+DAMAGED, SLACK = 27, 3
+#: How many more than that are selected, in a hundred and at least; as many must be found.
+MORE, MORE_AT_LEAST = 6, 4
+#: Evaluation records of one automaton: about 70 MB of nodes at 70 passages each. A training
+#: text costs one walk through each automaton, so few large ones are cheaper than many small.
+SHARD = 12_000
 #: Characters of training text that a task holds while it goes through the shards.
 HELD = 8_000_000
+#: Counters of how often passages occur, and how many are in one row while they are added up.
+COUNTERS, ROW = 1 << 20, 1 << 15
+#: Partial sums that are added up in one task at a time.
+FAN_IN = 64
 
 
 class Overlap(NamedTuple):
-    """Results of one comparison of two splits."""
+    """``pairs``: (left_id, right_id, coverage) of linked records."""
 
     pairs: DataFrame
-    coverage: DataFrame
+
+
+def _slots(text: str) -> np.ndarray:
+    """The counter of the passage at each position of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = max(len(points) - LENGTH + 1, 0)
+    hashed = np.zeros(n, dtype=np.uint64)
+    for i in range(LENGTH):
+        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + points[i : i + n]
+    hashed ^= hashed >> np.uint64(29)
+    return ((hashed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, dtype=np.uint32)
+    for batch in in_batches(batches, 2000):
+        # Runs that cross from one text into the next only blur the counts a little.
+        counts += np.bincount(_slots("\n".join(batch.column("text").to_pylist())), minlength=COUNTERS).astype(np.uint32)
+    yield _count_rows(counts.reshape(-1, ROW), range(COUNTERS // ROW))
+
+
+def _count_rows(table: np.ndarray, rows: Iterator[int] | range) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(rows), pa.int32()), pa.array([r.tobytes() for r in table], pa.binary())], names=["row", "counts"]
+    )
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = np.zeros(ROW, dtype=np.uint64)
+    for chunk in table.column("counts").to_pylist():
+        total += np.frombuffer(chunk, dtype=np.uint32)
+    row = table.column("row")[0].as_py()
+    clipped = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(1, ROW)
+    return pa.Table.from_batches([_count_rows(clipped, [row])])
+
+
+def passage_counts(texts: DataFrame) -> np.ndarray:
+    """How often the passages of each counter occur; a few MB whatever the input."""
+    schema = "row int, counts binary"
+    parts = texts.select("text").mapInArrow(_counted, schema).withColumn("part", F.spark_partition_id())
+    parts = parts.groupBy("row", F.floor(F.col("part") / FAN_IN)).applyInArrow(_added, schema)
+    sums = parts.groupBy("row").applyInArrow(_added, schema)
+    table = np.zeros((COUNTERS // ROW, ROW), dtype=np.uint32)
+    for row in sums.collect():
+        table[row.row] = np.frombuffer(row.counts, dtype=np.uint32)
+    return table.ravel()
+
+
+def _selecting(counts: object):
+    """(a, n_a, need, passages): the rarest passages of each text, and how many a partner must hold."""
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, needs, chosen = [], [], []
+            for text in batch.column("text").to_pylist():
+                order = np.argsort(counts.value[_slots(text)], kind="stable")
+                # One passage for each distinct run of characters, rarest first.
+                found = list(dict.fromkeys(text[i : i + LENGTH] for i in order.tolist())) or [text]
+                lost = DAMAGED * len(found) // 100 + SLACK
+                picked = found[: lost + MORE * len(found) // 100 + MORE_AT_LEAST]
+                sizes.append(len(piece_codes(text)))
+                needs.append(max(1, len(picked) - lost))
+                chosen.append(picked)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(chosen, pa.list_(pa.string()))],
+                names=["a", "n_a", "need", "passages"],
+            )
+
+    return select
 
 
 def _open(path: str) -> ds.Dataset:
     """A table of the shared folder, read without the JVM."""
-    if "://" not in path and not path.startswith("file:"):
-        return ds.dataset(path, format="parquet")
     if path.startswith("file:"):
         return ds.dataset("/" + path[5:].lstrip("/"), format="parquet")
+    if "://" not in path:
+        return ds.dataset(path, format="parquet")
     system, inner = pfs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return ds.dataset(inner, filesystem=system, format="parquet")
 
 
-def _scanner(path: str, shards: int):
-    """Scans texts with every shard's automaton; rows (passage, record, pieces)."""
-
-    def automaton(shard: int) -> ahocorasick.Automaton | None:
-        rows = _open(path).to_table(columns=["passage", "passage_id"], filter=ds.field("shard") == shard)
-        built = ahocorasick.Automaton()
-        for text, number in zip(rows["passage"].to_pylist(), rows["passage_id"].to_pylist(), strict=True):
-            built.add_word(text, number)
-        if not len(built):
-            return None
-        built.make_automaton()
-        return built
-
-    def matches(held: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-        sizes = [len(piece_codes(text)) for _, text in held]
-        for shard in range(shards):
-            found = automaton(shard)
-            passages, records, pieces = [], [], []
-            for (record, text), size in zip(held, sizes, strict=True) if found else ():
-                hits = {number for _, number in found.iter(text)}
-                passages.extend(hits)
-                records.extend([record] * len(hits))
-                pieces.extend([size] * len(hits))
-                if len(passages) > 200_000:
-                    yield _rows(passages, records, pieces)
-                    passages, records, pieces = [], [], []
-            yield _rows(passages, records, pieces)
+class _Shard:
+    """An automaton over the passages of some records, and who has each passage."""
+
+    def __init__(self, path: str, number: int) -> None:
+        rows = _open(path).to_table(columns=["a", "n_a", "need", "passages"], filter=ds.field("shard") == number)
+        self.records = rows["a"].to_numpy()
+        self.sizes = rows["n_a"].to_numpy().astype(np.int64)
+        self.need = rows["need"].to_numpy().astype(np.int64)
+        column = rows["passages"].combine_chunks()
+        known: dict[str, int] = {}
+        codes = np.fromiter((known.setdefault(p, len(known)) for p in column.flatten().to_pylist()), dtype=np.int64)
+        owners = np.repeat(np.arange(len(self.records)), np.diff(column.offsets.to_numpy()))
+        order = np.argsort(codes, kind="stable")
+        self.owners = owners[order]
+        self.starts = np.searchsorted(codes[order], np.arange(len(known) + 1))
+        self.automaton = ahocorasick.Automaton()
+        for passage, code in known.items():
+            self.automaton.add_word(passage, code)
+        self.automaton.make_automaton()
+        self.least = self.need.min()
+
+    def partners(self, text: str, size: int) -> np.ndarray:
+        """Positions of the records that share enough passages with a text of fitting size."""
+        found = np.array(list({code for _, code in self.automaton.iter(text)}), dtype=np.int64)
+        begin = self.starts[found]
+        lengths = self.starts[found + 1] - begin
+        total = int(lengths.sum())
+        if total < self.least:
+            return found[:0]
+        ends = np.cumsum(lengths)
+        owners = self.owners[np.arange(total) + np.repeat(begin - ends + lengths, lengths)]
+        if 16 * total < len(self.need):
+            at, shared = np.unique(owners, return_counts=True)
+            at = at[shared >= self.need[at]]
+        else:
+            at = np.nonzero(np.bincount(owners, minlength=len(self.need)) >= self.need)[0]
+        sizes = self.sizes[at]
+        return at[5 * np.minimum(sizes, size) >= 4 * np.maximum(sizes, size)]
+
+
+def _scanning(path: str, ranges: list[tuple[int, int, int]]):
+    """(a, b): pairs that share enough, by every shard whose sizes fit."""
+
+    def matches(held: list[tuple[int, str, int]]) -> Iterator[pa.RecordBatch]:
+        for number, low, high in ranges:
+            fitting = [h for h in held if 5 * min(high, h[2]) >= 4 * max(low, h[2])]
+            if not fitting:
+                continue
+            shard = _Shard(path, number)
+            left: list[np.ndarray] = []
+            right: list[int] = []
+            for record, text, size in fitting:
+                at = shard.partners(text, size)
+                if len(at):
+                    left.append(shard.records[at])
+                    right += [record] * len(at)
+                if len(right) > 100_000:
+                    yield _pairs(left, right)
+                    left, right = [], []
+            if right:
+                yield _pairs(left, right)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, chars = [], 0
         for batch in batches:
             for record, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.append((record, text))
+                held.append((record, text, len(piece_codes(text))))
                 chars += len(text)
                 if chars >= HELD:
                     yield from matches(held)
@@ -101,40 +217,37 @@ def _scanner(path: str, shards: int):
     return scan
 
 
-def _rows(passages: list[int], records: list[int], pieces: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(passages, pa.int64()), pa.array(records, pa.int64()), pa.array(pieces, pa.int32())],
-        names=["passage_id", "b", "n_b"],
-    )
+def _pairs(left: list[np.ndarray], right: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, n_a, chars, start, passage): the passages of each text side by side, and the rest at the end."""
-    for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for record, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            n = len(text)
-            starts = range(0, n - LENGTH + 1, LENGTH) if n >= LENGTH else range(1)
-            pieces = len(piece_codes(text))
-            for start in starts:
-                for col, value in zip(cols, (record, pieces, n, start, text[start : start + LENGTH]), strict=True):
-                    col.append(value)
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["a", "n_a", "chars", "start", "passage"]
-        )
+def merged_coverage(text: str, other: str) -> float:
+    """Share of ``text`` inside passages that ``other`` holds too, overlapping ones merged."""
+    if len(text) <= LENGTH:
+        return 1.0 if text in other else 0.0
+    held = {other[i : i + LENGTH] for i in range(len(other) - LENGTH + 1)}
+    covered = reach = 0
+    for i in range(len(text) - LENGTH + 1):
+        if text[i : i + LENGTH] in held:
+            covered += i + LENGTH - max(i, reach)
+            reach = i + LENGTH
+    return covered / len(text)
+
+
+@F.pandas_udf(T.DoubleType())
+def _coverage_udf(text: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([merged_coverage(a, b) for a, b in zip(text, other, strict=True)], dtype=float)
 
 
 def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str, train: str, evaluation: str, scratch: Scratch) -> Overlap:
-    """Pairs (left_id of ``train``, right_id of ``evaluation``) of linked records, and coverage.
+    """Pairs of a record of ``train`` (left) and one of ``evaluation`` (right) that are linked, with the right one's coverage.
 
     ``split`` holds plain labels; rows of other or null splits take no part. Records are
     linked if 0.8 or more of the distinct three-character pieces of either are in both.
     Records with a null or empty dialogue or fewer than three letters and digits are in
     no pair; a null turn text counts as empty; a record stored twice under one id counts
-    once; an empty table or split gives empty results. Coverage is one row for every
-    evaluation record with text: the share of its passages that some training text holds,
-    by characters. Texts are used whole. Equal texts are scanned once and expanded last.
+    once; an empty table or split gives an empty result. Texts are used whole. Equal
+    texts are scanned once and expanded last.
     """
     named = records.select(F.col(id_column).alias("__id"), F.col(dialogue).alias("__dialogue"), F.col(split).alias("__split"))
     sides = named.where(F.col("__split").isin(train, evaluation))
@@ -145,36 +258,20 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
     classes = scratch.save(distinct.withColumn("id", F.monotonically_increasing_id()), "texts")
     held, known = classes.where(F.col("__split") == evaluation), classes.where(F.col("__split") == train)
 
-    schema = "a long, n_a int, chars int, start int, passage string"
-    cut = scratch.save(held.select("id", "text").mapInArrow(_cut, schema), "cut")
-    passages = cut.groupBy("passage").agg(F.count("*").alias("uses"))
-    passages = scratch.save(passages.withColumn("passage_id", F.monotonically_increasing_id()), "passages")
-    shards = max(1, -(-passages.count() // SHARD))
-    sharded = passages.withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(shards)).cast("int"))
-    sharded = scratch.save(sharded.repartition(shards, "shard").sortWithinPartitions("shard"), "sharded")
-    scan = _scanner(sharded._scratch_path, shards)  # noqa: SLF001
-    hits = scratch.save(known.select("id", "text").mapInArrow(scan, "passage_id long, b long, n_b int"), "hits")
-
-    # How often each passage is met decides which passages of a record propose pairs.
-    met = hits.groupBy("passage_id").agg(F.count("*").alias("n_met"))
-    rated = passages.join(met, "passage_id", "left").select("passage", "passage_id", F.coalesce("n_met", F.lit(0)).alias("n_met"))
-    rated = scratch.save(cut.join(rated, "passage").select("a", "n_a", "chars", "start", F.length("passage").alias("len"), "passage_id", "n_met"), "rated")
-    rarest = Window.partitionBy("a").orderBy("n_met", "start")
-    proposing = rated.withColumn("rank", F.row_number().over(rarest)).where("rank <= floor(chars / 14) + 1 AND n_met > 0")
-    pairs = proposing.select("a", "n_a", "passage_id").join(hits, "passage_id")
-    pairs = pairs.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b").distinct()
-
-    # Equal texts need no passages; a text too short to cut may only be matched whole.
-    equal = held.select(F.col("id").alias("a"), "digest").join(known.select(F.col("id").alias("b"), "digest"), "digest")
-    links = exact_links(pairs.unionAll(equal.select("a", "b")).distinct(), classes.select("id", "text"))
-    digests = classes.select("id", "digest")
-    linked = links.join(digests.toDF("a", "d_a"), "a").join(digests.toDF("b", "d_b"), "b")
+    counts = records.sparkSession.sparkContext.broadcast(passage_counts(classes))
+    chosen = held.select("id", "text").mapInArrow(_selecting(counts), "a long, n_a int, need int, passages array<string>")
+    shards = max(1, -(-held.count() // SHARD))
+    chosen = chosen.repartitionByRange(shards, "n_a", "a").withColumn("shard", F.spark_partition_id())
+    chosen = scratch.save(chosen, "shards")
+    spans = chosen.groupBy("shard").agg(F.min("n_a").alias("lo"), F.max("n_a").alias("hi")).collect()
+    ranges = sorted((s.shard, s.lo, s.hi) for s in spans)
+    pairs = scratch.save(known.select("id", "text").mapInArrow(_scanning(chosen._scratch_path, ranges), "a long, b long"), "pairs")  # noqa: SLF001
+
+    of_a = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.col("digest").alias("d_a"))
+    of_b = known.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.col("digest").alias("d_b"))
+    linked = pairs.join(of_a, "a").join(of_b, "b").where(linked_udf("text_a", "text_b"))
+    linked = linked.select("d_a", "d_b", _coverage_udf("text_a", "text_b").alias("coverage"))
     ids = rows.select("__id", "__split", "digest").distinct()
     of_train = ids.where(F.col("__split") == train).select(F.col("__id").alias("left_id"), F.col("digest").alias("d_b"))
     of_held = ids.where(F.col("__split") == evaluation).select(F.col("__id").alias("right_id"), F.col("digest").alias("d_a"))
-    found = linked.join(of_train, "d_b").join(of_held, "d_a").select("left_id", "right_id")
-
-    covered = F.sum(F.when(F.col("n_met") > 0, F.col("len")).otherwise(0))
-    share = rated.groupBy("a").agg((covered / F.sum("len")).alias("coverage"))
-    share = share.join(digests.toDF("a", "d_a"), "a").join(of_held, "d_a").select(F.col("right_id").alias("id"), "coverage")
-    return Overlap(found, share)
+    return Overlap(linked.join(of_train, "d_b").join(of_held, "d_a").select("left_id", "right_id", "coverage"))

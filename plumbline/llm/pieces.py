@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -14,11 +15,13 @@ from pyspark.sql import types as T
 
 #: Share of distinct pieces found in both from which two texts are linked.
 THRESHOLD = 0.8
+#: What Python calls alphanumeric: word characters but the low line.
+_LETTERS_DIGITS = re.compile(r"[^\W_]+")
 
 
 def comparison_text(text: str) -> str:
     """Compatibility form, lower case, letters and digits only."""
-    return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).lower()))
+    return "".join(_LETTERS_DIGITS.findall(unicodedata.normalize("NFKC", text).lower()))
 
 
 @F.pandas_udf(T.StringType())

@@ -58,17 +58,18 @@ def _splits(spark: SparkSession, sf_dir: str) -> Overlap:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a development and a heldout scenario that are linked."""
-    return _splits(spark, sf_dir).pairs
+    return _splits(spark, sf_dir).pairs.select("left_id", "right_id")
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each split and suite: scenarios, those in a cross-split pair, and the pairs; for heldout the mean coverage."""
+    """For each split and suite: scenarios, those in a cross-split pair, and the pairs; for heldout the mean of the best coverage by a partner."""
     found = _splits(spark, sf_dir)
     rows = table(spark, sf_dir, "scenarios").select("scenario_id", plain_label("split").alias("split"), "suite")
-    ends = found.pairs.select(F.explode(F.array("left_id", "right_id")).alias("scenario_id"))
-    ends = ends.groupBy("scenario_id").agg(F.count("*").alias("n_pairs"))
+    ends = found.pairs.select(
+        F.explode(F.array(F.struct(F.col("left_id").alias("id"), F.lit(None).cast("double").alias("c")), F.struct("right_id", "coverage"))).alias("e")
+    )
+    ends = ends.groupBy(F.col("e.id").alias("scenario_id")).agg(F.count("*").alias("n_pairs"), F.max("e.c").alias("coverage"))
     rows = rows.where("split IN ('development', 'heldout')").join(ends, "scenario_id", "left")
-    rows = rows.join(found.coverage.withColumnRenamed("id", "scenario_id"), "scenario_id", "left")
     return rows.groupBy("split", "suite").agg(
         F.count("*").alias("n_scenarios"),
         F.count("n_pairs").alias("n_overlapping"),
