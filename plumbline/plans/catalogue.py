@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from plumbline.plans import delivery, graphs, ruled, scored
+from plumbline.plans import corpus, delivery, graphs, ruled, scored
 
 FLAGSHIP = "score_metrics"
 
 
 def modules() -> list[ModuleType]:
     """Modules with ``QUERIES`` and ``SQL``."""
-    return [scored, ruled, graphs, delivery]
+    return [scored, ruled, graphs, corpus, delivery]
