@@ -15,8 +15,9 @@ each evaluation record in the same task, so what leaves the task is only the pai
 share enough. Those are confirmed on the exact pieces, and the intervals of the
 evaluation text that the partner also holds are merged into its coverage.
 
-Shards are files in the shared folder that the tasks read by themselves; no text of
-either side passes through the driver. What is broadcast is a table of counters of fixed
+Shards and texts are tables in the shared folder that the tasks read by themselves: a
+task takes one shard and a slice of the texts, so an automaton is built once for many
+texts. No text of either side passes through the driver. What is broadcast is a table of counters of fixed
 size.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.near import comparison_rows
-from plumbline.llm.pieces import in_batches, linked_udf, piece_codes
+from plumbline.llm.pieces import in_batches, linked_udf, n_pieces_udf
 from plumbline.scratch import Scratch
 
 LENGTH = 6
@@ -47,8 +48,8 @@ MORE, MORE_AT_LEAST = 6, 4
 #: Evaluation records of one automaton: about 70 MB of nodes at 70 passages each. A training
 #: text costs one walk through each automaton, so few large ones are cheaper than many small.
 SHARD = 12_000
-#: Characters of training text that a task holds while it goes through the shards.
-HELD = 8_000_000
+#: Training texts that one task scans at most with its shard's automaton.
+SLICE = 200_000
 #: Counters of how often passages occur, and how many are in one row while they are added up.
 COUNTERS, ROW = 1 << 20, 1 << 15
 #: Partial sums that are added up in one task at a time.
@@ -112,18 +113,17 @@ def _selecting(counts: object):
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, needs, chosen = [], [], []
+            needs, chosen = [], []
             for text in batch.column("text").to_pylist():
                 order = np.argsort(counts.value[_slots(text)], kind="stable")
                 # One passage for each distinct run of characters, rarest first.
                 found = list(dict.fromkeys(text[i : i + LENGTH] for i in order.tolist())) or [text]
                 lost = DAMAGED * len(found) // 100 + SLACK
                 picked = found[: lost + MORE * len(found) // 100 + MORE_AT_LEAST]
-                sizes.append(len(piece_codes(text)))
                 needs.append(max(1, len(picked) - lost))
                 chosen.append(picked)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(chosen, pa.list_(pa.string()))],
+                [batch.column("id"), batch.column("n_pieces"), pa.array(needs, pa.int32()), pa.array(chosen, pa.list_(pa.string()))],
                 names=["a", "n_a", "need", "passages"],
             )
 
@@ -180,39 +180,31 @@ class _Shard:
         return at[5 * np.minimum(sizes, size) >= 4 * np.maximum(sizes, size)]
 
 
-def _scanning(path: str, ranges: list[tuple[int, int, int]]):
-    """(a, b): pairs that share enough, by every shard whose sizes fit."""
-
-    def matches(held: list[tuple[int, str, int]]) -> Iterator[pa.RecordBatch]:
-        for number, low, high in ranges:
-            fitting = [h for h in held if 5 * min(high, h[2]) >= 4 * max(low, h[2])]
-            if not fitting:
-                continue
-            shard = _Shard(path, number)
-            left: list[np.ndarray] = []
-            right: list[int] = []
-            for record, text, size in fitting:
-                at = shard.partners(text, size)
-                if len(at):
-                    left.append(shard.records[at])
-                    right += [record] * len(at)
-                if len(right) > 100_000:
-                    yield _pairs(left, right)
-                    left, right = [], []
-            if right:
-                yield _pairs(left, right)
+def _scanning(shards: str, texts: str, train: str, ranges: list[tuple[int, int, int]], slices: int):
+    """(a, b): pairs that share enough. Each input row is one shard against one slice of the texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chars = [], 0
-        for batch in batches:
-            for record, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.append((record, text, len(piece_codes(text))))
-                chars += len(text)
-                if chars >= HELD:
-                    yield from matches(held)
-                    held, chars = [], 0
-        if held:
-            yield from matches(held)
+        for task in (n for batch in batches for n in batch.column("id").to_pylist()):
+            number, low, high = ranges[task // slices]
+            # 5 * size >= 4 * low and 5 * high >= 4 * size
+            fits = (ds.field("split") == train) & (ds.field("n_pieces") >= 4 * low // 5) & (ds.field("n_pieces") <= 5 * high // 4 + 1)
+            parts = [g for f in sorted(_open(texts).get_fragments(), key=lambda f: f.path) for g in f.split_by_row_group()]
+            shard = None
+            for part in parts[task % slices :: slices]:
+                for batch in part.to_batches(columns=["id", "text", "n_pieces"], filter=fits):
+                    shard = shard or (_Shard(shards, number) if batch.num_rows else None)
+                    left: list[np.ndarray] = []
+                    right: list[int] = []
+                    for record, text, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                        at = shard.partners(text, size)
+                        if len(at):
+                            left.append(shard.records[at])
+                            right += [record] * len(at)
+                        if len(right) > 100_000:
+                            yield _pairs(left, right)
+                            left, right = [], []
+                    if right:
+                        yield _pairs(left, right)
 
     return scan
 
@@ -254,18 +246,25 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
     rows = comparison_rows(sides.select(F.struct("__id", "__split").alias("key"), "__dialogue"), "key", "__dialogue")
     rows = scratch.save(rows.select("id.__id", "id.__split", "text", "digest"), "sides")
 
-    distinct = rows.groupBy("__split", "digest").agg(F.first("text").alias("text"))
+    distinct = rows.groupBy(F.col("__split").alias("split"), "digest").agg(F.first("text").alias("text"))
+    distinct = distinct.select("split", "digest", "text", n_pieces_udf("text").alias("n_pieces"))
     classes = scratch.save(distinct.withColumn("id", F.monotonically_increasing_id()), "texts")
-    held, known = classes.where(F.col("__split") == evaluation), classes.where(F.col("__split") == train)
+    held, known = classes.where(F.col("split") == evaluation), classes.where(F.col("split") == train)
 
-    counts = records.sparkSession.sparkContext.broadcast(passage_counts(classes))
-    chosen = held.select("id", "text").mapInArrow(_selecting(counts), "a long, n_a int, need int, passages array<string>")
-    shards = max(1, -(-held.count() // SHARD))
+    spark = records.sparkSession
+    counts = spark.sparkContext.broadcast(passage_counts(classes))
+    chosen = held.select("id", "text", "n_pieces").mapInArrow(_selecting(counts), "a long, n_a int, need int, passages array<string>")
+    sizes = {r.split: r.n for r in classes.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    shards = max(1, -(-sizes.get(evaluation, 0) // SHARD))
     chosen = chosen.repartitionByRange(shards, "n_a", "a").withColumn("shard", F.spark_partition_id())
     chosen = scratch.save(chosen, "shards")
     spans = chosen.groupBy("shard").agg(F.min("n_a").alias("lo"), F.max("n_a").alias("hi")).collect()
     ranges = sorted((s.shard, s.lo, s.hi) for s in spans)
-    pairs = scratch.save(known.select("id", "text").mapInArrow(_scanning(chosen._scratch_path, ranges), "a long, b long"), "pairs")  # noqa: SLF001
+    # As many tasks as there are cores, more only if a slice would be too long: each builds its automaton.
+    slices = max(-(-spark.sparkContext.defaultParallelism // shards), -(-sizes.get(train, 0) // SLICE))
+    tasks = spark.range(0, len(ranges) * slices, 1, max(1, len(ranges) * slices))
+    scan = _scanning(chosen._scratch_path, classes._scratch_path, train, ranges, slices)  # noqa: SLF001
+    pairs = scratch.save(tasks.mapInArrow(scan, "a long, b long"), "pairs")
 
     of_a = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.col("digest").alias("d_a"))
     of_b = known.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.col("digest").alias("d_b"))

@@ -46,6 +46,12 @@ def piece_codes(text: str) -> np.ndarray:
     return codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
 
 
+@F.pandas_udf(T.IntegerType())
+def n_pieces_udf(texts: pd.Series) -> pd.Series:
+    """Number of distinct pieces of every text."""
+    return texts.map(lambda t: len(piece_codes(t))).astype("int32")
+
+
 def shared_and_union(left: str, right: str) -> tuple[int, int]:
     """Numbers of pieces found in both texts and in either."""
     a, b = piece_codes(left), piece_codes(right)
