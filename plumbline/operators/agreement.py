@@ -18,10 +18,11 @@ def fleiss_kappa(ratings: DataFrame, item: str, rating: str, by: Sequence[str] =
     All items must have the same number of ratings, two at least: otherwise ``equal`` is
     false and the statistics are null. Kappa is null where chance agreement is 1.
     """
-    cells = ratings.groupBy(*by, item, rating).agg(F.count("*").alias("c"))
-    items = cells.groupBy(*by, item).agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+    named = ratings.select(*by, F.col(item).alias("__item"), F.col(rating).alias("__rating"))
+    cells = named.groupBy(*by, "__item", "__rating").agg(F.count("*").alias("c"))
+    items = cells.groupBy(*by, "__item").agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("c")).alias("sq"))
     whole = items.groupBy(*by).agg(F.count("*").alias("items"), F.min("r").alias("raters"), F.max("r").alias("most"), F.sum("sq").alias("sq"), F.sum("r").alias("n"))
-    shares = cells.groupBy(*by, rating).agg(F.sum("c").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t")).alias("tt"))
+    shares = cells.groupBy(*by, "__rating").agg(F.sum("c").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t")).alias("tt"))
     joined = whole.join(shares, list(by)) if by else whole.crossJoin(shares)
     ok = (F.col("raters") == F.col("most")) & (F.col("raters") > 1)
     # Mean over items of (sum c^2 - r) / (r (r - 1)), with whole-number numerator and denominator.
@@ -33,9 +34,10 @@ def fleiss_kappa(ratings: DataFrame, item: str, rating: str, by: Sequence[str] =
 
 def intraclass(ratings: DataFrame, item: str, rater: str, score: str) -> DataFrame:
     """ICC(2,1) and ICC(2,k) of whole-number scores, two-way random effects, every rater on every item."""
-    rows = ratings.groupBy(item).agg(F.sum(score).alias("s"), F.count("*").alias("c"), F.sum(F.col(score) * F.col(score)).alias("q"))
+    ratings = ratings.select(F.col(item).alias("__item"), F.col(rater).alias("__rater"), F.col(score).alias("__score"))
+    rows = ratings.groupBy("__item").agg(F.sum("__score").alias("s"), F.count("*").alias("c"), F.sum(F.col("__score") * F.col("__score")).alias("q"))
     a = rows.agg(F.count("*").alias("n"), F.sum("s").alias("g"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s")).alias("rr"), F.min("c").alias("k"), F.max("c").alias("k2"))
-    b = ratings.groupBy(rater).agg(F.sum(score).alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("cc"))
+    b = ratings.groupBy("__rater").agg(F.sum("__score").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("cc"))
     t = a.crossJoin(b).select(*[F.col(c).cast("double").alias(c) for c in ("n", "g", "q", "rr", "k", "k2", "cc")])
     n, k = F.col("n"), F.col("k")
     mean = F.col("g") * F.col("g") / (n * k)
