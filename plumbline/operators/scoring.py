@@ -172,3 +172,52 @@ def coverage_gaps(jobs: DataFrame, events: DataFrame, scenarios: DataFrame) -> D
 def pending_jobs(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """Jobs still to run: those without any recorded first-generation event, failed ones included."""
     return jobs.join(events.where("run_generation = 1").select("job_id").distinct(), "job_id", "left_anti")
+
+
+def paired_models(scored: DataFrame, model: str, left: str, right: str) -> DataFrame:
+    """One row for each (method, scenario) of two models side by side, with whether label and component agree.
+
+    Both sides are reduced to one row a scenario first, so a scenario evaluated twice does
+    not multiply.
+    """
+    rows = scored.where(F.col(model).isin(left, right))
+    one = rows.groupBy("method", "scenario_id", model).agg(F.min(F.struct("job_id", "gold", "component_id", "prediction")).alias("r"))
+
+    def side(name: str, tag: str) -> DataFrame:
+        return one.where(F.col(model) == name).select("method", "scenario_id", F.col("r").alias(tag))
+
+    joined = side(left, "l").join(side(right, "r"), ["method", "scenario_id"])
+    same = F.col("l.gold").eqNullSafe(F.col("r.gold")) & F.col("l.component_id").eqNullSafe(F.col("r.component_id"))
+    return joined.select("method", "scenario_id", F.col("l.gold").alias("gold"), F.col("l.prediction").alias("left_prediction"), F.col("r.prediction").alias("right_prediction"), same.alias("agrees"))
+
+
+def rescored(scored: DataFrame, overlay: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Metrics under replaced labels beside the original ones, and their differences.
+
+    ``overlay`` is (scenario_id, new_gold), at most one row each; a null keeps the label.
+    """
+    joined = scored.join(overlay, "scenario_id", "left")
+    versions = F.array(F.struct(F.lit("before").alias("version"), F.col("gold").alias("g")), F.struct(F.lit("after").alias("version"), F.coalesce("new_gold", "gold").alias("g")))
+    both = joined.withColumn("v", F.explode(versions)).withColumns({"gold": F.col("v.g"), "version": F.col("v.version")})
+    found = score(both, [*by, "version"])
+    names = ("accuracy", "macro_f1", "unsafe_rate")
+    wide = found.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("version") == v, F.col(c))).alias(f"{c}_{v}") for c in names for v in ("before", "after")])
+    return wide.select("*", *[(F.col(f"{c}_after") - F.col(f"{c}_before")).alias(f"{c}_change") for c in names])
+
+
+def without_flagged(scored: DataFrame, flagged: DataFrame, by: Sequence[str]) -> DataFrame:
+    """How the metrics change when flagged scenarios are left out; ``flagged`` is (scenario_id)."""
+    marked = scored.join(flagged.select("scenario_id").distinct().withColumn("flag", F.lit(True)), "scenario_id", "left")
+    versions = F.when(F.col("flag"), F.array(F.lit("full"))).otherwise(F.array(F.lit("full"), F.lit("kept")))
+    found = score(marked.withColumn("version", F.explode(versions)), [*by, "version"])
+    names = ("accuracy", "macro_f1")
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("version") == v, F.col(c))).alias(f"{c}_{v}") for c in ("n", *names) for v in ("full", "kept")])
+    return wide.select("*", *[(F.col(f"{c}_kept") - F.col(f"{c}_full")).alias(f"{c}_shift") for c in names])
+
+
+def long_metrics(scores: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(by..., metric, value): metrics as rows; a value outside 0 to 1 ends the job."""
+    entries = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n) for n in names]))
+    rows = scores.select(*by, F.explode(entries).alias("metric", "value"))
+    sound = F.col("value").isNull() | F.col("value").between(0, 1)
+    return rows.withColumn("value", F.when(sound, F.col("value")).otherwise(F.raise_error(F.lit("a metric is outside 0 to 1")).cast("double")))

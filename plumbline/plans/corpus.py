@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import canonical, text
 from plumbline.functions.labels import plain_label, sql_plain, sql_upper, upper_id
-from plumbline.operators import agreement, keywords, style, validators, views
+from plumbline.operators import agreement, keywords, lexical, style, validators, views
 from plumbline.operators.scoring import ACTIONS
+from plumbline.scratch import Scratch
 from plumbline.sources.tables import table
 
 #: Example categories: terms in the languages of the texts.
@@ -93,6 +94,12 @@ def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("status", "again", F.col("p.action").eqNullSafe(F.col("parsed_action")).alias("same_action")).agg(F.count("*").alias("n"))
 
 
+def lexical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between scenarios by their dialogues, of each type with their scores."""
+    rows = table(spark, sf_dir, "scenarios").select("scenario_id", text.dialogue_line(F.col("dialogue")).alias("line"))
+    return lexical.lexical_edges(rows, "scenario_id", "line", Scratch(spark))
+
+
 def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors, invalid parses and tokens of each status."""
     rows = table(spark, sf_dir, "event_ledger")
@@ -372,7 +379,7 @@ SELECT year, k, n, round({_WILSON.format(z=_Z, z2=_Z2, sign="-")}, 9) AS low, ro
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        privacy_findings, document_categories, document_sources, merged_records, tag_stripped, normalized_dialogues, clause_overlap, parsed_responses,
+        privacy_findings, document_categories, document_sources, merged_records, tag_stripped, normalized_dialogues, clause_overlap, lexical_edges, parsed_responses,
         ledger_totals, reused_requests, model_inputs, model_inputs_digest, scoring_view, payload_leaks, relation_keys, state_keys, broken_dialogues,
         controlling_rules, rule_coverage, job_agreement, gold_digests, record_counts, rater_kappa, rater_icc, panel_decisions, defect_interval,
         keyword_weights, keyword_accuracy, style_lengths, style_divergence,

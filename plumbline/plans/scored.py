@@ -83,6 +83,39 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(scored(spark, sf_dir).join(first, "job_id"), ["model"])
 
 
+def _with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "event_ledger").where("run_generation = 1 AND job_id IS NOT NULL")
+    first = events.groupBy("job_id").agg(F.min_by("response_model_id", F.struct("received_at", "delivery_no")).alias("model"))
+    return scored(spark, sf_dir).join(first, "job_id")
+
+
+def paired_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios that two methods' models answered, by whether they gave the same action."""
+    rows = _with_model(spark, sf_dir).withColumn("pair", F.lit("all"))
+    # Each job has one model, so methods stand in for systems and the suite for the method.
+    rows = rows.select("job_id", F.col("suite").alias("method"), "scenario_id", F.col("method").alias("system"), "gold", "component_id", "prediction")
+    found = scoring.paired_models(rows, "system", "dialogue_only", "state_only")
+    same = (F.col("left_prediction") == F.col("right_prediction")).alias("same")
+    return found.groupBy("method", "agrees", same).agg(F.count("*").alias("n"))
+
+
+def rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics if every label were the last acceptable action, against the primary one."""
+    overlay = table(spark, sf_dir, "scenarios").select("scenario_id", F.element_at("label.acceptable_actions", -1).alias("new_gold"))
+    return scoring.rescored(scored(spark, sf_dir), overlay, ["method"])
+
+
+def flag_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics without the scenarios whose dialogue is empty or has a single turn."""
+    flagged = table(spark, sf_dir, "scenarios").where("dialogue IS NULL OR size(dialogue) < 2").select("scenario_id")
+    return scoring.without_flagged(scored(spark, sf_dir), flagged, ["method"])
+
+
+def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four metrics of every method and suite as rows."""
+    return scoring.long_metrics(score_metrics(spark, sf_dir), ["method", "suite"], ["accuracy", "macro_f1", "unsafe_rate", "denial_rate"])
+
+
 def family_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactness, flips and holds of families."""
     return families.family_rates(scored(spark, sf_dir))
@@ -273,6 +306,25 @@ UNION ALL SELECT 'jobs_without_scenario', count(*) FROM evaluation_jobs WHERE sc
     "score_acceptable": f"""WITH {SCORED} SELECT method, severity, count(*) AS n, count(*) FILTER (list_contains(acceptable, prediction)) AS n_acceptable,
   count(*) FILTER (gold = prediction) AS n_primary FROM scored GROUP BY method, severity""",
     "model_comparison": f"WITH {SCORED}, counted AS (SELECT model, {_counts()} FROM scored GROUP BY model) SELECT model, n, {_RATES}, n_severe_unsafe FROM counted",
+    "paired_models": f"""WITH {SCORED}, a AS (SELECT suite, scenario_id, gold, component_id, prediction FROM scored WHERE method = 'dialogue_only'),
+b AS (SELECT scenario_id, gold, component_id, prediction FROM scored WHERE method = 'state_only')
+SELECT a.suite AS method, a.gold IS NOT DISTINCT FROM b.gold AND a.component_id IS NOT DISTINCT FROM b.component_id AS agrees, a.prediction = b.prediction AS same, count(*) AS n
+FROM a JOIN b USING (scenario_id) GROUP BY 1, 2, 3""",
+    "rescored": f"""WITH {SCORED}, v AS (SELECT method, 'before' AS version, gold, prediction, severity FROM scored
+  UNION ALL SELECT method, 'after', coalesce(acceptable[len(acceptable)], gold), prediction, severity FROM scored),
+counted AS (SELECT method, version, {_counts()} FROM v GROUP BY method, version), r AS (SELECT method, version, n, {_RATES} FROM counted),
+w AS (SELECT a.method, a.n, a.accuracy AS accuracy_before, b.accuracy AS accuracy_after, a.macro_f1 AS macro_f1_before, b.macro_f1 AS macro_f1_after,
+  a.unsafe_rate AS unsafe_rate_before, b.unsafe_rate AS unsafe_rate_after FROM r a JOIN r b ON a.method = b.method AND a.version = 'before' AND b.version = 'after')
+SELECT *, accuracy_after - accuracy_before AS accuracy_change, macro_f1_after - macro_f1_before AS macro_f1_change, unsafe_rate_after - unsafe_rate_before AS unsafe_rate_change FROM w""",
+    "flag_sensitivity": f"""WITH {SCORED}, v AS (SELECT method, 'full' AS version, gold, prediction, severity FROM scored
+  UNION ALL SELECT method, 'kept', gold, prediction, severity FROM scored WHERE n_turns >= 2),
+counted AS (SELECT method, version, {_counts()} FROM v GROUP BY method, version), r AS (SELECT method, version, n, {_RATES} FROM counted),
+w AS (SELECT a.method, a.n AS n_full, b.n AS n_kept, a.accuracy AS accuracy_full, b.accuracy AS accuracy_kept, a.macro_f1 AS macro_f1_full, b.macro_f1 AS macro_f1_kept
+  FROM r a JOIN r b ON a.method = b.method AND a.version = 'full' AND b.version = 'kept')
+SELECT *, accuracy_kept - accuracy_full AS accuracy_shift, macro_f1_kept - macro_f1_full AS macro_f1_shift FROM w""",
+    "metric_rows": f"""WITH {SCORED}, counted AS (
+  SELECT method, CASE WHEN grouping(suite) = 1 THEN 'all' ELSE suite END AS suite, {_counts()} FROM scored GROUP BY GROUPING SETS ((method, suite), (method))),
+r AS (SELECT method, suite, {_RATES} FROM counted) """ + " UNION ALL ".join(f"SELECT method, suite, '{m}' AS metric, {m} AS value FROM r" for m in ("accuracy", "macro_f1", "unsafe_rate", "denial_rate")),
     "family_rates": _FAMILIES,
     "turn_changes": f"WITH {_TURNS} SELECT method, family_id, job_id, CAST(place AS INTEGER) AS place, previous_gold, changed FROM changes",
     "trajectories": f"WITH {_TURNS} SELECT * FROM trajectories",
@@ -306,7 +358,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         score_rows, score_metrics, score_confusion, score_confusion_dense, score_per_action, score_baselines, score_gaps, score_pending,
-        score_acceptable, model_comparison, family_rates, turn_changes, trajectories, trajectory_rates, spanning_families,
+        score_acceptable, model_comparison, paired_models, rescored, flag_sensitivity, metric_rows, family_rates, turn_changes, trajectories, trajectory_rates, spanning_families,
         bootstrap_metrics, bootstrap_paired, action_risk,
     )
 }

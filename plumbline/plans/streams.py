@@ -30,6 +30,12 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.run_to_table(counted, Scratch(spark)).select(F.unix_micros("start").alias("start_us"), "status", "n")
 
 
+def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each method with no pause of half an hour."""
+    found = ledger.bursts(_events(spark, sf_dir), "method", "30 minutes", "30 days")
+    return ledger.run_to_table(found, Scratch(spark)).select("method", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each status after every identified event is kept once, in stream order."""
     once = ledger.select_once(_events(spark, sf_dir), {"job_id": "string", "run_generation": "long"}, "delivery_no", ["received_at"], Scratch(spark))
@@ -49,8 +55,12 @@ SQL = {
 WHERE completed_at IS NOT NULL GROUP BY 1, 2""",
     "stream_sliding": f"""WITH w AS (SELECT epoch_us(completed_at) AS t, status, unnest([0, 1]) AS back FROM event_ledger WHERE completed_at IS NOT NULL)
 SELECT (t // {2 * _US} - back) * {2 * _US} AS start_us, status, count(*) AS n FROM w GROUP BY 1, 2""",
+    "stream_bursts": """WITH e AS (SELECT method, epoch_us(completed_at) AS t FROM event_ledger WHERE completed_at IS NOT NULL),
+s AS (SELECT method, t, CASE WHEN t - lag(t) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY method ORDER BY t)),
+g AS (SELECT method, t, sum(fresh) OVER (PARTITION BY method ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT method, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n FROM g GROUP BY method, k""",
     "stream_once": """SELECT run_generation, count(*) AS n, count(DISTINCT job_id) AS n_jobs FROM (
   SELECT DISTINCT job_id, run_generation FROM event_ledger WHERE job_id IS NOT NULL AND run_generation IS NOT NULL) GROUP BY run_generation""",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_status, stream_sliding, stream_once, table_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (stream_status, stream_sliding, stream_bursts, stream_once, table_files)}

@@ -107,3 +107,19 @@ def test_clustered_rates_drop_and_count_invalid_draws(spark, scratch):
 
 def test_empty_bootstrap(spark, scratch):
     assert resampling.metric_intervals(spark.createDataFrame([], SCHEMA), ["method"], 10, scratch).count() == 0
+
+
+def test_paired_models_rescoring_and_flags(spark):
+    rows = [("1", "m", "s1", "A", "c", "ANSWER", "ANSWER"), ("2", "m", "s1", "B", "c", "ANSWER", "REFUSE"), ("3", "m", "s1", "B", "c", "ANSWER", "CLARIFY"), ("4", "m", "s2", "A", "c", "REFUSE", "REFUSE")]
+    df = spark.createDataFrame(rows, "job_id string, method string, scenario_id string, model string, component_id string, gold string, prediction string").withColumn("severity", F.lit("none"))
+    found = scoring.paired_models(df, "model", "A", "B").collect()
+    assert [(r.scenario_id, r.left_prediction, r.right_prediction, r.agrees) for r in found] == [("s1", "ANSWER", "REFUSE", True)]
+    overlay = spark.createDataFrame([("s2", "ANSWER"), ("s1", None)], "scenario_id string, new_gold string")
+    changed = scoring.rescored(df, overlay, []).first()
+    assert (changed.accuracy_before, changed.accuracy_after, changed.accuracy_change) == (0.5, 0.25, -0.25)
+    shift = scoring.without_flagged(df, df.where("scenario_id = 's2'").select("scenario_id"), []).first()
+    assert (shift.n_full, shift.n_kept) == (4, 3) and shift.accuracy_shift == 1 / 3 - 0.5
+    metrics = scoring.long_metrics(scoring.score(df, []), [], ["accuracy", "macro_f1"])
+    assert {r.metric for r in metrics.collect()} == {"accuracy", "macro_f1"}
+    with pytest.raises(Exception, match="outside"):
+        scoring.long_metrics(spark.createDataFrame([(2.0,)], "accuracy double"), [], ["accuracy"]).collect()
