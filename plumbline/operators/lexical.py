@@ -1,7 +1,7 @@
 """Lexical edges between records: exact groups as stars, and SimHash candidates confirmed by Jaccard similarity.
 
-Two records are candidates if two of the four 16-bit bands of their 64-bit SimHashes
-agree; each bucket proposes its members against its first only, so edges grow with the
+Two records are candidates if three of the six bands of their 64-bit SimHashes agree, so
+any three flipped bits are survived; each bucket proposes its members against its first only, so edges grow with the
 records, not with the squares of buckets. That finds what is nearly identical; it does
 not promise every pair above the thresholds.
 """
@@ -22,6 +22,8 @@ from plumbline.scratch import Scratch
 
 # Thresholds for character trigrams and for tokens.
 CHAR_FROM, TOKEN_FROM = 0.82, 0.88
+#: First bit and width of each band; keys are three bands together, 32 or 33 bits.
+BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 _TOKEN = r"(<num>|[\p{L}\p{N}&&[^\x{3400}-\x{9fff}]]+|[\x{3400}-\x{9fff}])"
 
 
@@ -70,8 +72,9 @@ def lexical_edges(records: DataFrame, key: str, text: str, scratch: Scratch) ->
     heads = heads.withColumns({"grams": ngrams(compact, 3), "words": tokens(F.col("t"))})
     heads = scratch.save(heads.select("id", "grams", "words", simhash("words").alias("s")), "heads")
     banded = heads.select("id", "s")
-    parts = [F.shiftrightunsigned("s", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = F.array(*[F.struct(F.lit(10 * i + j).alias("which"), (parts[i] * 65536 + parts[j]).alias("bits")) for i, j in itertools.combinations(range(4), 2)])
+    parts = [F.shiftrightunsigned("s", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BANDS]
+    triples = enumerate(itertools.combinations(range(len(BANDS)), 3))
+    keys = F.array(*[F.struct(F.lit(n).alias("which"), ((parts[i] * 2048 + parts[j]) * 2048 + parts[k]).alias("bits")) for n, (i, j, k) in triples])
     buckets = banded.select("id", F.explode(keys).alias("k"))
     least = buckets.groupBy("k").agg(F.min("id").alias("left_id"), F.count("*").alias("n")).where("n > 1")
     pairs = buckets.join(least, "k").where("id <> left_id").select("left_id", F.col("id").alias("right_id")).distinct()
