@@ -18,7 +18,7 @@ from plumbline.scratch import Scratch
 
 #: Mean head start in hops is 1 / RATE; growth stops after HOPS. Both only change how much
 #: one level contracts, not the result.
-RATE = 0.4
+RATE = 0.1
 HOPS = 3
 
 
