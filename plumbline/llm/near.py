@@ -10,8 +10,10 @@
    differ, so one XOR and a population count tell candidates worth an exact check.
 4. In every bucket each member is checked against the bucket's first member. That links
    a family of copies with as many checks as members, whatever its size. Then only
-   buckets that still hold several groups are searched for the pairs across groups, in
-   blocks of bounded size, so no pair that met in a bucket goes unchecked.
+   buckets that still hold several groups are searched for the pairs across groups: what
+   is outside the largest group against all members, in blocks of bounded size. No pair
+   that met in a bucket goes unchecked, and a family that fills a bucket is not compared
+   with itself.
 5. Sketches only discard: every link is confirmed on the exact pieces.
 """
 
@@ -129,35 +131,47 @@ def near_groups(records: DataFrame, id_column: str, dialogue: str, scratch: Scra
     texts = classes.select("id", "text")
 
     met = classes.select("id", F.explode("buckets").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.count("*").alias("n_members"), F.min("id").alias("a")).where("n_members > 1")
-    members = scratch.save(met.join(shared, "bucket"), "members")
+    shared = met.groupBy("bucket").agg(F.count("*").alias("n_members"), F.min("id").alias("a"))
+    members = scratch.save(met.join(shared.where("n_members > 1").drop("n_members"), "bucket"), "members")
 
     to_first = members.where("a <> id").select("a", F.col("id").alias("b")).distinct()
     first_links = scratch.save(exact_links(_promising(to_first.join(of_a, "a").join(of_b, "b")), texts), "links")
-    grouped = components(first_links, "a", "b", scratch)
+    grouped = scratch.save(components(first_links, "a", "b", scratch), "grouped")
 
     # Buckets that still hold several groups, each member with its group.
-    labelled = members.join(grouped, "id", "left").select(
-        "bucket", "id", "n_members", F.coalesce("group_id", "id").alias("label")
+    labelled = members.join(grouped, "id", "left").select("bucket", "id", F.coalesce("group_id", "id").alias("label"))
+    groups = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n_same"))
+    open_buckets = groups.groupBy("bucket").agg(
+        F.max_by("label", "n_same").alias("main"), F.sum("n_same").alias("n_all"), (F.sum("n_same") - F.max("n_same")).alias("n_rest")
     )
-    open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    left_over = labelled.join(open_buckets.select("bucket"), "bucket", "left_semi").join(sketches, "id")
-    left_over = scratch.save(left_over.withColumn("n_blocks", F.ceil(F.col("n_members") / BLOCK).cast("int")), "open")
-    own = F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    one = left_over.select(
-        "bucket", own.alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("label").alias("g_a"), F.col("n").alias("n_a"), F.col("sk").alias("sk_a")
+    # A pair across groups has at least one end outside the bucket's largest group, so a
+    # family that fills a bucket is compared with what is left there, not with itself.
+    left_over = labelled.join(open_buckets.where("n_rest > 0"), "bucket").join(sketches, "id")
+    blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("n_all", "n_rest")]
+    left_over = scratch.save(left_over.select("bucket", "id", "label", "main", "n", "sk", *blocks), "open")
+
+    def own(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    one = left_over.where("label <> main").select(
+        "bucket", own("n_rest").alias("i"), every("n_all").alias("j"), F.col("id").alias("a"), F.col("label").alias("g_a"), F.col("n").alias("n_a"), F.col("sk").alias("sk_a")
     )
     other = left_over.select(
-        "bucket", own.alias("j"), every.alias("i"), F.col("id").alias("b"), F.col("label").alias("g_b"), F.col("n").alias("n_b"), F.col("sk").alias("sk_b")
+        "bucket", every("n_rest").alias("i"), own("n_all").alias("j"), F.col("id").alias("b"), F.col("label").alias("g_b"), F.col("n").alias("n_b"), F.col("sk").alias("sk_b")
     )
-    across = _promising(one.join(other, ["bucket", "i", "j"]).where("a < b AND g_a <> g_b")).distinct()
+    across = _promising(one.join(other, ["bucket", "i", "j"]).where("g_a <> g_b"))
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more_links = exact_links(across, texts)
 
-    links = first_links.unionAll(more_links)
-    final = components(links, "a", "b", scratch)
-    class_of = classes.select("id", "digest").join(final, "id", "left")
-    class_of = class_of.select("digest", F.coalesce("group_id", "id").alias("class_id"))
+    # Links across groups tie whole groups together, so only group labels meet here.
+    label_of = classes.select("id").join(grouped, "id", "left").select("id", F.coalesce("group_id", "id").alias("label"))
+    tied = more_links.join(label_of.toDF("a", "l"), "a").join(label_of.toDF("b", "r"), "b").select("l", "r").distinct()
+    merged = components(tied, "l", "r", scratch).select(F.col("id").alias("label"), F.col("group_id").alias("merged"))
+    class_of = label_of.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("class_id"))
+    class_of = classes.select("id", "digest").join(class_of, "id").select("digest", "class_id")
     ids = rows.select("id", "digest").distinct().join(class_of, "digest")
     ids = scratch.save(ids.select("id", "class_id"), "ids")
     sizes = ids.groupBy("class_id").agg(F.min("id").alias("group_id"), F.count("*").alias("n_members")).where("n_members > 1")
