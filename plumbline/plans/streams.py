@@ -55,9 +55,9 @@ SQL = {
 WHERE completed_at IS NOT NULL GROUP BY 1, 2""",
     "stream_sliding": f"""WITH w AS (SELECT epoch_us(completed_at) AS t, status, unnest([0, 1]) AS back FROM event_ledger WHERE completed_at IS NOT NULL)
 SELECT (t // {2 * _US} - back) * {2 * _US} AS start_us, status, count(*) AS n FROM w GROUP BY 1, 2""",
-    "stream_bursts": """WITH e AS (SELECT method, epoch_us(completed_at) AS t FROM event_ledger WHERE completed_at IS NOT NULL),
-s AS (SELECT method, t, CASE WHEN t - lag(t) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY method ORDER BY t)),
-g AS (SELECT method, t, sum(fresh) OVER (PARTITION BY method ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM s)
+    "stream_bursts": """WITH e AS (SELECT method, epoch_us(completed_at) AS t, delivery_no AS d FROM event_ledger WHERE completed_at IS NOT NULL),
+s AS (SELECT method, t, d, CASE WHEN t - lag(t) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY method ORDER BY t, d)),
+g AS (SELECT method, t, sum(fresh) OVER (PARTITION BY method ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS k FROM s)
 SELECT method, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n FROM g GROUP BY method, k""",
     "stream_once": """SELECT run_generation, count(*) AS n, count(DISTINCT job_id) AS n_jobs FROM (
   SELECT DISTINCT job_id, run_generation FROM event_ledger WHERE job_id IS NOT NULL AND run_generation IS NOT NULL) GROUP BY run_generation""",
