@@ -1,0 +1,32 @@
+"""Every data-preparation query: against its SQL where it has one, else that it runs over whole tables."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+import compare
+
+from plumbline.llm import catalogue
+
+QUERIES = {n: q for m in catalogue.modules() for n, q in m.QUERIES.items()}
+SQL = {n: s for m in catalogue.modules() for n, s in m.SQL.items()}
+pytestmark = pytest.mark.skipif(not compare.DATA.exists(), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_against_sql(spark, name):
+    assert compare.differences(spark, QUERIES[name], SQL[name]) == ""
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, str(compare.DATA)).count() >= 0
+
+
+def test_nothing_else_imports_the_package():
+    root = Path(__file__).resolve().parent.parent.parent / "plumbline"
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert "plumbline.llm" not in path.read_text(encoding="utf-8"), path
