@@ -65,9 +65,9 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each split and suite: scenarios, those in a cross-split pair, and the pairs; for heldout the mean of the best coverage by a partner."""
     found = _splits(spark, sf_dir)
     rows = table(spark, sf_dir, "scenarios").select("scenario_id", plain_label("split").alias("split"), "suite")
-    ends = found.pairs.select(
-        F.explode(F.array(F.struct(F.col("left_id").alias("id"), F.lit(None).cast("double").alias("c")), F.struct("right_id", "coverage"))).alias("e")
-    )
+    none = F.lit(None).cast("double")
+    both = F.array(F.struct(F.col("left_id").alias("id"), none.alias("c")), F.struct(F.col("right_id").alias("id"), F.col("coverage").alias("c")))
+    ends = found.pairs.select(F.explode(both).alias("e"))
     ends = ends.groupBy(F.col("e.id").alias("scenario_id")).agg(F.count("*").alias("n_pairs"), F.max("e.c").alias("coverage"))
     rows = rows.where("split IN ('development', 'heldout')").join(ends, "scenario_id", "left")
     return rows.groupBy("split", "suite").agg(
