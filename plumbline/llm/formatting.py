@@ -111,10 +111,10 @@ def collapse_formatting(records: DataFrame, id_column: str, dialogue: str, state
     parsed and brought to canonical text, and the counts are summed over equal canonical
     texts. The record's id is the smallest of its copies'. Null roles, texts and states
     are values of their own. Rows with a null or empty dialogue are compared with nothing:
-    each is a record of one copy and no member. Rows repeated under one id are copies. An
+    each is a record of one copy and no member. Rows without an id are no records. Rows repeated under one id are copies. An
     empty table gives empty results. Columns not named here are not read.
     """
-    rows = records.select(F.col(id_column).alias("id"), F.col(dialogue).alias("d"), F.col(state).alias("s"))
+    rows = records.select(F.col(id_column).alias("id"), F.col(dialogue).alias("d"), F.col(state).alias("s")).where("id IS NOT NULL")
     bare = rows.where("d IS NULL OR size(d) = 0")
     rows = rows.where("size(d) > 0")
     # JSON quotes what it holds, so equal digests are equal bytes in equal fields.

@@ -126,11 +126,11 @@ def consistent_turns(turns: pd.Series) -> pd.Series:
 def equal_looking(records: DataFrame, id_column: str, dialogue: str) -> DataFrame:
     """(left_id, right_id), left smaller: dialogues that look the same turn by turn but are stored differently.
 
-    Null and empty dialogues are in no pair; a null turn text equals only a null one;
+    Null ids and null or empty dialogues are in no pair; a null turn text equals only a null one;
     rows repeated under one id count once; an empty table gives an empty result. Only
     texts with a partner of other characters meet in the join, as digests.
     """
-    rows = records.select(F.col(id_column).alias("id"), F.col(f"{dialogue}.text").alias("turns")).where("size(turns) > 0")
+    rows = records.select(F.col(id_column).alias("id"), F.col(f"{dialogue}.text").alias("turns")).where("id IS NOT NULL AND size(turns) > 0")
 
     def digest(column: str) -> Column:
         return F.unhex(F.sha2(F.to_json(F.struct(F.col(column).alias("t")), {"ignoreNullFields": "false"}).cast("binary"), 256))

@@ -106,7 +106,7 @@ def _promising(pairs: DataFrame) -> DataFrame:
 
 def comparison_rows(records: DataFrame, id_column: str, dialogue: str) -> DataFrame:
     """(id, text, digest) of every record with at least one piece."""
-    rows = records.select(F.col(id_column).alias("id"), joined_turns(dialogue).alias("raw")).where("raw IS NOT NULL")
+    rows = records.select(F.col(id_column).alias("id"), joined_turns(dialogue).alias("raw")).where("raw IS NOT NULL AND id IS NOT NULL")
     rows = rows.select("id", comparison_text_udf("raw").alias("text")).where("length(text) >= 3")
     return rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
@@ -115,7 +115,7 @@ def near_groups(records: DataFrame, id_column: str, dialogue: str, scratch: Scra
     """(group_id, id): members of groups of two or more records linked directly or through others.
 
     Two records are linked if at least 0.8 of the distinct three-character pieces of either
-    are found in both. Records with a null or empty dialogue or fewer than three letters
+    are found in both. Records with a null id, a null or empty dialogue or fewer than three letters
     and digits have no pieces and are in no group; a null turn text counts as empty. A
     record repeated under the same id counts once; ``group_id`` is the smallest id. An
     empty table gives an empty result. Other columns, whatever their names, are not read.
@@ -174,5 +174,6 @@ def near_groups(records: DataFrame, id_column: str, dialogue: str, scratch: Scra
     class_of = classes.select("id", "digest").join(class_of, "id").select("digest", "class_id")
     ids = rows.select("id", "digest").distinct().join(class_of, "digest")
     ids = scratch.save(ids.select("id", "class_id"), "ids")
+    scratch.drop(rows, classes, members, first_links, grouped, left_over)
     sizes = ids.groupBy("class_id").agg(F.min("id").alias("group_id"), F.count("*").alias("n_members")).where("n_members > 1")
     return ids.join(sizes, "class_id").select("group_id", "id")

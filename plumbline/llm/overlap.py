@@ -236,12 +236,12 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
 
     ``split`` holds plain labels; rows of other or null splits take no part. Records are
     linked if 0.8 or more of the distinct three-character pieces of either are in both.
-    Records with a null or empty dialogue or fewer than three letters and digits are in
-    no pair; a null turn text counts as empty; a record stored twice under one id counts
+    Records with a null id, a null or empty dialogue or fewer than three letters and
+    digits are in no pair; a null turn text counts as empty; a record stored twice under one id counts
     once; an empty table or split gives an empty result. Texts are used whole. Equal
     texts are scanned once and expanded last.
     """
-    named = records.select(F.col(id_column).alias("__id"), F.col(dialogue).alias("__dialogue"), F.col(split).alias("__split"))
+    named = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col(dialogue).alias("__dialogue"), F.col(split).alias("__split"))
     sides = named.where(F.col("__split").isin(train, evaluation))
     rows = comparison_rows(sides.select(F.struct("__id", "__split").alias("key"), "__dialogue"), "key", "__dialogue")
     rows = scratch.save(rows.select("id.__id", "id.__split", "text", "digest"), "sides")
@@ -269,8 +269,9 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
     of_a = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.col("digest").alias("d_a"))
     of_b = known.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.col("digest").alias("d_b"))
     linked = pairs.join(of_a, "a").join(of_b, "b").where(linked_udf("text_a", "text_b"))
-    linked = linked.select("d_a", "d_b", _coverage_udf("text_a", "text_b").alias("coverage"))
-    ids = rows.select("__id", "__split", "digest").distinct()
+    linked = scratch.save(linked.select("d_a", "d_b", _coverage_udf("text_a", "text_b").alias("coverage")), "linked")
+    ids = scratch.save(rows.select("__id", "__split", "digest").distinct(), "ids")
+    scratch.drop(rows, classes, chosen, pairs)
     of_train = ids.where(F.col("__split") == train).select(F.col("__id").alias("left_id"), F.col("digest").alias("d_b"))
     of_held = ids.where(F.col("__split") == evaluation).select(F.col("__id").alias("right_id"), F.col("digest").alias("d_a"))
     return Overlap(linked.join(of_train, "d_b").join(of_held, "d_a").select("left_id", "right_id", "coverage"))

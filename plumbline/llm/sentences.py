@@ -80,7 +80,7 @@ def _language_rules(language: str) -> list[tuple[bool, str, str]]:
         rules.append((JOIN, rf"{_WORD_START}(?:{_PAIRS_DE})\.", ""))
     if language == "en":
         # The answer "no." is no number: it refers to one only if one follows.
-        rules.append((BREAK, rf"{_WORD_START}no\.", rf"{_BLANK}+\p{{Lu}}\p{{Ll}}"))
+        rules.append((BREAK, rf"{_WORD_START}[Nn]o\.", rf"{_BLANK}+\p{{Lu}}\p{{Ll}}"))
     if _TITLES.get(language):
         rules.append((JOIN, rf"{_WORD_START}(?:{_either(_TITLES[language])})\.", ""))
     if _REFERENCES.get(language):
@@ -192,7 +192,8 @@ def line_ends(line: str, label: str) -> list[int]:
             start, end = match.span()
             if any(a < start < b for a, b in spans) or _ITEM.match(line[:start]):
                 continue
-            if not (_NO_BREAK_AT.match(line[start - 1]) or _NO_BREAK_AT.match(line[end])):
+            # A colon before the blank belongs to a speaker or an opener.
+            if not (line[start - 1] in ":：" or _NO_BREAK_AT.match(line[start - 1]) or _NO_BREAK_AT.match(line[end])):
                 found.append(start)
         found = sorted(set(found))
     return found

@@ -31,12 +31,13 @@ def relate(records: DataFrame, id_column: str, by: Sequence[str], keep: tuple[st
     The graph has a vertex for each value, not for each record: a record ties its own
     values together, and equal ties are counted once before any graph work. A value that
     a third of all rows share is therefore one vertex. Null values relate nothing; a
-    record without any value stands alone. ``keep`` is a column to carry along and its new name.
+    record without any value stands alone. Rows without an id are no
+    records. ``keep`` is a column to carry along and its new name.
     """
     values = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(c))) for i, c in enumerate(by)]
     alone = F.concat(F.lit("-:"), F.col(id_column).cast("string"))
     column, name = keep
-    rows = records.select(F.col(id_column).alias("id"), F.col(column).alias(name), F.array_compact(F.array(*values)).alias("values"), alone.alias("alone"))
+    rows = records.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(column).alias(name), F.array_compact(F.array(*values)).alias("values"), alone.alias("alone"))
     rows = rows.select("id", name, "values", F.coalesce(F.get("values", F.lit(0)), "alone").alias("node"))
     ties = rows.where("size(values) > 1").select("node", F.explode(F.slice("values", 2, len(by))).alias("other")).distinct()
     roots = components(ties, "node", "other", scratch).select(F.col("id").alias("node"), F.col("group_id").alias("root"))

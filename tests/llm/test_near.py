@@ -80,7 +80,7 @@ def test_overlap_matches_brute_force(spark, scratch, seed, monkeypatch):
 def test_odd_texts(spark, scratch):
     long = "".join(random.Random(9).choices(LETTERS, k=120_000))
     rows = [("a", None, "heldout", "", "", 1), ("b", [], "heldout", "", "", 1), ("c", [("c", None)], "heldout", "", "", 1), ("d", [("c", "ab")], "development", "", "", 1), ("e", [("c", "ab")], "heldout", "", "", 1),
-            ("f", [("c", "abc")], "development", "", "", 1), ("g", [("c", "A-b c")], "heldout", "", "", 1), ("h", [("c", long)], "development", "", "", 1), ("i", [("c", long[:-9])], "heldout", "", "", 1), ("i", [("c", long[:-9])], "heldout", "", "", 1)]
+            ("f", [("c", "abc")], "development", "", "", 1), ("g", [("c", "A-b c")], "heldout", "", "", 1), ("h", [("c", long)], "development", "", "", 1), ("i", [("c", long[:-9])], "heldout", "", "", 1), ("i", [("c", long[:-9])], "heldout", "", "", 1), (None, [("c", "abc")], "heldout", "", "", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert set(map(tuple, near_groups(df, "id", "d", scratch).collect())) == {("f", "f"), ("f", "g"), ("h", "h"), ("h", "i")}
     found = overlap.split_overlap(df, "id", "d", "split", "development", "heldout", scratch).pairs
@@ -115,7 +115,7 @@ RECORDS = "id string, c string, f string, split string, label string, root strin
 
 
 def test_broken_groups(spark, scratch):
-    rows = [("3", "c1", "f1", "development", "A", "", 0), ("1", "c1", None, None, "A", "", 0), ("2", None, "f1", "heldout", "A", "", 0), ("4", "c2", "f2", "development", "A", "", 0), ("5", None, None, "heldout", "A", "", 0), ("6", "f1", None, "heldout", "A", "", 0)]
+    rows = [("3", "c1", "f1", "development", "A", "", 0), ("1", "c1", None, None, "A", "", 0), ("2", None, "f1", "heldout", "A", "", 0), ("4", "c2", "f2", "development", "A", "", 0), ("5", None, None, "heldout", "A", "", 0), ("6", "f1", None, "heldout", "A", "", 0), (None, "c2", None, "heldout", "A", "", 0)]
     df = spark.createDataFrame(rows, RECORDS)
     assert set(map(tuple, broken_groups(df, "id", ["c", "f"], "split", ("development", "heldout"), scratch).collect())) == {("1", "1"), ("1", "2"), ("1", "3")}
     assert broken_groups(df.limit(0), "id", ["c", "f"], "split", ("development", "heldout"), scratch).count() == 0

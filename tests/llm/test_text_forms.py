@@ -44,7 +44,7 @@ def rows(*items):
 
 def test_collapse(spark, scratch):
     long = "长" * 200_000
-    df = spark.createDataFrame(rows(("b", ["Hello, world"], '{"a":"X"}'), ("a", ["hello world!"], '{ "a": "x" }'), ("c", ["hello world!"], '{ "a": "x" }'), ("d", ["hello world"], "{}"), ("e", None, "{}"), ("f", [], "{}"), ("g", None, "{}"), ("h", [long], None), ("i", [long + " "], None)), SCHEMA)
+    df = spark.createDataFrame(rows(("b", ["Hello, world"], '{"a":"X"}'), ("a", ["hello world!"], '{ "a": "x" }'), ("c", ["hello world!"], '{ "a": "x" }'), ("d", ["hello world"], "{}"), ("e", None, "{}"), ("f", [], "{}"), ("g", None, "{}"), ("h", [long], None), ("i", [long + " "], None), (None, ["hello world"], "{}")), SCHEMA)
     found = formatting.collapse_formatting(df, "id", "d", "s", scratch)
     assert sorted(map(tuple, found.records.collect())) == [("a", 3), ("d", 1), ("e", 1), ("f", 1), ("g", 1), ("h", 2)]
     assert sorted(map(tuple, found.members.collect())) == [("a", "a"), ("a", "b"), ("a", "c"), ("h", "h"), ("h", "i")]
@@ -94,7 +94,7 @@ def test_visible_differences(a, b):
 
 
 def test_pairs(spark):
-    df = spark.createDataFrame(rows(("a", ["pay"], None), ("b", ["рay"], None), ("c", ["pay"], None), ("d", ["pay", ""], None), ("e", None, None), ("f", [], None), ("g", ["ｐay"], None), ("g", ["ｐay"], None), ("h", [None], None), ("i", [None], None)), SCHEMA)
+    df = spark.createDataFrame(rows(("a", ["pay"], None), ("b", ["рay"], None), ("c", ["pay"], None), ("d", ["pay", ""], None), ("e", None, None), ("f", [], None), ("g", ["ｐay"], None), ("g", ["ｐay"], None), ("h", [None], None), ("i", [None], None), (None, ["pаy"], None)), SCHEMA)
     found = sorted(map(tuple, lookalike.equal_looking(df, "id", "d").collect()))
     assert found == [("a", "b"), ("a", "g"), ("b", "c"), ("b", "g"), ("c", "g")]
     assert lookalike.equal_looking(df.limit(0), "id", "d").count() == 0
