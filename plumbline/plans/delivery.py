@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.delivery import SeenStore
-from plumbline.scratch import shared_dir
+from plumbline.scratch import Scratch
 from plumbline.sources.tables import table
 
 KEYS = {"job_id": "string", "run_generation": "long"}
@@ -18,7 +17,7 @@ WAVES = 3
 
 def _store(spark: SparkSession) -> SeenStore:
     shards = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return SeenStore(spark, f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}", KEYS, shards)
+    return SeenStore(spark, f"{Scratch(spark).root}/seen", KEYS, shards)
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.delivery import SeenStore
-from plumbline.scratch import Scratch, shared_dir
+from plumbline.scratch import Scratch
 
 
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 16) -> DataFrame:
@@ -64,7 +64,7 @@ def select_once(stream: DataFrame, keys: dict[str, str], arrival_id: str, order:
     its result over itself, so each identifier stays once.
     """
     spark, root = stream.sparkSession, f"{scratch.root}/once-{uuid.uuid4().hex[:8]}"
-    store = SeenStore(spark, f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}", keys)
+    store = SeenStore(spark, f"{root}-seen", keys)
 
     def keep(batch: DataFrame, number: int) -> None:
         if store.version() > number:
