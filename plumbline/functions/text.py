@@ -93,3 +93,18 @@ def gram_overlap(texts: DataFrame, text_key: str, clauses: DataFrame, clause_key
     left = texts.select(text_key, F.explode(ngrams(F.col("text"), n)).alias("gram"))
     right = clauses.select(clause_key, F.explode(ngrams(F.col("text"), n)).alias("gram"))
     return left.join(right, "gram").groupBy(text_key, clause_key).agg(F.count("*").alias("shared"))
+
+
+def absolute_url(url: Column, scheme: str = "https") -> Column:
+    """A URL without scheme gets one."""
+    return F.when(url.startswith("//"), F.concat(F.lit(f"{scheme}:"), url)).otherwise(url)
+
+
+def record_id(*parts: Column) -> Column:
+    """The first 20 hex digits of the digest of the parts."""
+    return F.substring(F.sha2(F.concat_ws("|", *parts).cast("binary"), 256), 1, 20)
+
+
+def percent(value: Column, digits: int = 1) -> Column:
+    """A share as a percentage text."""
+    return F.concat(F.format_number(value * 100, digits), F.lit("%"))

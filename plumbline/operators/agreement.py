@@ -78,3 +78,27 @@ def panel_decisions(votes: DataFrame, item: str, choice: str, accepts: str, conf
 def second_round(found: DataFrame) -> DataFrame:
     """Items for another round: not unanimous, or unresolved."""
     return found.where("NOT unanimous OR decision = 'unresolved'")
+
+
+def panel_design(ratings: DataFrame, item: str, rater: str) -> DataFrame:
+    """(ratings_per_item, n_items, n_raters): how many items have how many ratings, and by how many raters."""
+    per_item = ratings.groupBy(item).agg(F.count("*").alias("k"), F.count_distinct(rater).alias("r"))
+    return per_item.groupBy(F.col("k").alias("ratings_per_item")).agg(F.count("*").alias("n_items"), F.min("r").alias("least_raters"))
+
+
+def broad_agreement(ratings: DataFrame, item: str, choice: str, score: str) -> DataFrame:
+    """Items that are unanimous, that four raters agree on, and whose scores lie within one; with mean score."""
+    cells = ratings.select(F.col(item).alias("__i"), F.col(choice).alias("__c"), F.col(score).alias("__s"))
+    votes = cells.groupBy("__i", "__c").agg(F.count("*").alias("v")).groupBy("__i").agg(F.max("v").alias("top"), F.count("*").alias("kinds"))
+    scores = cells.groupBy("__i").agg((F.max("__s") - F.min("__s")).alias("span"), F.sum("__s").alias("total"), F.count("*").alias("k"))
+    joined = votes.join(scores, "__i")
+    return joined.agg(
+        F.count("*").alias("items"), F.count_if(F.col("kinds") == 1).alias("unanimous"), F.count_if(F.col("top") >= 4).alias("four_agree"),
+        F.count_if(F.col("span") <= 1).alias("within_one"), (F.sum("total") / F.sum("k")).alias("mean_score"),
+    )
+
+
+def wrong_vote_totals(rows: DataFrame, key: str, votes: str, panel: int = 5) -> DataFrame:
+    """(key, total): rows whose map of votes does not add up to the panel; null maps are left alone."""
+    total = F.aggregate(F.map_values(votes), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x.cast("long"), F.lit(0)))
+    return rows.select(key, total.alias("total")).where(F.col("total") != panel)

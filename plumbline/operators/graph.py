@@ -215,7 +215,8 @@ def review_packet(edges: DataFrame, per_type: int, seed: str) -> DataFrame:
     """The ``per_type`` edges of each type that come first by a seeded hash, numbered."""
     order = F.sha2(F.concat_ws("|", F.lit(seed), "edge_type", "left_id", "right_id").cast("binary"), 256)
     place = F.row_number().over(Window.partitionBy("edge_type").orderBy("order", "left_id", "right_id"))
-    return edges.withColumn("order", order).withColumn("place", place).where(F.col("place") <= per_type).drop("order")
+    found = edges.withColumn("order", order).withColumn("place", place).where(F.col("place") <= per_type).drop("order")
+    return found.withColumn("packet_id", F.format_string("%s-%04d", F.col("edge_type"), F.col("place")))
 
 
 def gates(checks: DataFrame, conditions: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -225,3 +226,16 @@ def gates(checks: DataFrame, conditions: Sequence[tuple[str, Column]]) -> DataFr
     for _, c in conditions:
         everything = everything & c
     return checks.select(F.explode(F.array(*entries, F.struct(F.lit("all").alias("gate"), everything.alias("passed")))).alias("g")).select("g.*")
+
+
+def repair_candidates(records: DataFrame, crossing: DataFrame, families: DataFrame) -> DataFrame:
+    """(family_id, n_rows, n_edges): the chosen families with their records and incident crossing edges.
+
+    An edge counts once for a family that has both its ends. Edges reach families by a
+    join, not by going through all edges for each.
+    """
+    edge = F.struct("left_id", "right_id", "edge_type")
+    ends = crossing.select(edge.alias("e"), F.explode(F.array("left_family_id", "right_family_id")).alias("family_id")).where("family_id IS NOT NULL")
+    edges = ends.distinct().groupBy("family_id").agg(F.count("*").alias("n_edges"))
+    rows = records.where("family_id IS NOT NULL").groupBy("family_id").agg(F.count("*").alias("n_rows"))
+    return families.select("family_id").distinct().join(rows, "family_id").join(edges, "family_id", "left").fillna(0, ["n_edges"])

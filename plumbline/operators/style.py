@@ -30,3 +30,24 @@ def jensen_shannon(counts: DataFrame, left: str, right: str) -> DataFrame:
         return F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(F.lit(0.0))
 
     return wide.crossJoin(F.broadcast(whole)).agg(F.round(F.sum((part(p) + part(q)) / 2), 9).alias("bits"), F.count("*").alias("vocabulary"))
+
+
+def marker_rates(rows: DataFrame, by: str, text: Column, markers: dict[str, str]) -> DataFrame:
+    """How many texts of each group match each pattern, one column each."""
+    return rows.groupBy(by).agg(F.count(text).alias("n"), *[F.count_if(text.rlike(p)).alias(f"n_{name}") for name, p in markers.items()])
+
+
+def nearest(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """(id, neighbour, similarity): for every text of ``left`` (id, text) the most alike of ``right`` by character n-grams.
+
+    Only pairs that share a gram are formed, by a join on the gram; ties go to the
+    smallest id. Texts that share none have no neighbour.
+    """
+    from plumbline.functions.text import ngrams
+
+    a = left.select("id", F.explode(ngrams(F.col("text"), n)).alias("gram"), F.size(ngrams(F.col("text"), n)).alias("na"))
+    b = right.select(F.col("id").alias("neighbour"), F.explode(ngrams(F.col("text"), n)).alias("gram"), F.size(ngrams(F.col("text"), n)).alias("nb"))
+    shared = a.join(b, "gram").groupBy("id", "neighbour", "na", "nb").agg(F.count("*").alias("c"))
+    scored = shared.withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c")))
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "neighbour")).alias("b"))
+    return best.select("id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.s")).alias("similarity"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.canonical import digest, json_keys, struct_json
+from plumbline.functions.canonical import digest, json_keys, string_digest, struct_json
 
 # Methods of evaluation with what each adds to date and dialogue, and keys
 # that must never reach a model.
@@ -108,3 +108,25 @@ def evidence_for(scenarios: DataFrame, clauses: DataFrame) -> DataFrame:
     """
     rules = scenarios.select("scenario_id", F.explode("label.controlling_rule_ids").alias("rule_id")).distinct()
     return rules.join(clauses, "rule_id").groupBy("scenario_id").agg(F.array_sort(F.collect_set("clause_id")).alias("evidence"))
+
+
+def realization_view(scenarios: DataFrame, language: str = "zh-CN") -> DataFrame:
+    """What a writer of dialogues may see: date, state and language, no label."""
+    return scenarios.select("scenario_id", "decision_date", "state", F.lit(language).alias("language"))
+
+
+def job_ledger(requests: DataFrame, scenarios: DataFrame, slot: str, version: str) -> DataFrame:
+    """One job for each request, bound to its scenario by ids and to its input and label by digests."""
+    s = scenarios.select(
+        "scenario_id", "family_id", F.col("leakage_component_id").alias("component_id"), F.col("component_id").alias("design_component_id"),
+        "suite", "split", string_digest(F.col("label.primary_action")).alias("gold_action_sha256"),
+    )
+    fixed = {"schema_version": version, "status": "prepared_label_free_evaluation_not_run", "system_slot": slot, "repeat_policy": "single_first_attempt"}
+    rows = requests.drop("payload").join(s, "scenario_id")
+    return rows.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()], F.col("job_id").alias("exact_request_group"), F.lit(1).cast("long").alias("repeat"))
+
+
+def with_prediction(rows: DataFrame, predictions: DataFrame, key: str, column: str = "prediction") -> DataFrame:
+    """Rows with the column replaced by that of ``predictions`` (key, column); rows without one keep theirs."""
+    new = predictions.select(key, F.col(column).alias("__new"))
+    return rows.join(new, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")

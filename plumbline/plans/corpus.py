@@ -222,6 +222,23 @@ def panel_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("decision").agg(F.count("*").alias("n"), F.count_if(again).alias("n_again"), F.sum("votes").alias("votes"))
 
 
+def panel_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings per item of the panel."""
+    return agreement.panel_design(_panel(spark, sf_dir), "l_partkey", "rater")
+
+
+def panel_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unanimous, four-of-five and within-one items of the panel."""
+    return agreement.broad_agreement(_panel(spark, sf_dir), "l_partkey", "choice", "score")
+
+
+def vote_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose votes by quantity do not add up to five."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey", (F.col("l_quantity").cast("long") % 4).cast("string").alias("c")).agg(F.count("*").alias("v"))
+    maps = rows.groupBy("l_partkey").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("votes"))
+    return agreement.wrong_vote_totals(maps, "l_partkey", "votes")
+
+
 def defect_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score interval of the share of returned line items by year."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year"))
@@ -257,6 +274,25 @@ def style_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style.length_profile(table(spark, sf_dir, "documents"), "doc_kind", F.length("text"))
 
 
+def style_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each kind ask, exclaim, quote or hold a number."""
+    markers = {"question": "[?？؟]", "exclamation": "[!！]", "quotation": "[“”「」«»\"]", "number": "[0-9]"}
+    return style.marker_rates(table(spark, sf_dir, "documents"), "doc_kind", F.col("text"), markers)
+
+
+def style_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every expert document the most alike legal extract, by pairs of characters."""
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", plain_label("source").alias("source"))
+    found = style.nearest(rows.where("source = 'expert_rounds'"), rows.where("source = 'legal_extracts'"), 2)
+    return found.select("id", "neighbour", F.round("similarity", 12).alias("similarity"))
+
+
+def job_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs of all heldout scenarios, without payloads."""
+    rows = table(spark, sf_dir, "scenarios").where(plain_label("split") == "heldout")
+    return views.job_ledger(views.evaluation_requests(views.evaluation_payloads(rows), "EVAL"), rows, "public_openai_compatible", "0.20.0")
+
+
 def style_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of single characters and pairs between two sources."""
     rows = table(spark, sf_dir, "documents").withColumn("source", plain_label("source")).where("source IN ('service_desk_log', 'app_chat_export')")
@@ -368,6 +404,20 @@ SELECT CAST(n AS BIGINT) AS items, CAST(k AS BIGINT) AS raters, round((msr - mse
 rest AS (SELECT l_partkey, count(*) FILTER (accepts) AS accept, count(*) FILTER (NOT accepts) AS reject, median(score) AS confidence, count(DISTINCT choice) = 1 AS unanimous FROM panel GROUP BY l_partkey),
 d AS (SELECT *, CASE WHEN votes >= 4 AND confidence >= 4 AND accept >= 4 THEN 'confirm' WHEN votes >= 4 AND confidence >= 4 AND reject >= 4 THEN 'revise' ELSE 'unresolved' END AS decision FROM top JOIN rest USING (l_partkey))
 SELECT decision, count(*) AS n, count(*) FILTER (NOT unanimous OR decision = 'unresolved') AS n_again, CAST(sum(votes) AS BIGINT) AS votes FROM d GROUP BY decision""",
+    "panel_design": f"""WITH {_PANEL}, i AS (SELECT l_partkey, count(*) AS k, count(DISTINCT rater) AS r FROM panel GROUP BY l_partkey)
+SELECT k AS ratings_per_item, count(*) AS n_items, min(r) AS least_raters FROM i GROUP BY k""",
+    "panel_agreement": f"""WITH {_PANEL}, v AS (SELECT l_partkey, max(c) AS top, count(*) AS kinds FROM (SELECT l_partkey, choice, count(*) AS c FROM panel GROUP BY ALL) GROUP BY l_partkey),
+s AS (SELECT l_partkey, max(score) - min(score) AS span, sum(score) AS total, count(*) AS k FROM panel GROUP BY l_partkey)
+SELECT count(*) AS items, count(*) FILTER (kinds = 1) AS unanimous, count(*) FILTER (top >= 4) AS four_agree, count(*) FILTER (span <= 1) AS within_one,
+  CAST(sum(total) AS DOUBLE) / CAST(sum(k) AS DOUBLE) AS mean_score FROM v JOIN s USING (l_partkey)""",
+    "vote_totals": "SELECT l_partkey, count(*) AS total FROM lineitem GROUP BY l_partkey HAVING count(*) <> 5",
+    "style_markers": """SELECT doc_kind, count(text) AS n, count(*) FILTER (regexp_matches(text, '[?？؟]')) AS n_question, count(*) FILTER (regexp_matches(text, '[!！]')) AS n_exclamation,
+  count(*) FILTER (regexp_matches(text, '[“”「」«»"]')) AS n_quotation, count(*) FILTER (regexp_matches(text, '[0-9]')) AS n_number FROM documents GROUP BY doc_kind""",
+    "style_neighbours": f"""WITH d AS (SELECT doc_id, {sql_plain("source")} AS source, list_distinct([substr(text, CAST(i AS INTEGER), 2) FOR i IN range(1, length(text))]) AS g FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id AS id, len(g) AS na, unnest(g) AS gram FROM d WHERE source = 'expert_rounds'), b AS (SELECT doc_id AS neighbour, len(g) AS nb, unnest(g) AS gram FROM d WHERE source = 'legal_extracts'),
+s AS (SELECT id, neighbour, count(*) AS c, na, nb FROM a JOIN b USING (gram) GROUP BY id, neighbour, na, nb)
+SELECT id, neighbour, round(c / CAST(na + nb - c AS DOUBLE), 12) AS similarity FROM s
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY c / CAST(na + nb - c AS DOUBLE) DESC, neighbour) = 1""",
     "defect_interval": f"""WITH c AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) FILTER (l_returnflag = 'R') AS k, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT year, k, n, round({_WILSON.format(z=_Z, z2=_Z2, sign="-")}, 9) AS low, round({_WILSON.format(z=_Z, z2=_Z2, sign="+")}, 9) AS high FROM c""",
     "keyword_weights": f"""WITH {_KEYWORDS} SELECT label, token, df_in, df_out, round(weight, 9) AS weight FROM (
@@ -381,7 +431,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         privacy_findings, document_categories, document_sources, merged_records, tag_stripped, normalized_dialogues, clause_overlap, lexical_edges, parsed_responses,
         ledger_totals, reused_requests, model_inputs, model_inputs_digest, scoring_view, payload_leaks, relation_keys, state_keys, broken_dialogues,
-        controlling_rules, rule_coverage, job_agreement, gold_digests, record_counts, rater_kappa, rater_icc, panel_decisions, defect_interval,
-        keyword_weights, keyword_accuracy, style_lengths, style_divergence,
+        controlling_rules, rule_coverage, job_agreement, gold_digests, record_counts, rater_kappa, rater_icc, panel_decisions, panel_design, panel_agreement, vote_totals, defect_interval,
+        keyword_weights, keyword_accuracy, style_lengths, style_markers, style_neighbours, style_divergence, job_ledger,
     )
 }

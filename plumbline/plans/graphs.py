@@ -109,6 +109,13 @@ def cross_cluster_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.family_cover(ended.where("left_cluster <> right_cluster"))
 
 
+def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families with an edge into another block, their records and such edges."""
+    crossing = _ended(spark, sf_dir).where("left_component_id <> right_component_id")
+    families = crossing.select(F.explode(F.array("left_family_id", "right_family_id")).alias("family_id")).where("family_id IS NOT NULL")
+    return graph.repair_candidates(records(spark, sf_dir), crossing, families)
+
+
 def repair_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For several caps: clusters, edges across them, and families to rewrite."""
     scratch = Scratch(spark)
@@ -207,11 +214,17 @@ SELECT CAST(row_number() OVER (ORDER BY n DESC, component_id) AS INTEGER) AS ran
   count(*) FILTER (edge_type = 'exact_semantic_signature') AS n_exact_semantic_signature, count(*) FILTER (edge_type = 'char_ngram') AS n_char_ngram,
   count(*) FILTER (edge_type = 'token_jaccard') AS n_token_jaccard, max(score) AS max_score,
   max(CASE edge_type WHEN 'exact_semantic_signature' THEN 3 WHEN 'char_ngram' THEN 2 ELSE 1 END) AS priority FROM ended WHERE lc <> rc GROUP BY 1, 2""",
+    "repair_candidates": f"""WITH {_RECORDS}, x AS (
+  SELECT e.left_id, e.right_id, e.edge_type, a.family_id AS lf, b.family_id AS rf FROM edges e JOIN records a ON a.scenario_id = left_id JOIN records b ON b.scenario_id = right_id
+  WHERE a.component_id <> b.component_id),
+f AS (SELECT DISTINCT left_id, right_id, edge_type, lf AS family_id FROM x WHERE lf IS NOT NULL UNION SELECT left_id, right_id, edge_type, rf FROM x WHERE rf IS NOT NULL),
+n AS (SELECT family_id, count(*) AS n_edges FROM f GROUP BY family_id)
+SELECT family_id, (SELECT count(*) FROM records r WHERE r.family_id = n.family_id) AS n_rows, n_edges FROM n""",
     "duplicate_dialogues": f"""WITH {_RECORDS}, groups AS (
   SELECT count(*) AS size, count(DISTINCT component_id) > 1 AS c, count(DISTINCT suite) > 1 AS s, count(DISTINCT gold) > 1 AS g
   FROM records WHERE dialogue IS NOT NULL GROUP BY dialogue HAVING count(*) > 1)
 SELECT size, count(*) AS n_groups, CAST(sum(size - 1) AS BIGINT) AS excess, count(*) FILTER (c) AS cross_component_id, count(*) FILTER (s) AS cross_suite, count(*) FILTER (g) AS cross_gold FROM groups GROUP BY size""",
-    "review_packet": f"""WITH {_RECORDS} SELECT left_id, right_id, edge_type, score, CAST(place AS INTEGER) AS place FROM (
+    "review_packet": f"""WITH {_RECORDS} SELECT left_id, right_id, edge_type, score, CAST(place AS INTEGER) AS place, edge_type || '-' || lpad(CAST(place AS VARCHAR), 4, '0') AS packet_id FROM (
   SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY sha256('{SEED}|' || edge_type || '|' || left_id || '|' || right_id), left_id, right_id) AS place FROM edges)
 WHERE place <= 100""",
     "split_crossing": f"""SELECT component, count(DISTINCT split) AS n_splits, count(*) AS n FROM (
@@ -225,6 +238,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         component_variants, threshold_sensitivity, component_top10, edge_statistics, block_pairs, bounded_clusters, cross_cluster_cover,
-        repair_simulation, duplicate_dialogues, review_packet, split_crossing, diversity_gates,
+        repair_candidates, repair_simulation, duplicate_dialogues, review_packet, split_crossing, diversity_gates,
     )
 }

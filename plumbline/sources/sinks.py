@@ -72,3 +72,10 @@ def markdown_table(df: DataFrame, columns: Sequence[str], digits: int = 3) -> st
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     lines += ["| " + " | ".join(_cell(r[c], digits).replace("|", r"\|") for c in columns) + " |" for r in _few(df.select(*columns))]
     return "\n".join(lines) + "\n"
+
+
+def write_checksums(files: DataFrame, path: str) -> None:
+    """Lines of digest and path of files (path, sha256), in order of path; an existing file is refused."""
+    with open(path, "x", encoding="utf-8") as out:
+        for row in sorted(_few(files.select("path", "sha256")), key=lambda r: r.path):
+            out.write(f"{row.sha256}  {row.path}\n")
