@@ -30,8 +30,10 @@ _TOKEN = r"(<num>|[\p{L}\p{N}&&[^\x{3400}-\x{9fff}]]+|[\x{3400}-\x{9fff}])"
 def tokens(text: Column) -> Column:
     """Distinct words and ideographs, and adjacent pairs of them."""
     single = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
-    pairs = F.when(F.size(single) > 1, F.transform(F.sequence(F.lit(1), F.size(single) - 1), lambda i: F.concat_ws(" ", F.element_at(single, i), F.element_at(single, i + 1))))
-    return F.array_distinct(F.concat(single, F.coalesce(pairs, F.array().cast("array<string>"))))
+    # Zipped with itself one on: inside a lambda the extraction would run for every element.
+    n = F.greatest(F.size(single) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(single, F.lit(1), n), F.slice(single, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.concat(single, pairs))
 
 
 def jaccard(a: Column, b: Column) -> Column:
