@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Labels a baseline may have.
+LABELS = 100
 #: Latin words and single ideographs.
 TOKEN = r"([a-z0-9]+|[\x{4e00}-\x{9fff}])"
 
@@ -22,6 +24,15 @@ def label_counts(rows: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(whole)).select(label, "n_label", "total", prior.alias("prior"))
 
 
+def _label_array(labels: DataFrame, label: str, columns: list[str]) -> Column:
+    """The labels as one literal array; more than LABELS are refused, so its size is bounded."""
+    rows = labels.select(label, *columns).orderBy(label).limit(LABELS + 1).collect()
+    if len(rows) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    entries = [F.struct(*[F.lit(r[c]).alias(c) for c in (label, *columns)]) for r in rows]
+    return F.array(*entries) if entries else F.array().cast("array<struct<" + ",".join(f"{c}:{t}" for c, t in labels.select(label, *columns).dtypes) + ">>")
+
+
 def log_odds(rows: DataFrame, text: str, label: str, least: int = 5, top: int = 100) -> DataFrame:
     """(label, token, df_in, df_out, weight): the ``top`` tokens of each label, weight descending, then token.
 
@@ -31,7 +42,8 @@ def log_odds(rows: DataFrame, text: str, label: str, least: int = 5, top: int =
     each = rows.select(F.col(label), F.explode(tokens(F.col(text))).alias("token"))
     inside = each.groupBy("token", label).agg(F.count("*").alias("df_in"))
     all_df = inside.groupBy("token").agg(F.sum("df_in").alias("df")).where(F.col("df") >= least)
-    grid = all_df.crossJoin(F.broadcast(labels)).join(inside, ["token", label], "left").fillna(0, ["df_in"])
+    each_label = F.explode(_label_array(labels, label, ["n_label", "total"])).alias("l")
+    grid = all_df.select("*", each_label).select("token", "df", "l.*").join(inside, ["token", label], "left").fillna(0, ["df_in"])
     n_in, n_out = F.col("n_label"), F.col("total") - F.col("n_label")
     df_out = F.col("df") - F.col("df_in")
     weight = F.log((F.col("df_in") + 0.5) / (n_in + 1)) - F.log((df_out + 0.5) / (n_out + 1))
@@ -47,7 +59,8 @@ def predict(rows: DataFrame, key: str, text: str, weights: DataFrame, labels: Da
     """
     each = rows.select(key, F.explode(tokens(F.col(text))).alias("token"))
     scores = each.join(F.broadcast(weights.select("token", label, "weight")), "token").groupBy(key, label).agg(F.sum("weight").alias("score"))
-    grid = rows.select(key).crossJoin(F.broadcast(labels.select(label, "prior"))).join(scores, [key, label], "left")
+    each_label = F.explode(_label_array(labels, label, ["prior"])).alias("l")
+    grid = rows.select(key, each_label).select(key, "l.*").join(scores, [key, label], "left")
     total = F.round(F.col("prior") + F.coalesce("score", F.lit(0.0)), 9)
     best = F.min_by(F.col(label), F.struct((-total).alias("s"), F.col(label)))
     return grid.groupBy(key).agg(best.alias("prediction"))

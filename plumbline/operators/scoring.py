@@ -17,16 +17,15 @@ SEVERE = ("high", "critical")
 WITHHELD = ("REFUSE", "ESCALATE")
 
 
-def first_generation(events: DataFrame) -> DataFrame:
+def first_generation(events: DataFrame, columns: Sequence[Column | str] = ("result", "api_error", "status")) -> DataFrame:
     """The one delivery of each job's first run: the earliest received, then the smallest number.
 
     Runs are numbered from 1; a job whose first run is missing has no row, later runs do
-    not stand in for it. Rows without a job are no events.
+    not stand in for it. Rows without a job are no events. Only ``columns`` are read.
     """
     rank = F.struct(F.col("received_at").isNull(), "received_at", "delivery_no")
     first = events.where("run_generation = 1 AND job_id IS NOT NULL").groupBy("job_id")
-    kept = first.agg(F.min_by(F.struct("result", "api_error", "status", "usage"), rank).alias("e"))
-    return kept.select("job_id", "e.*")
+    return first.agg(F.min_by(F.struct(*columns), rank).alias("e")).select("job_id", "e.*")
 
 
 def coerced(action: Column) -> Column:
@@ -47,7 +46,7 @@ def scored_rows(jobs: DataFrame, scenarios: DataFrame, events: DataFrame) -> Dat
         "scenario_id", "suite", F.col("label.primary_action").alias("gold"), F.col("label.severity").alias("severity"),
         F.col("label.acceptable_actions").alias("acceptable"), F.coalesce(F.size("dialogue"), F.lit(0)).alias("n_turns"),
     )
-    e = first_generation(events).select("job_id", coerced(F.col("result.parsed_action")).alias("prediction"), "api_error")
+    e = first_generation(events, [F.col("result.parsed_action").alias("action"), "api_error"]).select("job_id", coerced(F.col("action")).alias("prediction"), "api_error")
     return j.join(s, "scenario_id").join(e, "job_id")
 
 
@@ -156,7 +155,7 @@ def constant_baselines(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def coverage_gaps(jobs: DataFrame, events: DataFrame, scenarios: DataFrame) -> DataFrame:
     """How many jobs lack an event or a scenario, and how many events lack a job."""
-    first = first_generation(events).select("job_id")
+    first = events.where("run_generation = 1 AND job_id IS NOT NULL").select("job_id").distinct()
     parts = [
         (jobs.join(first, "job_id", "left_anti"), "jobs_without_event"),
         (first.join(jobs, "job_id", "left_anti"), "events_without_job"),
