@@ -190,7 +190,21 @@ broken AS (
   HAVING bool_or(split = 'development') AND bool_or(split = 'heldout'))
 """
 
+_PLAIN = r"regexp_replace(lower({}), '[\s\p{{P}}\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}]+', '', 'g')"
+_FORMATTED = f"""
+leaves AS (
+  SELECT scenario_id, list_sort(list(fullkey || '=' || type || '=' || CASE WHEN type = 'VARCHAR' THEN {_PLAIN.format("atom ->> '$'")} ELSE coalesce(CAST(atom AS VARCHAR), '') END)) AS state
+  FROM scenarios, json_tree(scenarios.state) WHERE len(dialogue) > 0 GROUP BY scenario_id),
+forms AS (
+  SELECT s.scenario_id, list_transform(dialogue, lambda t: {{r: {_PLAIN.format("t.role")}, x: {_PLAIN.format("t.text")}}}) AS turns, l.state
+  FROM scenarios s LEFT JOIN leaves l USING (scenario_id) WHERE len(dialogue) > 0),
+sized AS (SELECT scenario_id, min(scenario_id) OVER w AS group_id, count(*) OVER w AS n_copies FROM forms WINDOW w AS (PARTITION BY turns, state))
+"""
+
 SQL = {
+    "p1_found": f"WITH {_FORMATTED} SELECT group_id, scenario_id FROM sized WHERE n_copies > 1",
+    "p1_records": f"""WITH {_FORMATTED} SELECT DISTINCT group_id, n_copies FROM sized
+UNION ALL SELECT scenario_id, 1 FROM scenarios WHERE dialogue IS NULL OR len(dialogue) = 0""",
     "p7_found": f"WITH RECURSIVE {_RELATED} SELECT group_id, scenario_id FROM placed JOIN broken USING (root)",
     "p5_found": f"WITH RECURSIVE {_EDGES} SELECT group_id, scenario_id FROM grouped",
     "p5_sizes": f"""WITH RECURSIVE {_EDGES}
