@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame

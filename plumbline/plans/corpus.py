@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import canonical, text
-from plumbline.functions.labels import plain_label, sql_plain, sql_upper, upper_id
+from plumbline.functions.labels import plain_label, sql_plain
 from plumbline.operators import agreement, keywords, lexical, style, validators, views
 from plumbline.operators.scoring import ACTIONS
 from plumbline.scratch import Scratch

@@ -260,7 +260,6 @@ _NAMES = (
 )
 _SUMS = ", ".join(f"CAST(sum({c} * multiplicity) AS BIGINT) AS {c}" for c in _NAMES)
 _RATE_NAMES = resampling.RATES
-_ENTRIES = ", ".join(f"('{r}', {r})" for r in _RATE_NAMES)
 
 
 def _interval(source: str, by: str) -> str:

@@ -5,9 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
-from plumbline.operators import agreement, scoring, style, views
-from plumbline.sources import remote, sinks
+from plumbline.functions import canonical, text
+from plumbline.operators import agreement, scoring, style, validators, views
+from plumbline.sources import jsonl, remote, sinks
 
 
 def test_pause_grows_and_repeats():
@@ -104,3 +104,32 @@ def test_small_text_helpers_and_checksums(spark, tmp_path):
     assert (row.u, row.p, len(row.r)) == ("https://x/y", "12.3%", 20)
     sinks.write_checksums(spark.createDataFrame([("b", "2"), ("a", "1")], "path string, sha256 string"), str(tmp_path / "sums"))
     assert (tmp_path / "sums").read_text() == "1  a\n2  b\n"
+
+
+def test_views_keep_only_what_they_name(spark):
+    df = spark.createDataFrame([("S", dt.date(2024, 1, 1), "{}", "x")], "scenario_id string, decision_date date, state string, label string")
+    assert views.oracle_view(df).columns == ["scenario_id", "decision_date", "state"]
+    assert views.realization_view(df, "en").first().language == "en" and "label" not in views.realization_view(df).columns
+    assert views.public_view(df, ["state", "scenario_id"]).columns == ["state", "scenario_id"]
+
+
+def test_documents_prompts_and_contents(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{\n "a": 1\n}')
+    assert jsonl.read_json_document(spark, str(tmp_path / "d.json"), "a long").first().a == 1
+    (tmp_path / "p.txt").write_text("  ask\nthis \n")
+    assert jsonl.read_prompt(spark, str(tmp_path / "p.txt")) == "ask\nthis"
+    (tmp_path / "e.txt").write_text(" \n")
+    with pytest.raises(ValueError, match="no text"):
+        jsonl.read_prompt(spark, str(tmp_path / "e.txt"))
+    df = spark.createDataFrame([('{"choices":[{"message":{"content":"hi"}}]}',), ("{}",), ("x",), (None,)], "r string")
+    assert [r.c for r in df.select(canonical.message_content(F.col("r")).alias("c")).collect()] == ["hi", None, None, None]
+
+
+def test_digests_and_second_rounds(spark):
+    df = spark.createDataFrame([("a", "0CC175B9C0F1B6A831C399E269772661"), ("b", None)], "k string, d string")
+    assert [r.k for r in validators.digest_mismatches(df, "k", "d", F.md5(F.col("k").cast("binary"))).collect()] == ["b"]
+    found = spark.createDataFrame([(1, True, "confirm"), (2, False, "confirm"), (3, True, "unresolved")], "item int, unanimous boolean, decision string")
+    assert sorted(r.item for r in agreement.second_round(found).collect()) == [2, 3]
+    votes = spark.createDataFrame([(1, c, True, 5) for c in "aaaab"] + [(2, c, False, 4) for c in "aaaaa"] + [(3, c, True, 5) for c in "aabbc"], "item int, choice string, ok boolean, conf int")
+    decided = {r.item: (r.decision, r.votes) for r in agreement.panel_decisions(votes, "item", "choice", "ok", "conf").collect()}
+    assert decided == {1: ("confirm", 4), 2: ("revise", 5), 3: ("unresolved", 2)}
