@@ -1,12 +1,18 @@
 """Records of one split that occur, exactly or almost, among the records of another.
 
 Passages are all runs of LENGTH characters of an evaluation record's comparison text. An
-edit that costs a text k of its pieces damages at most k + 3 passages, and a text linked
-at similarity 0.8 has lost so few pieces that no more than 0.27 of its passages can be
-damaged, whatever the edits (the worst are scattered deletions of one character: 6
-passages each, one in 23 characters). So of any selection of passages all but that many
-must occur in a linked partner. The selection is the rarest ones, by counts over all
-texts of both splits, so common phrases propose nothing.
+edit that costs a text k of its three-character pieces damages k + 3 passages at most.
+With a and b the numbers of pieces of the record and its partner, similarity 0.8 means
+that at least 4 (a + b) / 9 pieces are shared, so the record has lost at most a share of
+1/9 + 4/9 x of its own, x = (a - b) / a. What that can damage depends on the edits. Those
+that damage most for what they cost are an inserted twin of a letter (one piece lost, two
+new, 4 passages) and a deleted one (two lost, one new, 5 passages). The most damage at a
+given x is 4 (1/9 + 4/9 x) where twins are only inserted, 1/3 where as many are inserted as
+deleted, 0.36 where they are only deleted; deletions, insertions, replacements and swaps
+of other letters damage 0.26 at most. (Only edits that leave no new piece behind could
+do more, and only if a text is full of them.) So of any selection of passages all but that
+many occur in a linked partner. The selection is the rarest ones, by counts over all texts
+of both splits, so common phrases propose nothing.
 
 Evaluation records go to shards of bounded size by the number of their pieces. Each
 shard becomes one Aho-Corasick automaton over its passages, which scans the training
@@ -37,14 +43,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.near import comparison_rows
-from plumbline.llm.pieces import in_batches, linked_udf, n_pieces_udf
+from plumbline.llm.pieces import in_batches, n_pieces_udf, piece_codes
 from plumbline.scratch import Scratch
 
 LENGTH = 6
-#: Of a text's passages at most DAMAGED in a hundred plus SLACK can be lost in a linked partner.
-DAMAGED, SLACK = 27, 3
-#: How many more than that are selected, in a hundred and at least; as many must be found.
-MORE, MORE_AT_LEAST = 6, 4
+#: Largest share of a text's passages that a linked partner may lack, and a few for rounding.
+MOST_LACKING, SLACK = 0.37, 3
+#: How many more than the most lacking are selected, as a share and at least.
+MORE, MORE_AT_LEAST = 0.02, 2
 #: Evaluation records of one automaton: about 70 MB of nodes at 70 passages each. A training
 #: text costs one walk through each automaton, so few large ones are cheaper than many small.
 SHARD = 12_000
@@ -109,22 +115,20 @@ def passage_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _selecting(counts: object):
-    """(a, n_a, need, passages): the rarest passages of each text, and how many a partner must hold."""
+    """(a, n_a, n_all, passages, text): the rarest passages of each text, and how many it has in all."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            needs, chosen = [], []
+            numbers, chosen = [], []
             for text in batch.column("text").to_pylist():
                 order = np.argsort(counts.value[_slots(text)], kind="stable")
                 # One passage for each distinct run of characters, rarest first.
                 found = list(dict.fromkeys(text[i : i + LENGTH] for i in order.tolist())) or [text]
-                lost = DAMAGED * len(found) // 100 + SLACK
-                picked = found[: lost + MORE * len(found) // 100 + MORE_AT_LEAST]
-                needs.append(max(1, len(picked) - lost))
-                chosen.append(picked)
+                numbers.append(len(found))
+                chosen.append(found[: int(MOST_LACKING * len(found)) + SLACK + int(MORE * len(found)) + MORE_AT_LEAST])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_pieces"), pa.array(needs, pa.int32()), pa.array(chosen, pa.list_(pa.string()))],
-                names=["a", "n_a", "need", "passages"],
+                [batch.column("id"), batch.column("n_pieces"), pa.array(numbers, pa.int32()), pa.array(chosen, pa.list_(pa.string())), batch.column("text")],
+                names=["a", "n_a", "n_all", "passages", "text"],
             )
 
     return select
@@ -144,25 +148,37 @@ class _Shard:
     """An automaton over the passages of some records, and who has each passage."""
 
     def __init__(self, path: str, number: int) -> None:
-        rows = _open(path).to_table(columns=["a", "n_a", "need", "passages"], filter=ds.field("shard") == number)
+        rows = _open(path).to_table(columns=["a", "n_a", "n_all", "passages", "text"], filter=ds.field("shard") == number)
         self.records = rows["a"].to_numpy()
         self.sizes = rows["n_a"].to_numpy().astype(np.int64)
-        self.need = rows["need"].to_numpy().astype(np.int64)
+        self.n_all = rows["n_all"].to_numpy().astype(np.int64)
         column = rows["passages"].combine_chunks()
-        known: dict[str, int] = {}
-        codes = np.fromiter((known.setdefault(p, len(known)) for p in column.flatten().to_pylist()), dtype=np.int64)
-        owners = np.repeat(np.arange(len(self.records)), np.diff(column.offsets.to_numpy()))
+        self.n_chosen = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        distinct = column.flatten().dictionary_encode()
+        codes = distinct.indices.to_numpy()
+        owners = np.repeat(np.arange(len(self.records)), self.n_chosen)
         order = np.argsort(codes, kind="stable")
         self.owners = owners[order]
-        self.starts = np.searchsorted(codes[order], np.arange(len(known) + 1))
+        self.starts = np.searchsorted(codes[order], np.arange(len(distinct.dictionary) + 1))
         self.automaton = ahocorasick.Automaton()
-        for passage, code in known.items():
+        for code, passage in enumerate(distinct.dictionary.to_pylist()):
             self.automaton.add_word(passage, code)
         self.automaton.make_automaton()
+        pieces = [piece_codes(text) for text in rows["text"].to_pylist()]
+        self.ends = np.cumsum([0, *map(len, pieces)])
+        self.pieces = np.concatenate(pieces)
+        # What a partner of any size must hold at least.
+        self.need = self.needed(np.arange(len(self.records)), 0)
         self.least = self.need.min()
 
+    def needed(self, at: np.ndarray, size: int) -> np.ndarray:
+        """How many of the selected passages a partner of ``size`` pieces must hold."""
+        loss = (self.sizes[at] - size) / np.maximum(self.sizes[at], 1)
+        share = np.clip(np.minimum(0.335 + 0.34 * loss, 0.45 + 1.78 * loss), 0, MOST_LACKING)
+        return np.maximum(1, self.n_chosen[at] - (share * self.n_all[at]).astype(np.int64) - SLACK)
+
     def partners(self, text: str, size: int) -> np.ndarray:
-        """Positions of the records that share enough passages with a text of fitting size."""
+        """Positions of the records linked with a text: those that share enough passages, checked on the exact pieces."""
         found = np.array(list({code for _, code in self.automaton.iter(text)}), dtype=np.int64)
         begin = self.starts[found]
         lengths = self.starts[found + 1] - begin
@@ -173,15 +189,31 @@ class _Shard:
         owners = self.owners[np.arange(total) + np.repeat(begin - ends + lengths, lengths)]
         if 16 * total < len(self.need):
             at, shared = np.unique(owners, return_counts=True)
-            at = at[shared >= self.need[at]]
         else:
-            at = np.nonzero(np.bincount(owners, minlength=len(self.need)) >= self.need)[0]
+            shared = np.bincount(owners, minlength=len(self.need))
+            at = np.nonzero(shared >= self.need)[0]
+            shared = shared[at]
         sizes = self.sizes[at]
-        return at[5 * np.minimum(sizes, size) >= 4 * np.maximum(sizes, size)]
+        fits = (shared >= self.need[at]) & (5 * np.minimum(sizes, size) >= 4 * np.maximum(sizes, size))
+        at, shared = at[fits], shared[fits]
+        if len(at):
+            at = at[shared >= self.needed(at, size)]
+        if not len(at):
+            return at
+        own = piece_codes(text)
+        return at[[self._linked(i, own) for i in at.tolist()]]
+
+    def _linked(self, i: int, own: np.ndarray) -> bool:
+        """Whether record ``i`` and a text with the pieces ``own`` are similar enough, exactly."""
+        mine = self.pieces[self.ends[i] : self.ends[i + 1]]
+        place = np.searchsorted(mine, own)
+        place[place == len(mine)] = 0
+        both = int(np.count_nonzero(mine[place] == own))
+        return 5 * both >= 4 * (len(mine) + len(own) - both)
 
 
 def _scanning(shards: str, texts: str, train: str, ranges: list[tuple[int, int, int]], slices: int):
-    """(a, b): pairs that share enough. Each input row is one shard against one slice of the texts."""
+    """(a, b): linked pairs. Each input row is one shard against one slice of the texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in (n for batch in batches for n in batch.column("id").to_pylist()):
@@ -253,7 +285,7 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
 
     spark = records.sparkSession
     counts = spark.sparkContext.broadcast(passage_counts(classes))
-    chosen = held.select("id", "text", "n_pieces").mapInArrow(_selecting(counts), "a long, n_a int, need int, passages array<string>")
+    chosen = held.select("id", "text", "n_pieces").mapInArrow(_selecting(counts), "a long, n_a int, n_all int, passages array<string>, text string")
     sizes = {r.split: r.n for r in classes.groupBy("split").agg(F.count("*").alias("n")).collect()}
     shards = max(1, -(-sizes.get(evaluation, 0) // SHARD))
     chosen = chosen.repartitionByRange(shards, "n_a", "a").withColumn("shard", F.spark_partition_id())
@@ -268,7 +300,7 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
 
     of_a = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.col("digest").alias("d_a"))
     of_b = known.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.col("digest").alias("d_b"))
-    linked = pairs.join(of_a, "a").join(of_b, "b").where(linked_udf("text_a", "text_b"))
+    linked = pairs.join(of_a, "a").join(of_b, "b")
     linked = scratch.save(linked.select("d_a", "d_b", _coverage_udf("text_a", "text_b").alias("coverage")), "linked")
     ids = scratch.save(rows.select("__id", "__split", "digest").distinct(), "ids")
     scratch.drop(rows, classes, chosen, pairs)

@@ -163,3 +163,47 @@ def test_min_cost_flow_against_all_assignments():
             net.arc(6 + j, 1, 2)
         best = min(sum(costs[i][c] for i, c in enumerate(p)) for p in __import__("itertools").product(range(3), repeat=4) if all(p.count(j) <= 2 for j in range(3)))
         assert net.solve(0, 1) == best
+
+
+def _edited(rng, text, kind):
+    at = rng.randrange(1, len(text) - 2)
+    if kind == "delete":
+        return text[:at] + text[at + 1 :]
+    if kind == "delete_two":
+        return text[:at] + text[at + 2 :]
+    if kind == "insert":
+        return text[:at] + rng.choice(LETTERS) + text[at:]
+    if kind == "replace":
+        return text[:at] + rng.choice(LETTERS) + text[at + 1 :]
+    if kind == "swap":
+        return text[:at] + text[at + 1] + text[at] + text[at + 2 :]
+    if kind == "undouble":
+        twins = [i for i in range(len(text) - 1) if text[i] == text[i + 1]]
+        return text if not twins else text[: (i := rng.choice(twins))] + text[i + 1 :]
+    return text[2:] if kind == "head" else text[:-2]
+
+
+def test_every_kind_of_edit_up_to_the_threshold(spark, scratch):
+    """Pairs that were edited as long as they stay linked, so they lie just above 0.8, in both directions."""
+    rng, rows, expected = random.Random(11), [], set()
+    for kind in ("delete", "delete_two", "insert", "replace", "swap", "undouble", "head", "tail"):
+        for n in (40, 90, 200, 400):
+            for turned in (False, True):
+                text = "".join(rng.choice(LETTERS) * (2 if kind == "undouble" and rng.random() < 0.2 else 1) for _ in range(n))
+                best, work = text, text
+                for _ in range(n):
+                    work = _edited(rng, work, kind)
+                    x, y = pieces(("", [("c", text)])), pieces(("", [("c", work)]))
+                    if 5 * len(x & y) < 4 * len(x | y):
+                        break
+                    best = work
+                if best == text:
+                    continue
+                left, right = (best, text) if turned else (text, best)
+                i = len(rows)
+                rows += [(f"D{i}", [("c", left)], "development", "", "", 1), (f"H{i}", [("c", right)], "heldout", "", "", 1)]
+                expected.add((f"D{i}", f"H{i}"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = overlap.split_overlap(df, "id", "d", "split", "development", "heldout", scratch).pairs.collect()
+    assert {(r.left_id, r.right_id) for r in found} == expected and len(expected) > 50
+    assert {(min(a, b), x) for a, b in expected for x in (a, b)} == set(map(tuple, near_groups(df, "id", "d", scratch).collect()))
