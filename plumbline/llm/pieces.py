@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Share of distinct pieces found in both from which two texts are linked.
-THRESHOLD = 0.8
 #: What Python calls alphanumeric: word characters but the low line.
 _LETTERS_DIGITS = re.compile(r"[^\W_]+")
 

@@ -133,7 +133,6 @@ _THAI_BLANK = regex.compile(rf"(?<=[^\p{{White_Space}}\p{{Cf}}]){_BLANK}*\p{{Whi
 _NO_BREAK_AT = regex.compile(r"[\p{Nd}%٪％]|\p{Latin}")
 _ITEM = regex.compile(rf"^{_BLANK}*(?:[-–—•*·]|[(（]?(?:\p{{Nd}}{{1,4}}|\p{{Latin}})[.)）、．])$")
 _LETTER = regex.compile(r"\p{L}")
-_LINE = regex.compile(r"\n")
 
 
 def _protected(line: str) -> list[tuple[int, int]]:

@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.labels import plain_label, sql_trimmed, upper_id
+from plumbline.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def upper_id(name: str) -> Column:
-    """An id without outer whitespace, in upper case."""
-    return F.upper(F.regexp_replace(F.col(name), r"(?U)^\s+|\s+$", ""))
-
-
-def plain_label(name: str) -> Column:
-    """A label without outer whitespace, in lower case."""
-    return F.lower(F.regexp_replace(F.col(name), r"(?U)^\s+|\s+$", ""))
+__all__ = ["edge_type", "plain_label", "sql_trimmed", "table", "upper_id"]
 
 
 def edge_type(name: str) -> Column:
     """An edge type in its plain spelling."""
     return F.replace(plain_label(name), F.lit("-"), F.lit("_"))
-
-
-def sql_trimmed(expression: str) -> str:
-    """The same trimming in DuckDB's SQL, whose blank class is ASCII only."""
-    blank = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-    return f"regexp_replace({expression}, '^{blank}+|{blank}+$', '', 'g')"
