@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANK = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SQL_BLANK = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def trimmed(column: Column | str) -> Column:
@@ -25,7 +25,7 @@ def plain_label(column: Column | str) -> Column:
 
 def sql_trimmed(expression: str) -> str:
     """SQL for ``trimmed``; DuckDB's blank class is ASCII only, so the others are listed."""
-    return f"regexp_replace({expression}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+    return f"regexp_replace({expression}, '^{SQL_BLANK}+|{SQL_BLANK}+$', '', 'g')"
 
 
 def sql_upper(expression: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import canonical, text
-from plumbline.functions.labels import plain_label, sql_plain
+from plumbline.functions.labels import SQL_BLANK, plain_label, sql_plain
 from plumbline.operators import agreement, keywords, lexical, style, validators, views
 from plumbline.operators.scoring import ACTIONS
 from plumbline.scratch import Scratch
@@ -355,6 +355,8 @@ SELECT place, kind, count(*) AS n_findings, count(DISTINCT id) AS n_records FROM
     "merged_records": f"""SELECT substr(sha256(text), 1, 20) AS record_id, count(*) AS n, min_by(doc_kind, doc_id) AS first_kind,
   list_sort(list_distinct(list({sql_plain("source")}))) AS sources, list_sort(list_distinct(list({sql_plain("lang")}))) AS langs
 FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1 HAVING count(*) > 1""",
+    "tag_stripped": f"""SELECT doc_id, CAST(length(trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '{SQL_BLANK}+', ' ', 'g'))) AS INTEGER) AS n_chars
+FROM documents WHERE regexp_matches(text, '<[^>]*>')""",
     "ledger_totals": """SELECT status, count(*) AS n, count(api_error) AS n_errors, count(*) FILTER (result.parsed_action IS NULL) AS n_unparsed,
   CAST(sum(usage.completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(usage.prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(usage.total_tokens) AS BIGINT) AS total_tokens
 FROM event_ledger GROUP BY status""",
@@ -422,6 +424,21 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY c / CAST(na + nb - c AS DOUB
 SELECT year, k, n, round({_WILSON.format(z=_Z, z2=_Z2, sign="-")}, 9) AS low, round({_WILSON.format(z=_Z, z2=_Z2, sign="+")}, 9) AS high FROM c""",
     "keyword_weights": f"""WITH {_KEYWORDS} SELECT label, token, df_in, df_out, round(weight, 9) AS weight FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, token) AS place FROM weighted) WHERE place <= 100""",
+    "keyword_accuracy": f"""WITH {_KEYWORDS},
+top AS (SELECT label, token, weight FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, token) AS place FROM weighted) WHERE place <= 100),
+held AS (SELECT scenario_id, label, text FROM base WHERE split = 'heldout'),
+seen AS (SELECT scenario_id, unnest({_TOKENS}) AS token FROM held),
+scores AS (SELECT scenario_id, top.label AS guess, sum(weight) AS score FROM seen JOIN top USING (token) GROUP BY ALL),
+priors AS (SELECT label AS guess, ln((n_label + 1) / CAST(total + (SELECT count(*) FROM n) AS DOUBLE)) AS prior FROM n),
+totals AS (SELECT h.scenario_id, h.label, p.guess, round(p.prior + coalesce(s.score, 0), 9) AS total
+  FROM held h CROSS JOIN priors p LEFT JOIN scores s ON s.scenario_id = h.scenario_id AND s.guess = p.guess),
+best AS (SELECT scenario_id, label, guess FROM totals QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY total DESC, guess) = 1)
+SELECT label, count(*) AS n, count(*) FILTER (label = guess) AS n_correct FROM best GROUP BY label""",
+    "style_divergence": f"""WITH d AS (SELECT {sql_plain("source")} AS source, text FROM documents WHERE text IS NOT NULL),
+g AS ({" UNION ALL ".join(f"SELECT {n} AS n, source, unnest([substr(text, CAST(i AS INTEGER), {n}) FOR i IN range(1, length(text) + {2 - n})]) AS gram FROM d WHERE source IN ('service_desk_log', 'app_chat_export') AND length(text) >= {n}" for n in (1, 2))}),
+w AS (SELECT n, gram, count(*) FILTER (source = 'service_desk_log') AS a, count(*) FILTER (source = 'app_chat_export') AS b FROM g GROUP BY n, gram),
+p AS (SELECT n, a / CAST(sum(a) OVER (PARTITION BY n) AS DOUBLE) AS p, b / CAST(sum(b) OVER (PARTITION BY n) AS DOUBLE) AS q FROM w)
+SELECT n, round(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 9) AS bits, count(*) AS vocabulary FROM p GROUP BY n""",
     "style_lengths": """SELECT doc_kind, count(text) AS n, CAST(sum(length(text)) AS BIGINT) AS total, quantile_cont(CAST(length(text) AS DOUBLE), 0.1) AS q10,
   quantile_cont(CAST(length(text) AS DOUBLE), 0.5) AS median, quantile_cont(CAST(length(text) AS DOUBLE), 0.9) AS q90 FROM documents GROUP BY doc_kind""",
 }
