@@ -139,20 +139,29 @@ def _protected(line: str) -> list[tuple[int, int]]:
     """Spans of balanced quotations and brackets of a line, outermost only, in order."""
     spans: list[tuple[int, int]] = []
     opened: list[tuple[str, int]] = []
+    # How many of the open marks each character would close.
+    waiting: dict[str, int] = {}
+
+    def note(closers: str, change: int) -> None:
+        for c in closers:
+            waiting[c] = waiting.get(c, 0) + change
+
     for match in _PAIRED.finditer(line):
         char, at = match[0], match.start()
-        closes = next((i for i in range(len(opened) - 1, -1, -1) if char in opened[i][0]), None)
-        if closes is not None:
+        if waiting.get(char):
             # What opened inside and did not close is no bracket.
-            start = opened[closes][1]
-            del opened[closes:]
+            while True:
+                closers, start = opened.pop()
+                note(closers, -1)
+                if char in closers:
+                    break
             while spans and spans[-1][0] > start:
                 spans.pop()
             spans.append((start, at))
-        elif char == '"':
-            opened.append(('"', at))
-        elif char in _CLOSERS:
-            opened.append((_CLOSERS[char], at))
+        elif char == '"' or char in _CLOSERS:
+            closers = _CLOSERS.get(char, '"')
+            opened.append((closers, at))
+            note(closers, 1)
     return spans
 
 

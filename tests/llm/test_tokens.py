@@ -136,3 +136,15 @@ def test_sentences_as_rows(spark):
     assert sorted(map(tuple, found.where("k < 4").collect())) == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
     assert found.where("k = 4").count() == 50_000
     assert sentences(df.limit(0), "k", "t", "l").count() == 0
+
+
+def test_long_lines_take_time_in_proportion():
+    import time
+
+    def seconds(text):
+        began = time.perf_counter()
+        sentence_spans(text, "en")
+        return time.perf_counter() - began
+
+    for piece in ("(a. ", '"a. ', "Dr. ", "1. ", "a.B", "“", "กข "):
+        assert seconds(piece * 20_000) < 40 * seconds(piece * 2_000) + 0.5
