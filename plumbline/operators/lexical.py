@@ -1,9 +1,11 @@
 """Lexical edges between records: exact groups as stars, and SimHash candidates confirmed by Jaccard similarity.
 
 Two records are candidates if three of the six bands of their 64-bit SimHashes agree, so
-any three flipped bits are survived; each bucket proposes its members against its first only, so edges grow with the
-records, not with the squares of buckets. That finds what is nearly identical; it does
-not promise every pair above the thresholds.
+any three flipped bits are survived. All members of a bucket are compared with each
+other, in blocks of bounded size, and each pair only in the first bucket where it meets.
+Near edges are pairs, so a family of n texts that are all alike gives n (n - 1) / 2. A pair
+above the thresholds whose SimHashes agree in fewer bands is not found; README gives the
+measured share.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from plumbline.scratch import Scratch
 CHAR_FROM, TOKEN_FROM = 0.82, 0.88
 #: First bit and width of each band; keys are three bands together, 32 or 33 bits.
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Members of one bucket compared in one block.
+BLOCK = 2000
 _TOKEN = r"(<num>|[\p{L}\p{N}&&[^\x{3400}-\x{9fff}]]+|[\x{3400}-\x{9fff}])"
 
 
@@ -58,6 +62,28 @@ def simhash(features: pd.Series) -> pd.Series:
     return features.map(simhash_of, na_action="ignore").astype("Int64")
 
 
+def _meeting(heads: DataFrame) -> DataFrame:
+    """(left_id, right_id), left smaller: pairs of ``heads`` (id, s, g, w) that meet in a bucket and whose sizes allow a link, each once."""
+    parts = [F.shiftrightunsigned("s", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BANDS]
+    triples = list(itertools.combinations(range(len(BANDS)), 3))
+    keys = F.array(*[F.struct(F.lit(n).alias("which"), ((parts[i] * 2048 + parts[j]) * 2048 + parts[k]).alias("bits")) for n, (i, j, k) in enumerate(triples)])
+    buckets = heads.select("id", "s", "g", "w", F.explode(keys).alias("k"))
+    shared = buckets.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = buckets.join(shared, "k").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A member meets its own block and, as left side, the later ones, as right side the earlier ones.
+    one = members.select("k", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("id", "s", "g", "w")])
+    other = members.select("k", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("id", "s", "g", "w")])
+    met = one.join(other, ["k", "i", "j"]).where("i < j OR id_a < id_b")
+    # The first bucket of a pair is that of its first three equal bands.
+    differing = F.col("s_a").bitwiseXOR(F.col("s_b"))
+    equal = sum((F.when(F.shiftrightunsigned(differing, at).bitwiseAND(F.lit((1 << width) - 1)) == 0, 1 << n).otherwise(0) for n, (at, width) in enumerate(BANDS)), F.lit(0))
+    upto, first = (F.array(*map(F.lit, x)) for x in ([(2 << k) - 1 for _, _, k in triples], [1 << i | 1 << j | 1 << k for i, j, k in triples]))
+    met = met.where(equal.bitwiseAND(F.get(upto, F.col("k.which"))) == F.get(first, F.col("k.which")))
+    # Two sets are at most as similar as their sizes; the least size is 0 only for sets without a link.
+    alike = [(F.least(f"{c}_a", f"{c}_b") / F.nullif(F.greatest(f"{c}_a", f"{c}_b"), F.lit(0))) >= least for c, least in (("g", CHAR_FROM), ("w", TOKEN_FROM))]
+    return met.where(alike[0] | alike[1]).select(F.least("id_a", "id_b").alias("left_id"), F.greatest("id_a", "id_b").alias("right_id"))
+
+
 def lexical_edges(records: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
     """(left_id, right_id, edge_type, score): edges of three types, left smaller.
 
@@ -73,13 +99,7 @@ def lexical_edges(records: DataFrame, key: str, text: str, scratch: Scratch) ->
     compact = F.replace("t", F.lit(" "), F.lit(""))
     heads = heads.withColumns({"grams": ngrams(compact, 3), "words": tokens(F.col("t"))})
     heads = scratch.save(heads.select("id", "grams", "words", simhash("words").alias("s")), "heads")
-    banded = heads.select("id", "s")
-    parts = [F.shiftrightunsigned("s", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BANDS]
-    triples = enumerate(itertools.combinations(range(len(BANDS)), 3))
-    keys = F.array(*[F.struct(F.lit(n).alias("which"), ((parts[i] * 2048 + parts[j]) * 2048 + parts[k]).alias("bits")) for n, (i, j, k) in triples])
-    buckets = banded.select("id", F.explode(keys).alias("k"))
-    least = buckets.groupBy("k").agg(F.min("id").alias("left_id"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.join(least, "k").where("id <> left_id").select("left_id", F.col("id").alias("right_id")).distinct()
+    pairs = _meeting(heads.select("id", "s", F.size("grams").alias("g"), F.size("words").alias("w")))
     a = heads.select(F.col("id").alias("left_id"), F.col("grams").alias("ga"), F.col("words").alias("wa"))
     b = heads.select(F.col("id").alias("right_id"), F.col("grams").alias("gb"), F.col("words").alias("wb"))
     scored = pairs.join(a, "left_id").join(b, "right_id").withColumns({"c": jaccard(F.col("ga"), F.col("gb")), "w": jaccard(F.col("wa"), F.col("wb"))})

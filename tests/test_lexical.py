@@ -16,3 +16,28 @@ def test_edges(spark, scratch):
 def test_simhash_of_nothing_and_order():
     assert lexical.simhash_of([]) == 0
     assert lexical.simhash_of(["a", "b", "c"]) == lexical.simhash_of(["c", "a", "b"])
+
+
+def test_all_members_of_a_bucket_meet(spark, scratch, monkeypatch):
+    """A chain of texts: neighbours pass, ends do not, and no first member passes with all."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}word{chr(97 + i % 7)}" for i in range(260)]
+    rows = [(f"{n:03d}", " ".join([f"new{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(2 * n)] + words[2 * n :])) for n in range(12)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    whole = None
+    for block in (2000, 2):
+        monkeypatch.setattr(lexical, "BLOCK", block)
+        found = [tuple(r) for r in lexical.lexical_edges(df, "id", "t", scratch).collect()]
+        assert len(found) == len(set(found)) and (whole is None or set(found) == whole)
+        whole = set(found)
+    heads = {k: (lexical.simhash_of(f), set(f)) for k, f in ((r.id, r.f) for r in df.select("id", lexical.tokens(lexical.normalized("t")).alias("f")).collect())}
+
+    def bands(s):
+        return [(s >> at) & ((1 << width) - 1) for at, width in lexical.BANDS]
+
+    expected = set()
+    for a, (s, x) in heads.items():
+        for b, (r, y) in heads.items():
+            if a < b and sum(p == q for p, q in zip(bands(s), bands(r), strict=True)) >= 3 and len(x & y) / len(x | y) >= lexical.TOKEN_FROM:
+                expected.add((a, b))
+    assert {(a, b) for a, b, kind, _ in whole if kind == "token_jaccard"} == expected
+    assert len(expected) > len({b for _, b in expected})
