@@ -42,6 +42,11 @@ def _is_widthless(char: str) -> bool:
     )
 
 
+def _recomposed(text: str) -> str:
+    """``text`` composed again from its parts with Latin shapes."""
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKD", text).translate(LOOKALIKES))
+
+
 class _Form:
     """Patterns of the unstable segments, built once for each worker."""
 
@@ -59,7 +64,8 @@ class _Form:
                     or char in seconds
                     or point in LOOKALIKES
                     or (unicodedata.category(char) == "Zs" and char != " ")
-                    or unicodedata.normalize("NFKC", char) != char
+                    # Also tells composed letters whose base letter is one of LOOKALIKES.
+                    or _recomposed(char) != char
                 ):
                     unstable.append(char)
         # An unstable segment takes the stable character before it along: what follows a
@@ -72,8 +78,7 @@ class _Form:
 
     def canonical(self, segment: str) -> str:
         """A segment without widthless characters, composed, with Latin shapes and plain blanks."""
-        text = unicodedata.normalize("NFKD", self.widthless.sub("", segment)).translate(LOOKALIKES)
-        text = unicodedata.normalize("NFKC", text)
+        text = _recomposed(self.widthless.sub("", segment))
         return "".join(" " if unicodedata.category(c) == "Zs" else c for c in text)
 
 

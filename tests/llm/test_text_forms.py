@@ -116,3 +116,24 @@ def test_random_records_against_pairwise_comparison(spark, scratch):
         if len(group) > 1:
             expected.add((min(group), a[0]))
     assert set(map(tuple, formatting.collapse_formatting(df, "id", "d", "s", scratch).members.collect())) == expected
+
+
+def test_composed_lookalikes_equal_their_parts():
+    """Every character that decomposes into a look-alike, as stored composed, decomposed and beside a zero-width character."""
+    found = 0
+    for point in (p for p in range(0x30000) if not 0xD800 <= p < 0xE000):
+        char = chr(point)
+        parts = unicodedata.normalize("NFKD", char)
+        if parts == char or not any(ord(c) in lookalike.LOOKALIKES for c in parts):
+            continue
+        found += 1
+        variants = (char, unicodedata.normalize("NFD", char), parts, char + "\u200b", "\u200b" + char, "\u200b".join(parts))
+        assert len({lookalike.consistent_form(f"x{v}y") for v in variants}) == 1, hex(point)
+    assert found > 100
+    assert lookalike.consistent_form("\u0451") == lookalike.consistent_form("\u0435\u0308") == "\u00eb"
+
+
+def test_each_character_has_one_form_beside_a_zero_width_one():
+    for point in (p for p in range(0x30000) if not 0xD800 <= p < 0xE000):
+        char = chr(point)
+        assert lookalike.consistent_form(char) == lookalike.consistent_form(char + "\u200b"), hex(point)
