@@ -1,25 +1,21 @@
 """Records of one split that occur, exactly or almost, among the records of another.
 
-Passages are all runs of LENGTH characters of an evaluation record's comparison text. An
-edit that costs a text k of its three-character pieces damages k + 3 passages at most.
-With a and b the numbers of pieces of the record and its partner, similarity 0.8 means
-that at least 4 (a + b) / 9 pieces are shared, so the record has lost at most a share of
-1/9 + 4/9 x of its own, x = (a - b) / a. What that can damage depends on the edits. Those
-that damage most for what they cost are an inserted twin of a letter (one piece lost, two
-new, 4 passages) and a deleted one (two lost, one new, 5 passages). The most damage at a
-given x is 4 (1/9 + 4/9 x) where twins are only inserted, 1/3 where as many are inserted as
-deleted, 0.36 where they are only deleted; deletions, insertions, replacements and swaps
-of other letters damage 0.26 at most. (Only edits that leave no new piece behind could
-do more, and only if a text is full of them.) So of any selection of passages all but that
-many occur in a linked partner. The selection is the rarest ones, by counts over all texts
-of both splits, so common phrases propose nothing.
+Similarity is that of the sets of three-character pieces, and so is the filter before it,
+which makes it exact. With a and b the numbers of pieces of an evaluation record and its
+partner, similarity 0.8 means that at least 4 (a + b) / 9 pieces are shared and that b is
+at least 0.8 a, so a partner lacks a - ceil(4 (a + b) / 9) of the record's pieces at most,
+never more than a fifth. That holds for any texts, whatever their edits, order, alphabet
+or length. So of any selection of pieces all but that many occur in a linked partner. The
+selection is the rarest ones, a fifth and SHARE more, by counts over all texts of both
+splits, so common pieces propose nothing.
 
 Evaluation records go to shards of bounded size by the number of their pieces. Each
-shard becomes one Aho-Corasick automaton over its passages, which scans the training
-texts whose size allows a link with it; the passages found in a text are counted for
-each evaluation record in the same task, so what leaves the task is only the pairs that
-share enough. Those are confirmed on the exact pieces, and the intervals of the
-evaluation text that the partner also holds are merged into its coverage.
+shard becomes one Aho-Corasick automaton over its selected pieces, which scans the
+training texts whose size allows a link with it; the pieces found in a text are counted
+for each evaluation record in the same task, and records that share enough are checked on
+all their pieces there, so only linked pairs leave the task. Passages are all runs of
+LENGTH characters of the evaluation text; those that the partner also holds are merged
+into its coverage.
 
 Shards and texts are tables in the shared folder that the tasks read by themselves: a
 task takes one shard and a slice of the texts, so an automaton is built once for many
@@ -47,16 +43,16 @@ from plumbline.llm.pieces import in_batches, n_pieces_udf, piece_codes
 from plumbline.scratch import Scratch
 
 LENGTH = 6
-#: Largest share of a text's passages that a linked partner may lack, and a few for rounding.
-MOST_LACKING, SLACK = 0.37, 3
-#: How many more than the most lacking are selected, as a share and at least.
-MORE, MORE_AT_LEAST = 0.02, 2
-#: Evaluation records of one automaton: about 70 MB of nodes at 70 passages each. A training
+#: Characters of a piece, see ``piece_codes``.
+PIECE = 3
+#: Share of a record's pieces that are selected beyond the fifth that a partner may lack, and their least number.
+SHARE, AT_LEAST = 0.2, 2
+#: Evaluation records of one automaton, whose nodes are the distinct pieces selected. A training
 #: text costs one walk through each automaton, so few large ones are cheaper than many small.
 SHARD = 12_000
 #: Training texts that one task scans at most with its shard's automaton.
 SLICE = 200_000
-#: Counters of how often passages occur, and how many are in one row while they are added up.
+#: Counters of how often pieces occur, and how many are in one row while they are added up.
 COUNTERS, ROW = 1 << 20, 1 << 15
 #: Partial sums that are added up in one task at a time.
 FAN_IN = 64
@@ -69,11 +65,11 @@ class Overlap(NamedTuple):
 
 
 def _slots(text: str) -> np.ndarray:
-    """The counter of the passage at each position of a text."""
+    """The counter of the piece at each position of a text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = max(len(points) - LENGTH + 1, 0)
+    n = max(len(points) - PIECE + 1, 0)
     hashed = np.zeros(n, dtype=np.uint64)
-    for i in range(LENGTH):
+    for i in range(PIECE):
         hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + points[i : i + n]
     hashed ^= hashed >> np.uint64(29)
     return ((hashed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
@@ -102,8 +98,8 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_count_rows(clipped, [row])])
 
 
-def passage_counts(texts: DataFrame) -> np.ndarray:
-    """How often the passages of each counter occur; a few MB whatever the input."""
+def piece_counts(texts: DataFrame) -> np.ndarray:
+    """How often the pieces of each counter occur; a few MB whatever the input."""
     schema = "row int, counts binary"
     parts = texts.select("text").mapInArrow(_counted, schema).withColumn("part", F.spark_partition_id())
     parts = parts.groupBy("row", F.floor(F.col("part") / FAN_IN)).applyInArrow(_added, schema)
@@ -115,20 +111,19 @@ def passage_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _selecting(counts: object):
-    """(a, n_a, n_all, passages, text): the rarest passages of each text, and how many it has in all."""
+    """(a, n_a, chosen, text): the rarest pieces of each text."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, chosen = [], []
+            chosen = []
             for text in batch.column("text").to_pylist():
                 order = np.argsort(counts.value[_slots(text)], kind="stable")
-                # One passage for each distinct run of characters, rarest first.
-                found = list(dict.fromkeys(text[i : i + LENGTH] for i in order.tolist())) or [text]
-                numbers.append(len(found))
-                chosen.append(found[: int(MOST_LACKING * len(found)) + SLACK + int(MORE * len(found)) + MORE_AT_LEAST])
+                # Each distinct piece once, rarest first.
+                found = list(dict.fromkeys(text[i : i + PIECE] for i in order.tolist()))
+                chosen.append(found[: len(found) // 5 + max(AT_LEAST, int(SHARE * len(found)))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_pieces"), pa.array(numbers, pa.int32()), pa.array(chosen, pa.list_(pa.string())), batch.column("text")],
-                names=["a", "n_a", "n_all", "passages", "text"],
+                [batch.column("id"), batch.column("n_pieces"), pa.array(chosen, pa.list_(pa.string())), batch.column("text")],
+                names=["a", "n_a", "chosen", "text"],
             )
 
     return select
@@ -145,14 +140,13 @@ def _open(path: str) -> ds.Dataset:
 
 
 class _Shard:
-    """An automaton over the passages of some records, and who has each passage."""
+    """An automaton over the selected pieces of some records, and who has each piece."""
 
     def __init__(self, path: str, number: int) -> None:
-        rows = _open(path).to_table(columns=["a", "n_a", "n_all", "passages", "text"], filter=ds.field("shard") == number)
+        rows = _open(path).to_table(columns=["a", "n_a", "chosen", "text"], filter=ds.field("shard") == number)
         self.records = rows["a"].to_numpy()
         self.sizes = rows["n_a"].to_numpy().astype(np.int64)
-        self.n_all = rows["n_all"].to_numpy().astype(np.int64)
-        column = rows["passages"].combine_chunks()
+        column = rows["chosen"].combine_chunks()
         self.n_chosen = np.diff(column.offsets.to_numpy()).astype(np.int64)
         distinct = column.flatten().dictionary_encode()
         codes = distinct.indices.to_numpy()
@@ -161,24 +155,23 @@ class _Shard:
         self.owners = owners[order]
         self.starts = np.searchsorted(codes[order], np.arange(len(distinct.dictionary) + 1))
         self.automaton = ahocorasick.Automaton()
-        for code, passage in enumerate(distinct.dictionary.to_pylist()):
-            self.automaton.add_word(passage, code)
+        for code, piece in enumerate(distinct.dictionary.to_pylist()):
+            self.automaton.add_word(piece, code)
         self.automaton.make_automaton()
         pieces = [piece_codes(text) for text in rows["text"].to_pylist()]
         self.ends = np.cumsum([0, *map(len, pieces)])
         self.pieces = np.concatenate(pieces)
-        # What a partner of any size must hold at least.
-        self.need = self.needed(np.arange(len(self.records)), 0)
+        # What a partner of any size must hold at least; one of fewer than 0.8 n_a pieces is none.
+        self.need = self.needed(np.arange(len(self.records)), -(-4 * self.sizes // 5))
         self.least = self.need.min()
 
-    def needed(self, at: np.ndarray, size: int) -> np.ndarray:
-        """How many of the selected passages a partner of ``size`` pieces must hold."""
-        loss = (self.sizes[at] - size) / np.maximum(self.sizes[at], 1)
-        share = np.clip(np.minimum(0.335 + 0.34 * loss, 0.45 + 1.78 * loss), 0, MOST_LACKING)
-        return np.maximum(1, self.n_chosen[at] - (share * self.n_all[at]).astype(np.int64) - SLACK)
+    def needed(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """How many of the selected pieces a partner of ``size`` pieces must hold."""
+        lacking = self.sizes[at] - -(-4 * (self.sizes[at] + size) // 9)
+        return np.maximum(1, self.n_chosen[at] - np.maximum(lacking, 0))
 
     def partners(self, text: str, size: int) -> np.ndarray:
-        """Positions of the records linked with a text: those that share enough passages, checked on the exact pieces."""
+        """Positions of the records linked with a text: those that share enough of their selected pieces, checked on all pieces."""
         found = np.array(list({code for _, code in self.automaton.iter(text)}), dtype=np.int64)
         begin = self.starts[found]
         lengths = self.starts[found + 1] - begin
@@ -284,8 +277,8 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
     held, known = classes.where(F.col("split") == evaluation), classes.where(F.col("split") == train)
 
     spark = records.sparkSession
-    counts = spark.sparkContext.broadcast(passage_counts(classes))
-    chosen = held.select("id", "text", "n_pieces").mapInArrow(_selecting(counts), "a long, n_a int, n_all int, passages array<string>, text string")
+    counts = spark.sparkContext.broadcast(piece_counts(classes))
+    chosen = held.select("id", "text", "n_pieces").mapInArrow(_selecting(counts), "a long, n_a int, chosen array<string>, text string")
     sizes = {r.split: r.n for r in classes.groupBy("split").agg(F.count("*").alias("n")).collect()}
     shards = max(1, -(-sizes.get(evaluation, 0) // SHARD))
     chosen = chosen.repartitionByRange(shards, "n_a", "a").withColumn("shard", F.spark_partition_id())

@@ -207,3 +207,23 @@ def test_every_kind_of_edit_up_to_the_threshold(spark, scratch):
     found = overlap.split_overlap(df, "id", "d", "split", "development", "heldout", scratch).pairs.collect()
     assert {(r.left_id, r.right_id) for r in found} == expected and len(expected) > 50
     assert {(min(a, b), x) for a, b in expected for x in (a, b)} == set(map(tuple, near_groups(df, "id", "d", scratch).collect()))
+
+
+def test_overlap_of_long_repetitive_and_reordered_texts(spark, scratch):
+    """Texts whose pieces recur, so that an edit or a new order damages passages and costs few pieces."""
+    rng = random.Random(5)
+    digits = ["".join(rng.choices("0123456789", k=2500)) for _ in range(4)]
+    narrow = ["".join(rng.choices("abc", k=n)) for n in (60, 120, 900)]
+    words = ["".join(rng.choices("etaoinshr", k=rng.randrange(3, 8))) for _ in range(150)]
+    runs = [f"{rng.choice(words)}{rng.choice(words)}" for _ in range(1500)]
+    ordered = "".join(runs)
+    rng.shuffle(runs)
+    loop = "abcdefghij" * 300
+    texts = [*digits, *narrow, ordered, "".join(runs), loop, loop[4:] + "abxcd", loop[:900] + loop[2:905]]
+    rows = [(f"{split[0]}{i:02d}", [("c", text)], split, "", "", 1) for split in ("development", "heldout") for i, text in enumerate(texts)]
+    rows += [(f"x{split[0]}{i}", [("c", text)], split, "", "", 1) for i, (one, two) in enumerate([("abcde", "bcdea"), ("abcabcab", "cabcabca")]) for split, text in (("development", one), ("heldout", two))]
+    split = {r[0]: r[2] for r in rows}
+    expected = {tuple(sorted(p, key=lambda x: split[x])) for p in links(rows) if {split[x] for x in p} == {"development", "heldout"}}
+    assert {("d00", "h01"), ("d07", "h08")} <= expected
+    found = overlap.split_overlap(spark.createDataFrame(rows, SCHEMA), "id", "d", "split", "development", "heldout", scratch).pairs.collect()
+    assert {(r.left_id, r.right_id) for r in found} == expected and len(found) == len(expected)
