@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -14,8 +16,10 @@ from plumbline.scratch import Scratch
 
 #: Parts of a bundle's hash range whose sizes are counted before members are ranked.
 PARTS = 1024
-#: Cost of a record beyond a split's quota, and beyond the quota of its label in the split.
-OVER_SPLIT, OVER_LABEL = 1000, 10
+#: Cost of a record beyond a split's quota, and beyond the split's part of the groups of its size.
+OVER_SPLIT, OVER_SIZE = 1000, 10
+#: Groups of a bundle and split that are placed one by one, by their labels, and rows of the plan that the driver holds.
+SINGLY, HELD = 16, 100_000
 
 
 class Related(NamedTuple):
@@ -66,45 +70,42 @@ def broken_groups(records: DataFrame, id_column: str, by: Sequence[str], split:
     return rows.select("id", "node").distinct().join(placed, "node").select("group_id", "id")
 
 
-def _allocate(bundles: list, shares: list[tuple[str, float]]) -> list[list[int]]:
-    """For each bundle how many of its groups go to each split."""
-    labels = sorted({b.label for b in bundles})
-    total = sum(b.size * b.n for b in bundles)
-    of_label = {x: sum(b.size * b.n for b in bundles if b.label == x) for x in labels}
+def _allocate(sizes: list, shares: list[tuple[str, float]]) -> list[list[int]]:
+    """For each size how many of its groups go to each split."""
+    total = sum(b.size * b.n for b in sizes)
     quotas = [round(share * total) for _, share in shares]
-    k, m = len(shares), len(labels)
+    k, m = len(shares), len(sizes)
     source, sink = 0, 1
     split_at = [2 + i for i in range(k)]
-    cell_at = [[2 + k + i * m + j for j in range(m)] for i in range(k)]
     first = 2 + k + k * m
-    net = Network(first + len(bundles))
+    net = Network(first + m)
     widest = max(range(k), key=lambda i: quotas[i])
     for i in range(k):
         net.arc(split_at[i], sink, quotas[i])
         net.arc(split_at[i], sink, total, OVER_SPLIT)
-        for j, label in enumerate(labels):
-            net.arc(cell_at[i][j], split_at[i], round(shares[i][1] * of_label[label]))
-            net.arc(cell_at[i][j], split_at[i], total, OVER_LABEL)
     arcs = []
-    for at, b in enumerate(bundles):
+    for at, b in enumerate(sizes):
         net.arc(source, first + at, b.size * b.n)
         row = []
         for i in range(k):
+            cell = 2 + k + i * m + at
+            net.arc(cell, split_at[i], round(shares[i][1] * b.size * b.n))
+            net.arc(cell, split_at[i], total, OVER_SIZE)
             # A split takes only groups that fit its quota whole; the widest takes any.
             room = b.n if i == widest else min(b.n, quotas[i] // b.size)
-            row.append(net.arc(first + at, cell_at[i][labels.index(b.label)], room * b.size))
+            row.append(net.arc(first + at, cell, room * b.size))
         arcs.append(row)
     net.solve(source, sink)
     # Whole groups: floors first, then each rest to the split that lags most.
     lag = list(map(float, quotas))
     counts = []
-    for b, row in zip(bundles, arcs, strict=True):
+    for b, row in zip(sizes, arcs, strict=True):
         flows = [net.flow(a) for a in row]
         whole = [f // b.size for f in flows]
         counts.append(whole)
         for i in range(k):
             lag[i] -= whole[i] * b.size
-    for b, whole in sorted(zip(bundles, counts, strict=True), key=lambda x: -x[0].size):
+    for b, whole in sorted(zip(sizes, counts, strict=True), key=lambda x: -x[0].size):
         for _ in range(b.n - sum(whole)):
             i = max(range(k), key=lambda i: (lag[i], -i))
             whole[i] += 1
@@ -112,18 +113,47 @@ def _allocate(bundles: list, shares: list[tuple[str, float]]) -> list[list[int]]
     return counts
 
 
+def _deal(bundles: Iterator, rooms: dict[int, list[int]], of_label: dict[str | None, int], shares: list[tuple[str, float]]) -> Iterator[tuple]:
+    """For each bundle of a (size, profile) how many of its groups go to each split: (size, profile, counts).
+
+    ``rooms`` tells how many groups of each size a split takes. Most groups of a large
+    bundle are dealt in proportion to that, which deviates in no label; each other goes
+    where its label counts add least to the squared deviations from the label quotas.
+    """
+    k = len(shares)
+    quota = {x: [max(share * n, 1.0) for _, share in shares] for x, n in of_label.items()}
+    held = {x: [0] * k for x in of_label}
+    for b in bundles:
+        room = rooms[b.size]
+        parts = [(quota[x], held[x], n) for x, n in ((p.get("label"), p["n"]) for p in json.loads(b.profile))]
+        free = sum(room)
+        counts = [max(0, b.n * r // free - SINGLY) for r in room]
+        for i in range(k):
+            room[i] -= counts[i]
+            for _, h, n in parts:
+                h[i] += counts[i] * n
+        for _ in range(b.n - sum(counts)):
+            i = min((i for i in range(k) if room[i]), key=lambda i: (sum((2 * (h[i] - q[i]) * n + n * n) / q[i] for q, h, n in parts), i))
+            counts[i] += 1
+            room[i] -= 1
+            for _, h, n in parts:
+                h[i] += n
+        yield b.size, b.profile, counts
+
+
 def assign_splits(records: DataFrame, id_column: str, by: Sequence[str], label: str, targets: DataFrame, scratch: Scratch, seed: int = 7) -> DataFrame:
     """(id, split_name): every record in one split, related records in the same.
 
-    Groups of identical size and label profile (their most frequent label, ties to the
-    smallest; null is a label) are one bundle. There are at most as many bundles as
-    labels times distinct sizes, so with N records and L labels fewer than
-    L * sqrt(2 N) rows reach the driver. A min-cost flow gives each bundle's records to
-    the splits: going over a split's quota costs most, over a label's quota in a split
-    less. Flows are rounded to whole groups, and which groups go where is decided by the
+    Groups of identical size and label profile (how many records have each label; null
+    is a label) are one bundle. A min-cost flow decides how many groups of each size go
+    to each split: going over a split's quota costs most, over its part of the groups of
+    a size less. Flows are rounded to whole groups. The bundles of a size then share these
+    by their true label counts, see ``_deal``. Which groups go where is decided by the
     rank of their hash. ``targets`` holds (split_name, target_share) with shares that add
     up to 1. An empty table gives an empty result; rows repeated under one id count as
-    often as they are stored and share a split.
+    often as they are stored and share a split. With N records fewer than sqrt(2 N) sizes
+    and one row for each label reach the driver; bundles, however many, pass through it
+    one by one, and their plan is written in parts.
     """
     shares = [(r.split_name, r.target_share) for r in targets.orderBy("split_name").limit(101).collect()]
     if not 0 < len(shares) <= 100 or abs(sum(s for _, s in shares) - 1) > 1e-9:
@@ -131,31 +161,42 @@ def assign_splits(records: DataFrame, id_column: str, by: Sequence[str], label:
     related = relate(records, id_column, by, (label, "label"), scratch)
     counted = related.rows.groupBy("node", "label").agg(F.count("*").alias("n"))
     per_label = _with_root(counted, related.roots).groupBy("root", "label").agg(F.sum("n").alias("n"))
-    groups = per_label.groupBy("root").agg(
-        F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("less"), F.coalesce("label", F.lit("")).alias("label"))).alias("top")
-    )
+    per_label = scratch.save(per_label, "labels")
+    groups = per_label.groupBy("root").agg(F.sum("n").alias("size"), F.to_json(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("profile"))
     hashed = F.xxhash64("root", F.lit(seed))
-    groups = groups.select("root", "size", F.col("top.label").alias("label"), hashed.alias("hash"), F.pmod(hashed, F.lit(PARTS)).alias("part"))
+    groups = groups.select("root", "size", "profile", hashed.alias("hash"), F.pmod(hashed, F.lit(PARTS)).alias("part"))
     groups = scratch.save(groups, "groups")
 
-    bundles = groups.groupBy("size", "label").agg(F.count("*").alias("n")).orderBy(F.desc("size"), "label").collect()
+    sizes = groups.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()
+    of_label = {r.label: r.n for r in per_label.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    rooms = {b.size: counts for b, counts in zip(sizes, _allocate(sizes, shares) if sizes else [], strict=True)}
+    bundles = groups.groupBy("size", "profile").agg(F.count("*").alias("n")).orderBy(F.desc("size"), "profile")
     spark = records.sparkSession
-    cuts = []
-    for b, counts in zip(bundles, _allocate(bundles, shares) if bundles else [], strict=True):
+    cuts, plan = [], []
+
+    def write() -> None:
+        plan.append(scratch.save(spark.createDataFrame(cuts, "size long, profile string, split_name string, low long, high long"), "plan"))
+        cuts.clear()
+
+    for size, profile, counts in _deal(bundles.toLocalIterator(), rooms, of_label, shares):
         upto = 0
         for (name, _), n in zip(shares, counts, strict=True):
-            cuts.append((b.size, b.label, name, upto, upto + n))
+            if n:
+                cuts.append((size, profile, name, upto, upto + n))
             upto += n
-    cut = spark.createDataFrame(cuts, "size long, label string, split_name string, low long, high long")
+        if len(cuts) >= HELD:
+            write()
+    write()
+    cut = reduce(DataFrame.unionAll, plan)
 
     # Rank within a bundle: members of earlier parts of the hash, then the rank in the part.
-    parts = groups.groupBy("size", "label", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("size", "label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = groups.groupBy("size", "profile", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("size", "profile").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("size", "label", "part").orderBy("hash", "root")
-    ranked = groups.withColumn("rank", F.row_number().over(inside) - 1).join(parts, ["size", "label", "part"])
+    inside = Window.partitionBy("size", "profile", "part").orderBy("hash", "root")
+    ranked = groups.withColumn("rank", F.row_number().over(inside) - 1).join(parts, ["size", "profile", "part"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
-    chosen = ranked.join(cut, ["size", "label"]).where("rank >= low AND rank < high").select("root", "split_name")
+    chosen = ranked.join(cut, ["size", "profile"]).where("rank >= low AND rank < high").select("root", "split_name")
 
     nodes = _with_root(related.rows.select("node").distinct(), related.roots)
     placed = nodes.join(chosen, "root").select("node", "split_name")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import near, overlap
+from plumbline.llm import near, overlap, splits
 from plumbline.llm.components import components
 from plumbline.llm.flow import Network
 from plumbline.llm.near import near_groups
@@ -227,3 +227,27 @@ def test_overlap_of_long_repetitive_and_reordered_texts(spark, scratch):
     assert {("d00", "h01"), ("d07", "h08")} <= expected
     found = overlap.split_overlap(spark.createDataFrame(rows, SCHEMA), "id", "d", "split", "development", "heldout", scratch).pairs.collect()
     assert {(r.left_id, r.right_id) for r in found} == expected and len(found) == len(expected)
+
+
+def _label_counts(spark, groups, scratch):
+    rows = [(f"{g:04d}{i:03d}", f"c{g}", None, None, x, "", 0) for g, labels in enumerate(groups) for i, x in enumerate(labels)]
+    df = spark.createDataFrame(rows, RECORDS)
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, target_share double")
+    placed = df.join(assign_splits(df, "id", ["c", "f"], "label", targets, scratch), "id")
+    return {(r.split_name, r.label): r["count"] for r in placed.groupBy("split_name", "label").count().collect()}
+
+
+def test_labels_that_are_nowhere_most_frequent_are_balanced(spark, scratch):
+    found = _label_counts(spark, [["A"] * 6 + ["B", "C", None][g % 3 : g % 3 + 1] * 4 for g in range(300)], scratch)
+    assert found == {(s, x): n * share for s, share in (("train", 8), ("validation", 1), ("test", 1)) for x, n in (("A", 180), ("B", 40), ("C", 40), (None, 40))}
+
+
+def test_labels_of_many_profiles_are_balanced(spark, scratch, monkeypatch):
+    monkeypatch.setattr(splits, "HELD", 50)  # so that the plan is written in several parts
+    groups = [["A"] * 20 + ["B"] * b + ["C"] * c + ["D"] * (18 - b - c) for b in range(19) for c in range(19 - b)]
+    found = _label_counts(spark, groups, scratch)
+    for x in "ABCD":
+        whole = sum(g.count(x) for g in groups)
+        assert sum(found[s, x] for s in ("train", "validation", "test")) == whole
+        for s in ("validation", "test"):
+            assert abs(found[s, x] - whole / 10) <= 20, (s, x, found)
