@@ -15,7 +15,7 @@ single rename: a job that dies leaves the former version in force.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,7 +89,7 @@ class SeenStore:
 
     # -- one batch ----------------------------------------------------------------
 
-    def accept(self, arrivals: DataFrame, arrival_id: str, order: Sequence[str]) -> Batch:
+    def accept(self, arrivals: DataFrame, arrival_id: str, order: Sequence[str], keep: Callable[[DataFrame], None] | None = None) -> Batch:
         """Keep one arrival of each identifier not delivered before and remember it.
 
         Of several arrivals with one identifier the one with the smallest ``order``
@@ -98,7 +98,8 @@ class SeenStore:
         in neither result. ``arrival_id`` names a stored row; where rows repeat it with
         the same key and order, one of them counts as the arrival, the rest are dropped.
         Empty batches give empty results. Other columns pass through untouched, whatever
-        their names.
+        their names. ``keep`` gets the kept rows before the batch is committed, so what it
+        writes is there whenever the store counts them as seen.
         """
         names = list(self.keys)
         clash = [n for n in ("__first", "__shard", "__copy") if n in arrivals.columns]
@@ -144,7 +145,6 @@ class SeenStore:
         target = f"{self.root}/v{current + 1}"
         union.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/bitmaps")
         known.unionByName(added).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/dictionary")
-        self._commit(current + 1)
 
         # Arrival ids are spread evenly, so a frequent identifier does not skew this join.
         keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(names)]
@@ -159,10 +159,14 @@ class SeenStore:
         copies = Window.partitionBy(arrival_id, *names).orderBy(*order)
         marked = marked.withColumn("__copy", F.row_number().over(copies))
         stays = F.col("__first") & (F.col("__copy") == 1)
-        return Batch(
+        batch = Batch(
             kept=marked.where(stays).drop("__first", "__copy"),
             dropped=marked.where(~stays).drop("__first", "__copy"),
         )
+        if keep:
+            keep(batch.kept)
+        self._commit(current + 1)
+        return batch
 
     def count(self) -> int:
         """Identifiers delivered so far, counted from the bitmaps."""

@@ -60,8 +60,9 @@ def run_to_table(stream: DataFrame, scratch: Scratch, mode: str = "complete") ->
 def select_once(stream: DataFrame, keys: dict[str, str], arrival_id: str, order: Sequence[str], scratch: Scratch) -> DataFrame:
     """Every identifier's first delivery, batch after batch over one store of what was seen.
 
-    A batch that is tried again after a failure finds its version committed and writes
-    its result over itself, so each identifier stays once.
+    A batch's rows are written before its version is committed. One that is tried again
+    after a failure writes its result over itself, or finds its version committed and its
+    rows in place, so each identifier stays once.
     """
     spark, root = stream.sparkSession, f"{scratch.root}/once-{uuid.uuid4().hex[:8]}"
     store = SeenStore(spark, f"{root}-seen", keys)
@@ -69,7 +70,7 @@ def select_once(stream: DataFrame, keys: dict[str, str], arrival_id: str, order:
     def keep(batch: DataFrame, number: int) -> None:
         if store.version() > number:
             return
-        store.accept(batch, arrival_id, order).kept.write.mode("overwrite").parquet(f"{root}/batch={number}")
+        store.accept(batch, arrival_id, order, lambda kept: kept.write.mode("overwrite").parquet(f"{root}/batch={number}"))
 
     query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}-state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -4,6 +4,7 @@ import random
 
 from plumbline.operators.delivery import SeenStore
 from plumbline.scratch import shared_dir
+from plumbline.streaming import ledger
 
 SCHEMA = "no long, job string, gen long, at long, bits string"
 KEYS = {"job": "string", "gen": "long"}
@@ -66,3 +67,16 @@ def test_uncommitted_version_is_not_in_force(spark, tmp_path):
 
 def test_session_names_the_shared_folder(spark):
     assert shared_dir(spark).startswith("file:") or "checkpoint" in shared_dir(spark)
+
+
+def test_kept_rows_of_a_stream_are_written_before_their_batch_is_committed(spark, tmp_path, scratch, monkeypatch):
+    spark.createDataFrame([(1, "a", 1, 5, None), (2, "a", 1, 6, None)], SCHEMA).write.parquet(f"{tmp_path}/in")
+    written, commit = [], SeenStore._commit
+
+    def watched(self, version):
+        written.append(spark.read.parquet(f"{self.root.removesuffix('-seen')}/batch={version - 1}").count())
+        commit(self, version)
+
+    monkeypatch.setattr(SeenStore, "_commit", watched)
+    stream = ledger.read_ledger(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 99)
+    assert ids(ledger.select_once(stream, KEYS, "no", ["at"], scratch)) == [1] and written == [1]
