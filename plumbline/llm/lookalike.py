@@ -20,6 +20,8 @@ LOOKALIKES = str.maketrans(_CYRILLIC | _GREEK | _ARMENIAN)
 #: Characters that have no width besides those of category Cf: grapheme joiner, Hangul
 #: fillers, Mongolian and other variation selectors.
 _WIDTHLESS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+#: Ids of one stored text that meet another's in one task.
+BLOCK = 20_000
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 #: Code points beyond these ranges have no normalization of their own.
 _RANGES = (range(0x30000), range(0xE0000, 0xE1000))
@@ -132,8 +134,11 @@ def equal_looking(records: DataFrame, id_column: str, dialogue: str) -> DataFram
     """(left_id, right_id), left smaller: dialogues that look the same turn by turn but are stored differently.
 
     Null ids and null or empty dialogues are in no pair; a null turn text equals only a null one;
-    rows repeated under one id count once; an empty table gives an empty result. Only
-    texts with a partner of other characters meet in the join, as digests.
+    rows repeated under one id count once; an empty table gives an empty result.
+
+    Equal stored texts are one class. Classes of one form meet first, each pair of them
+    once, as digests; their ids are joined to a pair of classes last, in blocks of BLOCK
+    ids, so the work is that of writing the answer and no key holds more than a block.
     """
     rows = records.select(F.col(id_column).alias("id"), F.col(f"{dialogue}.text").alias("turns")).where("id IS NOT NULL AND size(turns) > 0")
 
@@ -143,8 +148,17 @@ def equal_looking(records: DataFrame, id_column: str, dialogue: str) -> DataFram
     rows = rows.withColumn("form", consistent_turns("turns"))
     keyed = rows.select("id", digest("form").alias("form"), digest("turns").alias("raw"))
     keyed = keyed.groupBy("form", "raw", "id").agg(F.count("*").alias("copies")).drop("copies")
-    varied = keyed.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    keyed = keyed.join(varied, "form", "left_semi")
-    left = keyed.select("form", F.col("raw").alias("raw_l"), F.col("id").alias("left_id"))
-    right = keyed.select("form", F.col("raw").alias("raw_r"), F.col("id").alias("right_id"))
-    return left.join(right, "form").where("raw_l <> raw_r AND left_id < right_id").select("left_id", "right_id")
+    classes = keyed.groupBy("form", "raw").agg(F.count("*").alias("n_ids"))
+    varied = classes.groupBy("form").agg(F.count("*").alias("n_raws")).where("n_raws > 1").select("form")
+    blocks = F.ceil(F.col("n_ids") / BLOCK).cast("int").alias("blocks")
+    classes = classes.join(varied, "form", "left_semi").select("form", "raw", blocks)
+
+    def every(column: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+
+    pairs = classes.toDF("form", "raw_l", "blocks_l").join(classes.toDF("form", "raw_r", "blocks_r"), "form").where("raw_l < raw_r")
+    pairs = pairs.withColumn("block_l", every("blocks_l")).withColumn("block_r", every("blocks_r"))
+    members = keyed.join(classes, ["form", "raw"]).select("form", "raw", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id")
+    found = pairs.join(members.toDF("form", "raw_l", "block_l", "one"), ["form", "raw_l", "block_l"])
+    found = found.join(members.toDF("form", "raw_r", "block_r", "two"), ["form", "raw_r", "block_r"]).where("one <> two")
+    return found.select(F.least("one", "two").alias("left_id"), F.greatest("one", "two").alias("right_id")).distinct()

@@ -2,65 +2,76 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.tables import plain_label
-from plumbline.llm.tokens import PRE_TOKENS, TOKENIZERS, read_ranks
+from plumbline.llm.tokens import PRE_TOKENS, TOKENIZERS, shared_ranks
 from plumbline.scratch import Scratch
 
 #: The hash of a document is read as one of so many quantiles.
 QUANTILES = 4096
 #: Sources a mixture may have: bounds what the driver holds (SOURCES * QUANTILES sums).
 SOURCES = 1000
-_encodings: dict[str, tiktoken.Encoding] = {}
+_encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
-def token_counts(name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
-    """A pandas UDF: tokens of each text, null for null."""
+def token_counts(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
+    """A pandas UDF: tokens of each text, null for null. The vocabulary, which no data changes, is read once and broadcast."""
+    ranks = shared_ranks(spark, name, folder)
 
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        path = f"{folder}/{name}.tiktoken"
-        if path not in _encodings:
-            _encodings[path] = tiktoken.Encoding(name, pat_str=PRE_TOKENS.replace(r"\P{White_Space}", r"\S").replace(r"[^\p{White_Space}", r"[^\s").replace(r"\p{White_Space}", r"\s"), mergeable_ranks=read_ranks(path), special_tokens={})
-        encoding = _encodings[path]
+        if (folder, name) not in _encodings:
+            pattern = PRE_TOKENS.replace(r"\P{White_Space}", r"\S").replace(r"[^\p{White_Space}", r"[^\s").replace(r"\p{White_Space}", r"\s")
+            _encodings[folder, name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        encoding = _encodings[folder, name]
         for texts in batches:
             yield pd.Series([None if t is None else len(encoding.encode_ordinary(t)) for t in texts], dtype="Int64")
 
     return count
 
 
-def poisson_thresholds(rate: float, most: int) -> list[float]:
-    """P(X <= k) for k below ``most``: a document of quantile u occurs as often as u exceeds one."""
+def poisson_steps(rate: float, most: int) -> tuple[int, list[float]]:
+    """(base, cuts): a document of quantile u occurs ``base`` times, and once more for each cut that u exceeds, ``most`` at most.
+
+    The cuts are P(X <= k) of a Poisson variable of this mean, but only those that tell
+    quantiles apart: with logarithms, so that no mean is too large, and at most some
+    sixteen standard deviations of them.
+    """
     if math.isinf(rate):
-        return [0.0] * most
-    term = total = math.exp(-rate)
-    found = []
-    for k in range(most):
-        found.append(total)
-        term *= rate / (k + 1)
-        total += term
-    return found
+        return most, []
+    if rate <= 0:
+        return 0, []
+    spread = 8 * math.sqrt(rate) + 40
+    base = min(most, max(0, math.floor(rate - spread)))
+    total, cuts = 0.0, []
+    for k in range(base, min(most, math.ceil(rate + spread))):
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        cuts.append(total)
+    return base, cuts
 
 
 def _replicated(sums: dict[int, int], rate: float, most: int) -> int:
-    cuts = poisson_thresholds(rate, most)
-    return sum(n * sum((q + 0.5) / QUANTILES > c for c in cuts) for q, n in sums.items())
+    base, cuts = poisson_steps(rate, most)
+    return sum(n * (base + bisect.bisect_left(cuts, (q + 0.5) / QUANTILES)) for q, n in sums.items())
 
 
 def solve_rate(sums: dict[int, int], most: int, wanted: float) -> float:
     """The Poisson mean at which documents capped at ``most`` copies come nearest ``wanted`` tokens."""
     if wanted >= most * sum(sums.values()) * (1 - 1e-12):
         return math.inf
-    low, high = 0.0, 700.0
+    low, high = 0.0, 1.0
+    while _replicated(sums, high, most) < wanted:
+        low, high = high, 2 * high
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if _replicated(sums, middle, most) < wanted else (low, middle)
@@ -100,7 +111,7 @@ def mix(
     rows = documents.select(F.col(key).alias("key"), plain_label(source).alias("source"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     rows = rows.where(F.col("source").isin(names)) if names else rows.where("false")
     quantile = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(QUANTILES)).cast("int").alias("quantile")
-    sized = rows.select("key", "source", token_counts(name, folder)("text").alias("n_tokens"), quantile, *[f"keep_{c}" for c in keep])
+    sized = rows.select("key", "source", token_counts(spark, name, folder)("text").alias("n_tokens"), quantile, *[f"keep_{c}" for c in keep])
     sized = scratch.save(sized.where("n_tokens > 0"), "sized")
 
     sums: dict[str, dict[int, int]] = {n: {} for n in names}
@@ -111,12 +122,12 @@ def mix(
     plan = []
     for w in wanted:
         rate = solve_rate(sums[w.source], w.max_repeats, w.target_share * size) if sums[w.source] else 0.0
-        plan.append((w.source, float(w.target_share), w.max_repeats, poisson_thresholds(rate, w.max_repeats)))
-    planned = spark.createDataFrame(plan, "source string, target_share double, max_repeats long, cuts array<double>")
+        plan.append((w.source, float(w.target_share), w.max_repeats, *poisson_steps(rate, w.max_repeats)))
+    planned = spark.createDataFrame(plan, "source string, target_share double, max_repeats long, base long, cuts array<double>")
 
     u = (F.col("quantile") + 0.5) / QUANTILES
-    times = F.size(F.filter("cuts", lambda c: u > c)).cast("long")
-    drawn = sized.join(F.broadcast(planned.select("source", "cuts")), "source").withColumn("n_copies", times).where("n_copies > 0")
+    times = F.col("base") + F.size(F.filter("cuts", lambda c: u > c))
+    drawn = sized.join(F.broadcast(planned.select("source", "base", "cuts")), "source").withColumn("n_copies", times).where("n_copies > 0")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))))
     place = F.xxhash64("key", "copy_no", F.lit(seed + 1)).alias("place")
     mixed = copies.select(F.col("key").alias(key), "source", "copy_no", "n_tokens", place, *[F.col(f"keep_{c}").alias(c) for c in keep])

@@ -59,7 +59,7 @@ FAN_IN = 64
 
 
 class Overlap(NamedTuple):
-    """``pairs``: (left_id, right_id, coverage) of linked records."""
+    """``pairs``: (train_id, evaluation_id, coverage) of linked records; coverage is that of the evaluation record."""
 
     pairs: DataFrame
 
@@ -257,7 +257,7 @@ def _coverage_udf(text: pd.Series, other: pd.Series) -> pd.Series:
 
 
 def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str, train: str, evaluation: str, scratch: Scratch) -> Overlap:
-    """Pairs of a record of ``train`` (left) and one of ``evaluation`` (right) that are linked, with the right one's coverage.
+    """Pairs of a record of ``train`` and one of ``evaluation`` that are linked, with the latter's coverage.
 
     ``split`` holds plain labels; rows of other or null splits take no part. Records are
     linked if 0.8 or more of the distinct three-character pieces of either are in both.
@@ -297,6 +297,6 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
     linked = scratch.save(linked.select("d_a", "d_b", _coverage_udf("text_a", "text_b").alias("coverage")), "linked")
     ids = scratch.save(rows.select("__id", "__split", "digest").distinct(), "ids")
     scratch.drop(rows, classes, chosen, pairs)
-    of_train = ids.where(F.col("__split") == train).select(F.col("__id").alias("left_id"), F.col("digest").alias("d_b"))
-    of_held = ids.where(F.col("__split") == evaluation).select(F.col("__id").alias("right_id"), F.col("digest").alias("d_a"))
-    return Overlap(linked.join(of_train, "d_b").join(of_held, "d_a").select("left_id", "right_id", "coverage"))
+    of_train = ids.where(F.col("__split") == train).select(F.col("__id").alias("train_id"), F.col("digest").alias("d_b"))
+    of_held = ids.where(F.col("__split") == evaluation).select(F.col("__id").alias("evaluation_id"), F.col("digest").alias("d_a"))
+    return Overlap(linked.join(of_train, "d_b").join(of_held, "d_a").select("train_id", "evaluation_id", "coverage"))

@@ -57,8 +57,9 @@ def _splits(spark: SparkSession, sf_dir: str) -> Overlap:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a development and a heldout scenario that are linked."""
-    return _splits(spark, sf_dir).pairs.select("left_id", "right_id")
+    """Pairs of a development and a heldout scenario that are linked, the smaller id on the left whatever its split."""
+    train, held = F.col("train_id"), F.col("evaluation_id")
+    return _splits(spark, sf_dir).pairs.select(F.least(train, held).alias("left_id"), F.greatest(train, held).alias("right_id"))
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _splits(spark, sf_dir)
     rows = table(spark, sf_dir, "scenarios").select("scenario_id", plain_label("split").alias("split"), "suite")
     none = F.lit(None).cast("double")
-    both = F.array(F.struct(F.col("left_id").alias("id"), none.alias("c")), F.struct(F.col("right_id").alias("id"), F.col("coverage").alias("c")))
+    both = F.array(F.struct(F.col("train_id").alias("id"), none.alias("c")), F.struct(F.col("evaluation_id").alias("id"), F.col("coverage").alias("c")))
     ends = found.pairs.select(F.explode(both).alias("e"))
     ends = ends.groupBy(F.col("e.id").alias("scenario_id")).agg(F.count("*").alias("n_pairs"), F.max("e.c").alias("coverage"))
     rows = rows.where("split IN ('development', 'heldout')").join(ends, "scenario_id", "left")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+_broadcasts: dict[tuple[str, str, str, str], Broadcast] = {}
+
+
+def _shared(spark: SparkSession, kind: str, name: str, folder: str, make: Callable[[dict[bytes, int]], object]) -> Broadcast:
+    """What ``make`` builds from a vocabulary, broadcast once for an application."""
+    key = (spark.sparkContext.applicationId, kind, name, folder)
+    if key not in _broadcasts:
+        _broadcasts[key] = spark.sparkContext.broadcast(make(read_ranks(f"{folder}/{name}.tiktoken")))
+    return _broadcasts[key]
+
+
+def shared_ranks(spark: SparkSession, name: str, folder: str) -> Broadcast:
+    """The vocabulary itself, broadcast once for an application."""
+    return _shared(spark, "ranks", name, folder, dict)
+
+
 class PerfectHash:
     """A minimal perfect hash from byte strings to their numbers, checked on the key itself."""
 
@@ -163,9 +180,9 @@ def _worker(name: str, lookup: object) -> Encoder:
 def encoding(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Callable:
     """A function for ``mapInArrow`` from (key, text) to (key, ids).
 
-    What is broadcast is the vocabulary, whose size no data changes.
+    What is broadcast, once for an application, is the vocabulary, whose size no data changes.
     """
-    lookup = spark.sparkContext.broadcast(PerfectHash(read_ranks(f"{folder}/{name}.tiktoken")))
+    lookup = _shared(spark, "hash", name, folder, PerfectHash)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(f"{folder}/{name}", lookup)

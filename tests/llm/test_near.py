@@ -73,7 +73,7 @@ def test_overlap_matches_brute_force(spark, scratch, seed, monkeypatch):
     split = {r[0]: r[2] for r in rows}
     expected = {tuple(sorted(p, key=lambda x: split[x])) for p in links(rows) if {split[x] for x in p} == {"development", "heldout"}}
     found = overlap.split_overlap(spark.createDataFrame(rows, SCHEMA), "id", "d", "split", "development", "heldout", scratch).pairs.collect()
-    assert {(r.left_id, r.right_id) for r in found} == expected and len(found) == len(expected)
+    assert {(r.train_id, r.evaluation_id) for r in found} == expected and len(found) == len(expected)
     assert all(0 < r.coverage <= 1 for r in found)
 
 
@@ -84,7 +84,7 @@ def test_odd_texts(spark, scratch):
     df = spark.createDataFrame(rows, SCHEMA)
     assert set(map(tuple, near_groups(df, "id", "d", scratch).collect())) == {("f", "f"), ("f", "g"), ("h", "h"), ("h", "i")}
     found = overlap.split_overlap(df, "id", "d", "split", "development", "heldout", scratch).pairs
-    assert sorted((r.left_id, r.right_id) for r in found.collect()) == [("f", "g"), ("h", "i")]
+    assert sorted((r.train_id, r.evaluation_id) for r in found.collect()) == [("f", "g"), ("h", "i")]
     assert near_groups(df.limit(0), "id", "d", scratch).count() == 0
     assert overlap.split_overlap(df.limit(0), "id", "d", "split", "development", "heldout", scratch).pairs.count() == 0
 
@@ -205,7 +205,7 @@ def test_every_kind_of_edit_up_to_the_threshold(spark, scratch):
                 expected.add((f"D{i}", f"H{i}"))
     df = spark.createDataFrame(rows, SCHEMA)
     found = overlap.split_overlap(df, "id", "d", "split", "development", "heldout", scratch).pairs.collect()
-    assert {(r.left_id, r.right_id) for r in found} == expected and len(expected) > 50
+    assert {(r.train_id, r.evaluation_id) for r in found} == expected and len(expected) > 50
     assert {(min(a, b), x) for a, b in expected for x in (a, b)} == set(map(tuple, near_groups(df, "id", "d", scratch).collect()))
 
 
@@ -226,7 +226,7 @@ def test_overlap_of_long_repetitive_and_reordered_texts(spark, scratch):
     expected = {tuple(sorted(p, key=lambda x: split[x])) for p in links(rows) if {split[x] for x in p} == {"development", "heldout"}}
     assert {("d00", "h01"), ("d07", "h08")} <= expected
     found = overlap.split_overlap(spark.createDataFrame(rows, SCHEMA), "id", "d", "split", "development", "heldout", scratch).pairs.collect()
-    assert {(r.left_id, r.right_id) for r in found} == expected and len(found) == len(expected)
+    assert {(r.train_id, r.evaluation_id) for r in found} == expected and len(found) == len(expected)
 
 
 def _label_counts(spark, groups, scratch):

@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import compare
 
 from plumbline.llm import catalogue
+from plumbline.llm.pieces import comparison_text
 
 QUERIES = {n: q for m in catalogue.modules() for n, q in m.QUERIES.items()}
 SQL = {n: s for m in catalogue.modules() for n, s in m.SQL.items()}
@@ -21,8 +22,24 @@ def test_against_sql(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, str(compare.DATA)).count() >= 0
+def test_gives_rows(spark, name):
+    assert QUERIES[name](spark, str(compare.DATA)).count() > 0
+
+
+def test_pairs_across_splits_against_every_pair(spark):
+    """Over the whole test table: the smaller id left, and the pairs that comparing all dialogues gives."""
+    rows = spark.read.parquet(f"{compare.DATA}/scenarios.parquet").select("scenario_id", "split", "dialogue").collect()
+    sets = []
+    for r in rows:
+        text = comparison_text("".join(t.text or "" for t in r.dialogue or ()))
+        sets.append((r.scenario_id, (r.split or "").strip().lower(), {text[i : i + 3] for i in range(len(text) - 2)}))
+    expected = set()
+    for i, (one, split, a) in enumerate(sets):
+        for two, other, b in sets[i + 1 :]:
+            if {split, other} == {"development", "heldout"} and a and b and 5 * len(a & b) >= 4 * len(a | b):
+                expected.add((min(one, two), max(one, two)))
+    found = [tuple(r) for r in QUERIES["p3_found"](spark, str(compare.DATA)).select("left_id", "right_id").collect()]
+    assert set(found) == expected and len(found) == len(expected) and expected
 
 
 def test_nothing_else_imports_the_package():

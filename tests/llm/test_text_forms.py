@@ -100,6 +100,18 @@ def test_pairs(spark):
     assert lookalike.equal_looking(df.limit(0), "id", "d").count() == 0
 
 
+@pytest.mark.parametrize("block", [20_000, 3])
+def test_pairs_of_many_equal_texts(spark, monkeypatch, block):
+    """A hot form: the work is that of the answer, not of all pairs of its members."""
+    monkeypatch.setattr(lookalike, "BLOCK", block)
+    n = 200_000 if block > 3 else 40
+    same = spark.range(n).selectExpr("format_string('%07d', id) AS id", "array(struct('c' AS role, 'pay' AS text)) AS d")
+    other = spark.createDataFrame([("x1", [("c", "рay")]), ("x2", [("c", "ｐay")])], "id string, d array<struct<role:string,text:string>>")
+    found = lookalike.equal_looking(same.unionAll(other), "id", "d")
+    assert found.count() == 2 * n + 1
+    assert found.where("left_id < right_id").distinct().count() == 2 * n + 1
+
+
 def test_random_records_against_pairwise_comparison(spark, scratch):
     rng = random.Random(4)
     words = ["Fund A", "fund a.", "FUND_A", "Other", "other!"]

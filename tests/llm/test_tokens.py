@@ -52,11 +52,26 @@ def test_encode_nulls_and_clashes(spark):
     assert tokens.encode(df.limit(0), "k", "t").count() == 0
 
 
-def test_poisson_thresholds():
-    cuts = mixture.poisson_thresholds(1.5, 40)
-    mean = sum(sum((q + 0.5) / 4096 > c for c in cuts) for q in range(4096)) / 4096
-    assert mean == pytest.approx(1.5, abs=0.01)
-    assert mixture.poisson_thresholds(float("inf"), 3) == [0, 0, 0]
+@pytest.mark.parametrize("rate", [0.3, 1.5, 40.0, 650.0, 1500.0, 90_000.0])
+def test_poisson_steps(rate):
+    base, cuts = mixture.poisson_steps(rate, 10**9)
+    copies = [base + sum((q + 0.5) / 4096 > c for c in cuts) for q in range(4096)]
+    mean = sum(copies) / 4096
+    assert mean == pytest.approx(rate, rel=0.01)
+    assert sum((c - mean) ** 2 for c in copies) / 4096 == pytest.approx(rate, rel=0.05)
+    assert mixture.poisson_steps(rate, 2)[0] + len(mixture.poisson_steps(rate, 2)[1]) <= 2
+
+
+def test_poisson_steps_at_the_ends():
+    assert mixture.poisson_steps(float("inf"), 3) == (3, []) and mixture.poisson_steps(0.0, 3) == (0, [])
+
+
+def test_many_copies_of_a_small_source(spark, scratch):
+    """A source that must be repeated 1,500 times within a cap of 2,000."""
+    rows = [(i, "small", "word " * 5, "", 0) for i in range(40)] + [(i, "large", "word " * 50, "", 0) for i in range(100, 7100)]
+    targets = spark.createDataFrame([("small", 0.46, 2000), ("large", 0.54, 1)], TARGETS)
+    report = {r.source: r for r in mixture.mix(spark.createDataFrame(rows, DOCS), targets, "key", "text", "source", scratch).report.collect()}
+    assert report["small"].actual_share == pytest.approx(0.46, abs=0.005) and 1000 < report["small"].most_copies <= 2000
 
 
 DOCS = "key long, source string, text string, quantile string, n_tokens int"
