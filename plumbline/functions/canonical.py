@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +16,28 @@ def struct_json(column: Column) -> Column:
     return F.to_json(column, {"ignoreNullFields": "false"})
 
 
+def exact_json(text: Column) -> Column:
+    """JSON that ``struct_json`` wrote, with the spelling Python gives control characters.
+
+    Only rows that hold an escaped one go through Python.
+    """
+    return F.coalesce(canonical(F.when(F.contains(text, F.lit("\\u00")), text)), text)
+
+
+def text_json(text: Column) -> Column:
+    """A text as a JSON value; null for null."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+def object_json(fields: Mapping[str, Column]) -> Column:
+    """A JSON object of JSON texts, keys sorted; a null text is a null."""
+    parts = []
+    for key in sorted(fields):
+        parts += [F.lit(("," if parts else "{") + json.dumps(key, ensure_ascii=False) + ":"), F.coalesce(fields[key], F.lit("null"))]
+    return F.concat(*parts, F.lit("}"))
+
+
 def canonical_json(text: str) -> str | None:
     """Any JSON text with keys sorted at every level and no blanks; None if it is no JSON."""
     try:

@@ -83,10 +83,13 @@ def top_sizes(sizes: DataFrame, k: int = 10) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "root")).alias("rank"), "n")
 
 
-def edge_selection(edges: DataFrame, char_from: float, token_from: float) -> DataFrame:
-    """Exact edges always; the others from a score on."""
+def edge_selection(edges: DataFrame, char_from: float | None, token_from: float | None) -> DataFrame:
+    """Exact edges always; the others from a score on, or not at all."""
     kind, score = F.col("edge_type"), F.col("score")
-    keep = (kind == "exact_semantic_signature") | ((kind == "char_ngram") & (score >= char_from)) | ((kind == "token_jaccard") & (score >= token_from))
+    keep = kind == "exact_semantic_signature"
+    for name, least in (("char_ngram", char_from), ("token_jaccard", token_from)):
+        if least is not None:
+            keep = keep | ((kind == name) & (score >= least))
     return edges.where(keep)
 
 
@@ -144,17 +147,18 @@ class _Sets:
         return True
 
 
-def bounded_clusters(weights: DataFrame, pairs: DataFrame, cap: int) -> DataFrame:
+def bounded_clusters(weights: DataFrame, pairs: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
     """(block, cluster, n): blocks merged along their strongest pairs while clusters hold at most ``cap`` rows.
 
     The order (priority, exact edges, edges, best score, names, all descending) makes each
     merge depend on those before it, so one task does it, over block pairs only: records
     never reach it. More than MOST_PAIRS pairs are refused.
     """
+    order = ["priority", "n_exact_semantic_signature", "edge_count", "max_score", "block_a", "block_b"]
+    pairs = scratch.save(pairs.select(*order), "block_pairs")
     n_pairs = pairs.count()
     if n_pairs > MOST_PAIRS:
         raise ValueError(f"{n_pairs} block pairs; at most {MOST_PAIRS} fit one sequential clustering")
-    order = ["priority", "n_exact_semantic_signature", "edge_count", "max_score", "block_a", "block_b"]
     left = weights.select(F.lit(1).alias("k"), "block", F.col("n").cast("long"))
     right = pairs.select(F.lit(1).alias("k"), *order)
 
@@ -168,38 +172,111 @@ def bounded_clusters(weights: DataFrame, pairs: DataFrame, cap: int) -> DataFram
     return left.groupBy("k").cogroup(right.groupBy("k")).applyInPandas(merge, "block string, cluster string, n long")
 
 
-def family_cover(crossing: DataFrame) -> DataFrame:
-    """(place, family, edges): families that touch every crossing edge, the one with most live edges first, ties to the least name.
+def cluster_report(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row about ``bounded_clusters``: clusters, their sizes, merged and refused pairs, most blocks in one.
 
-    Greedy by nature: one task holds the crossing edges, as pairs of family names.
+    A merge leaves one cluster fewer, and what the cap refused once it refuses for good,
+    so the pairs refused are those whose blocks end apart.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
+    spread = size_summary(sizes).crossJoin(F.broadcast(sizes.agg(F.max("blocks").alias("most_blocks"), F.sum("blocks").alias("n_blocks"))))
+    ended = pairs.select("block_a", "block_b")
+    for side in "ab":
+        ended = ended.join(clusters.select(F.col("block").alias(f"block_{side}"), F.col("cluster").alias(f"c_{side}")), f"block_{side}")
+    refused = ended.agg(F.count_if(F.col("c_a") != F.col("c_b")).alias("rejected_pairs"))
+    return spread.crossJoin(F.broadcast(refused)).withColumn("accepted_pairs", F.col("n_blocks") - F.col("components"))
+
+
+def _cover(edges: pd.DataFrame) -> pd.DataFrame:
+    ends = list(zip(edges["a"], edges["b"], edges["n"].astype(int), strict=True))
+    touching: dict[str, set[int]] = {}
+    live: dict[str, int] = {}
+    for i, (a, b, n) in enumerate(ends):
+        for family in {a, b}:
+            touching.setdefault(family, set()).add(i)
+            live[family] = live.get(family, 0) + n
+    heap = [(-n, family) for family, n in live.items()]
+    heapq.heapify(heap)
+    chosen = []
+    while heap:
+        count, family = heapq.heappop(heap)
+        if live[family] != -count:  # counted when more of its edges were live
+            if live[family]:
+                heapq.heappush(heap, (-live[family], family))
+            continue
+        chosen.append((family, -count))
+        for i in touching[family]:
+            a, b, n = ends[i]
+            for other in {a, b} - {family}:
+                touching[other].discard(i)
+                live[other] -= n
+        live[family] = 0
+    return pd.DataFrame(chosen, columns=["family", "n_edges"])
+
+
+def _strongest(pairs: DataFrame) -> DataFrame:
+    """(family, n_edges): families with more live edges than any they share one with, ties to the least name."""
+    ends = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("family"), "n")
+    degree = ends.groupBy("family").agg(F.sum("n").alias("n_edges"))
+    across = pairs.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("family"), F.col("b").alias("other")), F.struct(F.col("b").alias("family"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    around = across.join(degree.select(F.col("family").alias("other"), F.col("n_edges").alias("n_other")), "other")
+    best = around.groupBy("family").agg(F.min(F.struct((-F.col("n_other")).alias("k"), "other")).alias("rival"))
+    mine = F.struct((-F.col("n_edges")).alias("k"), F.col("family").alias("other"))
+    return degree.join(best, "family", "left").where(F.col("rival").isNull() | (mine < F.col("rival"))).select("family", "n_edges")
+
+
+def family_cover(crossing: DataFrame, scratch: Scratch, most: int = MOST_PAIRS) -> DataFrame:
+    """(family, n_edges): families that touch every crossing edge, as the greedy cover takes them: the most live edges first, ties to the least name.
+
+    Live counts only fall, so a family ahead of all it shares an edge with is taken before
+    any of them, whatever happens elsewhere: all such are taken at once, by joins, until at
+    most ``most`` pairs of families are left, which one task finishes. Taken in order of
+    ``n_edges`` (descending) and name, the result is that of the sequential program.
+    Edges reach it as counts of family pairs; those with a null family are left out.
     """
+    ends = crossing.where("left_family_id IS NOT NULL AND right_family_id IS NOT NULL")
+    pair = (F.least("left_family_id", "right_family_id").alias("a"), F.greatest("left_family_id", "right_family_id").alias("b"))
+    pairs, taken = scratch.save(ends.groupBy(*pair).agg(F.count("*").alias("n")), "family_pairs"), None
+    while pairs.count() > most:
+        found = scratch.save(_strongest(pairs), "taken")
+        taken = found if taken is None else taken.unionAll(found)
+        rest = pairs
+        for side in "ab":
+            rest = rest.join(found.select(F.col("family").alias(side)), side, "left_anti")
+        rest = scratch.save(rest.select("a", "b", "n"), "family_pairs")
+        scratch.drop(pairs)
+        pairs = rest
+    last = pairs.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(lambda df: _cover(df), "family string, n_edges long")
+    return last if taken is None else taken.unionAll(last)
+
+
+def without_vertices(edges: DataFrame, removed: DataFrame, vertex: str) -> DataFrame:
+    """Edges (left_id, right_id, ...) that touch none of the removed vertices."""
+    gone = removed.select(vertex).distinct()
+    for side in ("left_id", "right_id"):
+        edges = edges.join(gone.withColumnRenamed(vertex, side), side, "left_anti")
+    return edges
+
 
-    def cover(edges: pd.DataFrame) -> pd.DataFrame:
-        ends = list(zip(edges["left_family_id"], edges["right_family_id"], strict=True))
-        touching: dict[str, set[int]] = {}
-        for i, pair in enumerate(ends):
-            for family in pair:
-                touching.setdefault(family, set()).add(i)
-        heap = [(-len(s), family) for family, s in touching.items()]
-        heapq.heapify(heap)
-        chosen = []
-        while heap:
-            count, family = heapq.heappop(heap)
-            live = touching[family]
-            if len(live) != -count:  # counted when more of its edges were live
-                if live:
-                    heapq.heappush(heap, (-len(live), family))
-                continue
-            if not live:
-                continue
-            chosen.append((len(chosen) + 1, family, len(live)))
-            for i in list(live):
-                for other in set(ends[i]):
-                    touching[other].discard(i)
-        return pd.DataFrame(chosen, columns=["place", "family", "n_edges"])
-
-    pairs = crossing.select(F.lit(1).alias("k"), "left_family_id", "right_family_id").where("left_family_id IS NOT NULL AND right_family_id IS NOT NULL")
-    return pairs.groupBy("k").applyInPandas(lambda df: cover(df), "place long, family string, n_edges long")
+def tagged_components(variants: Sequence[tuple[str, DataFrame, Sequence[str], DataFrame | None]], vertex: str, scratch: Scratch) -> DataFrame:
+    """(variant, root, n): component sizes of several definitions, contracted in one loop over variant-qualified vertices.
+
+    A variant is a name, records, relation fields and edges (left_id, right_id) or none.
+    """
+    vertices = found = None
+    for name, records, fields, edges in variants:
+        tag = F.lit(f"{name}|")
+        mine = records.select(F.concat(tag, vertex).alias("v"), *fields)
+        parts = [relation_edges(mine, "v", fields)] if fields else []
+        if edges is not None:
+            parts.append(edges.select(F.concat(tag, "left_id").alias("a"), F.concat(tag, "right_id").alias("b")))
+        vertices = mine.select("v") if vertices is None else vertices.unionAll(mine.select("v"))
+        for part in parts:
+            found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = vertices.select(F.col("v").alias("a"), F.col("v").alias("b"))
+    roots = components(vertices, found, scratch)
+    return roots.groupBy(F.substring_index("v", "|", 1).alias("variant"), "root").agg(F.count("*").alias("n"))
 
 
 def duplicate_groups(rows: DataFrame, key: Column, columns: Sequence[str]) -> DataFrame:
@@ -211,11 +288,31 @@ def duplicate_groups(rows: DataFrame, key: Column, columns: Sequence[str]) -> Da
     )
 
 
-def review_packet(edges: DataFrame, per_type: int, seed: str) -> DataFrame:
-    """The ``per_type`` edges of each type that come first by a seeded hash, numbered."""
+def duplicate_summary(rows: DataFrame, text: str, state: str, columns: Sequence[str], label: str) -> DataFrame:
+    """One row about equal texts: how many distinct, excess, groups, and what the groups cross; null texts are left out."""
+    keyed = rows.where(F.col(text).isNotNull())
+    spread = [(F.count_distinct(c) > 1).alias(f"cross_{c}") for c in columns]
+    groups = keyed.groupBy(F.col(text).alias("key")).agg(F.count("*").alias("size"), *spread)
+    twice = F.col("size") > 1
+    found = groups.agg(
+        F.count("*").alias("distinct_texts"), (F.count("*") / F.sum("size")).alias("unique_share"), F.sum(F.col("size") - 1).alias("excess_rows"), F.count_if(twice).alias("groups"),
+        F.coalesce(F.sum(F.when(twice, F.col("size"))), F.lit(0)).alias("rows_in_groups"), F.max("size").alias("largest_group"),
+        *[F.count_if(twice & F.col(f"cross_{c}")).alias(f"groups_cross_{c}") for c in columns],
+        F.coalesce(F.sum(F.when(twice & F.col(f"cross_{label}"), F.col("size"))), F.lit(0)).alias(f"rows_cross_{label}"),
+    )
+    pairs = keyed.groupBy(text, state).agg(F.count("*").alias("n")).agg(F.count("*").alias("distinct_text_states"))
+    return found.crossJoin(F.broadcast(pairs))
+
+
+def review_packet(edges: DataFrame, per_type: int, seed: str, exactly: bool = False) -> DataFrame:
+    """The ``per_type`` edges of each type that come first by a seeded hash, numbered; with ``exactly`` a type that has fewer ends the job."""
     order = F.sha2(F.concat_ws("|", F.lit(seed), "edge_type", "left_id", "right_id").cast("binary"), 256)
     place = F.row_number().over(Window.partitionBy("edge_type").orderBy("order", "left_id", "right_id"))
     found = edges.withColumn("order", order).withColumn("place", place).where(F.col("place") <= per_type).drop("order")
+    if exactly:
+        short = found.groupBy("edge_type").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") == per_type).alias("full"))
+        full = short.select(F.assert_true(F.col("full") == len(PRIORITY), F.lit("a type has too few edges to review")).alias("__ok"))
+        found = found.crossJoin(F.broadcast(full)).where("__ok IS NULL").drop("__ok")
     return found.withColumn("packet_id", F.format_string("%s-%04d", F.col("edge_type"), F.col("place")))
 
 

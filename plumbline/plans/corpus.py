@@ -120,28 +120,6 @@ def reused_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return later.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job ids and input digests of heldout scenarios for all four methods."""
-    rows = table(spark, sf_dir, "scenarios").where(plain_label("split") == "heldout")
-    return views.evaluation_requests(views.evaluation_payloads(rows), "EVAL").drop("payload")
-
-
-def model_inputs_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One checksum over all jobs and their inputs."""
-    return views.request_digest(model_inputs(spark, sf_dir))
-
-
-def scoring_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a scorer sees."""
-    return views.scoring_view(table(spark, sf_dir, "scenarios"))
-
-
-def payload_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forbidden keys in what a model would read; there should be none."""
-    payloads = views.evaluation_payloads(table(spark, sf_dir, "scenarios"))
-    return views.leaks(payloads.select(F.concat_ws("|", "scenario_id", "method").alias("id"), "payload"), "id", "payload")
-
-
 def relation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of relation specifications beyond the two known ones, or absent ones."""
     return validators.unexpected_keys(table(spark, sf_dir, "scenarios"), "scenario_id", "relation_spec", ["relation", "turns"])
@@ -157,14 +135,6 @@ def broken_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.broken_dialogues(table(spark, sf_dir, "scenarios"))
 
 
-def controlling_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evidence list of every scenario: its rules' clauses, here two made from each rule id."""
-    rows = table(spark, sf_dir, "scenarios")
-    rules = rows.select(F.explode("label.controlling_rule_ids").alias("rule_id")).distinct()
-    clauses = rules.select("rule_id", F.explode(F.array(F.concat("rule_id", F.lit("-A")), F.concat("rule_id", F.lit("-B")))).alias("clause_id"))
-    return views.evidence_for(rows, clauses)
-
-
 def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios, suites and refusals of each controlling rule."""
     rows = table(spark, sf_dir, "scenarios").select("scenario_id", "suite", "label.primary_action", F.explode("label.controlling_rule_ids").alias("rule_id"))
@@ -287,12 +257,6 @@ def style_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "neighbour", F.round("similarity", 12).alias("similarity"))
 
 
-def job_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The jobs of all heldout scenarios, without payloads."""
-    rows = table(spark, sf_dir, "scenarios").where(plain_label("split") == "heldout")
-    return views.job_ledger(views.evaluation_requests(views.evaluation_payloads(rows), "EVAL"), rows, "public_openai_compatible", "0.20.0")
-
-
 def style_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of single characters and pairs between two sources."""
     rows = table(spark, sf_dir, "documents").withColumn("source", plain_label("source")).where("source IN ('service_desk_log', 'app_chat_export')")
@@ -364,15 +328,6 @@ FROM event_ledger GROUP BY status""",
   FROM event_ledger WHERE job_id IS NOT NULL AND run_generation IS NOT NULL)
 SELECT CASE WHEN b.request_sha256 = a.request_sha256 THEN 'reused' ELSE 'incremental' END AS kind, count(*) AS n
 FROM runs b LEFT JOIN runs a ON a.job_id = b.job_id AND a.run_generation = 1 AND a.rn = 1 WHERE b.run_generation > 1 AND b.rn = 1 GROUP BY 1""",
-    "model_inputs": f"""WITH s AS (SELECT scenario_id, CAST(decision_date AS VARCHAR) AS d, dialogue AS g, state AS t FROM scenarios WHERE {sql_plain("split")} = 'heldout'),
-o AS (
-  SELECT scenario_id, 'dialogue_only' AS method, CAST(to_json({{decision_date: d, dialogue: g}}) AS VARCHAR) AS payload FROM s
-  UNION ALL SELECT scenario_id, 'state_only', CAST(to_json({{decision_date: d, dialogue: g, typed_state: t}}) AS VARCHAR) FROM s
-  UNION ALL SELECT scenario_id, 'oracle_evidence', CAST(to_json({{decision_date: d, dialogue: g, evidence: CAST([] AS VARCHAR[])}}) AS VARCHAR) FROM s
-  UNION ALL SELECT scenario_id, 'state_oracle_evidence', CAST(to_json({{decision_date: d, dialogue: g, evidence: CAST([] AS VARCHAR[]), typed_state: t}}) AS VARCHAR) FROM s)
-SELECT 'EVAL-' || upper(replace(method, '_', '-')) || '-' || scenario_id AS job_id, scenario_id, method, sha256(payload) AS model_input_sha256 FROM o""",
-    "scoring_view": """SELECT scenario_id, family_id, component_id, leakage_component_id, suite, split, decision_date, label.primary_action AS primary_action,
-  label.acceptable_actions AS acceptable_actions, label.severity AS severity, label.controlling_rule_ids AS controlling_rule_ids FROM scenarios""",
     "relation_keys": """WITH k AS (SELECT scenario_id, coalesce(json_keys(relation_spec), []) AS ks FROM scenarios)
 SELECT scenario_id, list_sort(list_filter(ks, lambda x: x NOT IN ('relation', 'turns'))) AS unexpected, list_filter(['relation', 'turns'], lambda x: NOT list_contains(ks, x)) AS absent
 FROM k WHERE len(list_filter(ks, lambda x: x NOT IN ('relation', 'turns'))) > 0 OR NOT list_contains(ks, 'relation') OR NOT list_contains(ks, 'turns')""",
@@ -382,8 +337,6 @@ SELECT * FROM d WHERE len(unexpected) > 0 OR len(absent) > 0""",
     "broken_dialogues": """SELECT scenario_id, problem FROM (SELECT scenario_id, CASE WHEN dialogue IS NULL OR len(dialogue) = 0 THEN 'empty'
   WHEN lower(trim(dialogue[len(dialogue)].role, ' ')) IS DISTINCT FROM 'customer' THEN 'last_turn' WHEN len(list_distinct(dialogue)) < len(dialogue) THEN 'repeated_turn' END AS problem FROM scenarios)
 WHERE problem IS NOT NULL""",
-    "controlling_rules": """WITH r AS (SELECT DISTINCT scenario_id, unnest(label.controlling_rule_ids) AS rule_id FROM scenarios),
-c AS (SELECT scenario_id, unnest([rule_id || '-A', rule_id || '-B']) AS clause_id FROM r) SELECT scenario_id, list_sort(list(DISTINCT clause_id)) AS evidence FROM c GROUP BY scenario_id""",
     "rule_coverage": """WITH r AS (SELECT scenario_id, suite, label.primary_action AS a, unnest(label.controlling_rule_ids) AS rule_id FROM scenarios)
 SELECT rule_id, count(DISTINCT scenario_id) AS support, list_sort(list(DISTINCT suite)) AS suites, bool_or(a = 'REFUSE') AS any_refused FROM r GROUP BY rule_id""",
     "job_agreement": """SELECT count(*) AS n, count(*) FILTER (j.family_id IS DISTINCT FROM s.family_id) AS n_family_id, count(*) FILTER (j.component_id IS DISTINCT FROM s.leakage_component_id) AS n_component_id,
@@ -447,8 +400,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         privacy_findings, document_categories, document_sources, merged_records, tag_stripped, normalized_dialogues, clause_overlap, lexical_edges, parsed_responses,
-        ledger_totals, reused_requests, model_inputs, model_inputs_digest, scoring_view, payload_leaks, relation_keys, state_keys, broken_dialogues,
-        controlling_rules, rule_coverage, job_agreement, gold_digests, record_counts, rater_kappa, rater_icc, panel_decisions, panel_design, panel_agreement, vote_totals, defect_interval,
-        keyword_weights, keyword_accuracy, style_lengths, style_markers, style_neighbours, style_divergence, job_ledger,
+        ledger_totals, reused_requests, relation_keys, state_keys, broken_dialogues,
+        rule_coverage, job_agreement, gold_digests, record_counts, rater_kappa, rater_icc, panel_decisions, panel_design, panel_agreement, vote_totals, defect_interval,
+        keyword_weights, keyword_accuracy, style_lengths, style_markers, style_neighbours, style_divergence,
     )
 }

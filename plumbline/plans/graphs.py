@@ -7,20 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import text
+from plumbline.functions.canonical import canonical
 from plumbline.functions.labels import plain_label, sql_plain, sql_trimmed, sql_upper, upper_id
 from plumbline.operators import graph
 from plumbline.scratch import Scratch
 from plumbline.sources.tables import table
 
-#: Relation fields and edge types of each way to define components.
+_BOTH = ("component_id", "family_id")
+_ALL = tuple(graph.PRIORITY)
+# Relation fields and edge types of each way to define components, pairs of
+# thresholds (character, token), caps on cluster rows, and the gates of a corpus.
 VARIANTS = {
-    "block": (("component_id",), ()),
-    "family": (("family_id",), ()),
-    "block_exact": (("component_id",), ("exact_semantic_signature",)),
-    "family_all": (("family_id",), ("exact_semantic_signature", "char_ngram", "token_jaccard")),
+    "rows_only": ((), ()),
+    "family_only": (("family_id",), ()),
+    "authoring_block_only": (_BOTH, ()),
+    "family_plus_all_text_edges": (("family_id",), _ALL),
+    "authoring_block_plus_exact": (_BOTH, ("exact_semantic_signature",)),
+    "authoring_block_plus_char": (_BOTH, ("char_ngram",)),
+    "authoring_block_plus_token": (_BOTH, ("token_jaccard",)),
+    "authoring_block_plus_all_text_edges": (_BOTH, _ALL),
 }
-THRESHOLDS = ((0.82, 0.88), (0.9, 0.9), (0.95, 0.95))
+THRESHOLDS = ((None, None), (0.82, 0.88), (0.86, 0.92), (0.90, 0.94), (0.94, 0.96), (0.96, 0.98))
+CAPS = (100, 150, 200, 250, 300, 400, 500)
 CAP = 300
+GATES = {
+    "scenarios": 10000,
+    "families": 5750,
+    "authoring_blocks": 500,
+    "maximum_component_rows": 300,
+    "maximum_component_share": 0.03,
+    "minimum_effective_components_inverse_hhi": 50.0,
+    "minimum_realized_components": 200,
+    "minimum_unique_dialogue_state_pair_share": 0.9,
+}
 SEED = "27072027"
 
 
@@ -38,41 +58,35 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.least("l", "r").alias("left_id"), F.greatest("l", "r").alias("right_id"), "edge_type").agg(F.max("score").alias("score"))
 
 
+def _between_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose ends are both scenarios."""
+    found, ids = edges(spark, sf_dir), table(spark, sf_dir, "scenarios").select("scenario_id")
+    for side in ("left_id", "right_id"):
+        found = found.join(ids.withColumnRenamed("scenario_id", side), side, "left_semi")
+    return found.select("left_id", "right_id", "edge_type", "score")
+
+
 def _ended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.with_ends(edges(spark, sf_dir), records(spark, sf_dir), "scenario_id", ["component_id", "family_id", "suite", "split", "gold"])
 
 
 def component_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size summaries of several component definitions, all contracted in one loop over variant-qualified ids."""
-    rows, links = records(spark, sf_dir), edges(spark, sf_dir)
-    vertices = found = None
-    for name, (fields, kinds) in VARIANTS.items():
-        tag = F.lit(f"{name}|")
-        mine = rows.select(F.concat(tag, "scenario_id").alias("v"), *fields)
-        between = graph.relation_edges(mine, "v", fields)
-        if kinds:
-            typed = links.where(F.col("edge_type").isin(*kinds))
-            between = between.unionAll(typed.select(F.concat(tag, "left_id").alias("a"), F.concat(tag, "right_id").alias("b")))
-        vertices = mine.select("v") if vertices is None else vertices.unionAll(mine.select("v"))
-        found = between if found is None else found.unionAll(between)
-    roots = graph.components(vertices, found, Scratch(spark))
-    sizes = roots.groupBy(F.substring_index("v", "|", 1).alias("variant"), "root").agg(F.count("*").alias("n"))
-    return graph.size_summary(sizes, ["variant"])
+    """Size summaries of the component definitions, and how many edges each takes in."""
+    scratch = Scratch(spark)
+    rows, links = scratch.save(records(spark, sf_dir), "records"), scratch.save(_between_records(spark, sf_dir), "edges")
+    parts = [(name, rows, fields, links.where(F.col("edge_type").isin(*kinds)) if kinds else None) for name, (fields, kinds) in VARIANTS.items()]
+    counts = links.groupBy().agg(*[F.count_if(F.col("edge_type").isin(*kinds)).alias(name) if kinds else F.lit(0).cast("long").alias(name) for name, (_, kinds) in VARIANTS.items()])
+    included = counts.select(F.explode(F.create_map(*[x for name in VARIANTS for x in (F.lit(name), F.col(name))])).alias("variant", "included_edges"))
+    return graph.size_summary(graph.tagged_components(parts, "scenario_id", scratch), ["variant"]).join(F.broadcast(included), "variant")
 
 
 def threshold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the edges that remain at each pair of thresholds."""
-    rows, links = records(spark, sf_dir).select("scenario_id"), edges(spark, sf_dir)
-    vertices = found = None
-    for i, (char, token) in enumerate(THRESHOLDS):
-        kept = graph.edge_selection(links, char, token)
-        mine = rows.select(F.concat(F.lit(f"{i}|"), "scenario_id").alias("v"))
-        between = kept.select(F.concat(F.lit(f"{i}|"), "left_id").alias("a"), F.concat(F.lit(f"{i}|"), "right_id").alias("b"))
-        vertices = mine if vertices is None else vertices.unionAll(mine)
-        found = between if found is None else found.unionAll(between)
-    roots = graph.components(vertices, found, Scratch(spark))
-    sizes = roots.groupBy(F.substring_index("v", "|", 1).cast("int").alias("step"), "root").agg(F.count("*").alias("n"))
-    return graph.size_summary(sizes, ["step"])
+    """Components of blocks, families and the edges that remain at each pair of thresholds."""
+    scratch = Scratch(spark)
+    rows, links = scratch.save(records(spark, sf_dir), "records"), scratch.save(_between_records(spark, sf_dir), "edges")
+    parts = [(str(i), rows, _BOTH, graph.edge_selection(links, *pair)) for i, pair in enumerate(THRESHOLDS)]
+    found = graph.size_summary(graph.tagged_components(parts, "scenario_id", scratch), ["variant"])
+    return found.withColumn("step", F.col("variant").cast("int")).drop("variant")
 
 
 def component_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,16 +111,19 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bounded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks merged along their strongest pairs up to a cap."""
-    return graph.bounded_clusters(_weights(spark, sf_dir), block_pairs(spark, sf_dir), CAP)
+    return graph.bounded_clusters(_weights(spark, sf_dir), block_pairs(spark, sf_dir), CAP, Scratch(spark))
+
+
+def _crossing(ended: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Edges with ends in different clusters."""
+    for side in ("left", "right"):
+        ended = ended.join(clusters.select(F.col("block").alias(f"{side}_component_id"), F.col("cluster").alias(f"{side}_cluster")), f"{side}_component_id")
+    return ended.where("left_cluster <> right_cluster")
 
 
 def cross_cluster_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families that cover all edges between clusters."""
-    of_block = bounded_clusters(spark, sf_dir).select("block", "cluster")
-    ended = _ended(spark, sf_dir)
-    for side in ("left", "right"):
-        ended = ended.join(of_block.toDF(f"{side}_component_id", f"{side}_cluster"), f"{side}_component_id")
-    return graph.family_cover(ended.where("left_cluster <> right_cluster"))
+    return graph.family_cover(_crossing(_ended(spark, sf_dir), bounded_clusters(spark, sf_dir)), Scratch(spark))
 
 
 def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,25 +134,51 @@ def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repair_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For several caps: clusters, edges across them, and families to rewrite."""
+    """For each cap: clusters, edges across them, families and rows to rewrite, and the components once these are rewritten.
+
+    The components of all caps are contracted in one loop.
+    """
     scratch = Scratch(spark)
+    rows, links = scratch.save(records(spark, sf_dir), "records"), scratch.save(_between_records(spark, sf_dir), "edges")
     weights, pairs = scratch.save(_weights(spark, sf_dir), "weights"), scratch.save(block_pairs(spark, sf_dir), "pairs")
-    ended, out = scratch.save(_ended(spark, sf_dir), "ended"), None
-    for cap in (100, 300, 500):
-        clusters = scratch.save(graph.bounded_clusters(weights, pairs, cap), "clusters")
-        crossing = ended
-        for side in ("left", "right"):
-            crossing = crossing.join(clusters.select(F.col("block").alias(f"{side}_component_id"), F.col("cluster").alias(f"{side}_cluster")), f"{side}_component_id")
-        crossing = crossing.where("left_cluster <> right_cluster")
-        largest = clusters.groupBy("cluster").agg(F.sum("n").alias("n")).agg(F.count("*").alias("n_clusters"), F.max("n").alias("largest"))
-        cover = graph.family_cover(crossing).agg(F.count("*").alias("n_families"), F.coalesce(F.sum("n_edges"), F.lit(0)).alias("n_crossing"))
-        one = largest.crossJoin(cover).select(F.lit(cap).alias("cap"), "*")
+    ended, out, parts = scratch.save(_ended(spark, sf_dir), "ended"), None, []
+    for cap in CAPS:
+        clusters = scratch.save(graph.bounded_clusters(weights, pairs, cap, scratch), "clusters")
+        crossing = _crossing(ended, clusters)
+        families = scratch.save(graph.family_cover(crossing, scratch), "families")
+        chosen = scratch.save(rows.join(families.withColumnRenamed("family", "family_id"), "family_id").select("scenario_id"), "chosen")
+        parts.append((str(cap), rows, _BOTH, graph.without_vertices(links, chosen, "scenario_id")))
+        report = graph.cluster_report(clusters, pairs).select(F.col("components").alias("n_clusters"), F.col("maximum_rows").alias("largest_cluster"), "most_blocks", "accepted_pairs", "rejected_pairs")
+        counts = [crossing.agg(F.count("*").alias("n_crossing")), families.agg(F.count("*").alias("n_families")), chosen.agg(F.count("*").alias("n_rows"))]
+        one = report.select(F.lit(str(cap)).alias("variant"), "*")
+        for count in counts:
+            one = one.crossJoin(F.broadcast(count))
         out = one if out is None else out.unionAll(one)
-    return out
+    after = graph.size_summary(graph.tagged_components(parts, "scenario_id", scratch), ["variant"])
+    return out.join(F.broadcast(after), "variant").withColumn("cap", F.col("variant").cast("int")).drop("variant")
+
+
+def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with digests of the normal form of their dialogue and of their canonical state."""
+    rows = table(spark, sf_dir, "scenarios")
+    line = F.when(F.size("dialogue") > 0, text.dialogue_line(F.col("dialogue")))
+    rows = rows.select("scenario_id", upper_id("component_id").alias("component_id"), upper_id("family_id").alias("family_id"), "suite", F.col("label.primary_action").alias("gold"), text.normalized(line).alias("t"), canonical("state").alias("s"))
+    return rows.withColumns({"normal": F.sha2(F.col("t").cast("binary"), 256), "state": F.sha2(F.col("s").cast("binary"), 256)}).drop("t", "s")
 
 
 def duplicate_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histogram of groups of identical dialogues and what they cross."""
+    """Histogram of groups of dialogues with one normal form, and what they cross."""
+    rows = _normal(spark, sf_dir).where("normal IS NOT NULL")
+    return graph.duplicate_groups(rows, F.col("normal"), ["component_id", "suite", "gold"])
+
+
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct normal forms, dialogue and state pairs, and groups in sum."""
+    return graph.duplicate_summary(_normal(spark, sf_dir), "normal", "state", ["component_id", "suite", "gold"], "gold")
+
+
+def stored_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same histogram over dialogues as stored."""
     rows = records(spark, sf_dir).where("exact_text IS NOT NULL")
     return graph.duplicate_groups(rows, F.col("exact_text"), ["component_id", "suite", "gold"])
 
@@ -152,12 +195,32 @@ def split_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("n_splits > 1")
 
 
+def _realized(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
+    """Sizes of the components of blocks, families and all edges."""
+    return graph.tagged_components([("all", records(spark, sf_dir), _BOTH, _between_records(spark, sf_dir))], "scenario_id", scratch)
+
+
 def diversity_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the corpus passes its size and spread checks."""
-    rows = records(spark, sf_dir)
-    summary = rows.agg(F.count("*").alias("n"), F.count_distinct("scenario_id").alias("ids"), F.count_distinct("family_id").alias("families"), F.count_distinct("suite").alias("suites"), F.count_distinct("component_id").alias("blocks"))
-    checks = [("unique_ids", F.col("n") == F.col("ids")), ("six_suites", F.col("suites") == 6), ("families", F.col("families") * 5 >= F.col("n")), ("blocks", F.col("blocks") >= 50)]
-    return graph.gates(summary, checks)
+    """Whether the corpus passes the nine gates: exact counts, component sizes, distinct dialogue and state pairs, edges across clusters."""
+    scratch = Scratch(spark)
+    rows = _normal(spark, sf_dir)
+    counts = rows.agg(F.count("*").alias("n"), F.count_distinct("family_id").alias("families"), F.count_distinct("component_id").alias("blocks"))
+    pairs = rows.where("normal IS NOT NULL").groupBy("normal", "state").agg(F.count("*").alias("k")).agg(F.count("*").alias("pairs"))
+    sizes = graph.size_summary(_realized(spark, sf_dir, scratch))
+    clusters = graph.bounded_clusters(_weights(spark, sf_dir), block_pairs(spark, sf_dir), CAP, scratch)
+    across = _crossing(_ended(spark, sf_dir), clusters).agg(F.count("*").alias("n_crossing"))
+    one = counts.crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(across))
+    return graph.gates(one, [
+        ("scenarios_exact", F.col("n") == GATES["scenarios"]),
+        ("families_exact", F.col("families") == GATES["families"]),
+        ("authoring_blocks_exact", F.col("blocks") == GATES["authoring_blocks"]),
+        ("maximum_component_rows", F.col("maximum_rows") <= GATES["maximum_component_rows"]),
+        ("maximum_component_share", F.col("maximum_share") <= GATES["maximum_component_share"]),
+        ("minimum_effective_components", F.col("effective_components") >= GATES["minimum_effective_components_inverse_hhi"]),
+        ("minimum_realized_components", F.col("components") >= GATES["minimum_realized_components"]),
+        ("minimum_unique_dialogue_state_pair_share", F.col("pairs") / F.col("n") >= GATES["minimum_unique_dialogue_state_pair_share"]),
+        ("zero_cross_bounded_cluster_lexical_edges", F.col("n_crossing") == 0),
+    ])
 
 
 _RECORDS = f"""
@@ -179,29 +242,39 @@ reach AS (SELECT a AS v, a AS w FROM both_ways UNION SELECT r.v, e.b FROM reach
 rooted AS (SELECT v, min(w) AS root FROM reach GROUP BY v)"""
 
 
+def _sql_relations(tag: str, fields: tuple[str, ...]) -> list[str]:
+    return [f"SELECT '{tag}|' || scenario_id AS a, '{tag}|' || min(scenario_id) OVER (PARTITION BY {f}) AS b FROM records WHERE {f} IS NOT NULL AND {f} <> ''" for f in fields]
+
+
 def _sql_variants() -> tuple[str, str]:
     vertices, links = [], []
     for name, (fields, kinds) in VARIANTS.items():
-        vertices.append(f"SELECT '{name}' AS variant, '{name}|' || scenario_id AS v FROM records")
-        links += [f"SELECT '{name}|' || scenario_id AS a, '{name}|' || min(scenario_id) OVER (PARTITION BY {f}) AS b FROM records WHERE {f} IS NOT NULL AND {f} <> ''" for f in fields]
-        if kinds:
-            inside = ", ".join(f"'{k}'" for k in kinds)
-            links.append(f"SELECT '{name}|' || left_id, '{name}|' || right_id FROM edges WHERE edge_type IN ({inside})")
+        inside = ", ".join(f"'{k}'" for k in kinds) or "''"
+        vertices.append(f"SELECT '{name}' AS variant, '{name}|' || scenario_id AS v, (SELECT count(*) FROM ended WHERE edge_type IN ({inside})) AS included_edges FROM records")
+        links += _sql_relations(name, fields)
+        links.append(f"SELECT '{name}|' || left_id AS a, '{name}|' || right_id AS b FROM ended WHERE edge_type IN ({inside})")
+    return " UNION ALL ".join(vertices), " UNION ALL ".join(links)
+
+
+def _sql_steps() -> tuple[str, str]:
+    vertices, links = [], []
+    for i, (char, token) in enumerate(THRESHOLDS):
+        vertices.append(f"SELECT {i} AS step, '{i}|' || scenario_id AS v FROM records")
+        links += _sql_relations(str(i), _BOTH)
+        kept = "edge_type = 'exact_semantic_signature'"
+        if char is not None:
+            kept += f" OR edge_type = 'char_ngram' AND score >= {char} OR edge_type = 'token_jaccard' AND score >= {token}"
+        links.append(f"SELECT '{i}|' || left_id AS a, '{i}|' || right_id AS b FROM ended WHERE {kept}")
     return " UNION ALL ".join(vertices), " UNION ALL ".join(links)
 
 
 _VERTICES, _LINKS = _sql_variants()
-_STEPS = " UNION ALL ".join(f"SELECT {i} AS step, '{i}|' || scenario_id AS v FROM records" for i in range(len(THRESHOLDS)))
-_STEP_LINKS = " UNION ALL ".join(
-    f"""SELECT '{i}|' || left_id AS a, '{i}|' || right_id AS b FROM edges WHERE edge_type = 'exact_semantic_signature'
-OR edge_type = 'char_ngram' AND score >= {c} OR edge_type = 'token_jaccard' AND score >= {t}"""
-    for i, (c, t) in enumerate(THRESHOLDS)
-)
+_STEPS, _STEP_LINKS = _sql_steps()
 
 SQL = {
     "component_variants": f"""WITH RECURSIVE {_RECORDS}, links AS ({_LINKS}), {_REACH}, vertices AS ({_VERTICES}),
-sizes AS (SELECT variant, coalesce(root, vertices.v) AS root, count(*) AS n FROM vertices LEFT JOIN rooted ON rooted.v = vertices.v GROUP BY ALL)
-SELECT variant, {_SUMMARY} FROM sizes GROUP BY variant""",
+sizes AS (SELECT variant, included_edges, coalesce(root, vertices.v) AS root, count(*) AS n FROM vertices LEFT JOIN rooted ON rooted.v = vertices.v GROUP BY ALL)
+SELECT variant, included_edges, {_SUMMARY} FROM sizes GROUP BY variant, included_edges""",
     "threshold_sensitivity": f"""WITH RECURSIVE {_RECORDS}, links AS ({_STEP_LINKS}), {_REACH}, vertices AS ({_STEPS}),
 sizes AS (SELECT step, coalesce(root, vertices.v) AS root, count(*) AS n FROM vertices LEFT JOIN rooted ON rooted.v = vertices.v GROUP BY ALL)
 SELECT step, {_SUMMARY} FROM sizes GROUP BY step""",
@@ -220,7 +293,7 @@ SELECT CAST(row_number() OVER (ORDER BY n DESC, component_id) AS INTEGER) AS ran
 f AS (SELECT DISTINCT left_id, right_id, edge_type, lf AS family_id FROM x WHERE lf IS NOT NULL UNION SELECT left_id, right_id, edge_type, rf FROM x WHERE rf IS NOT NULL),
 n AS (SELECT family_id, count(*) AS n_edges FROM f GROUP BY family_id)
 SELECT family_id, (SELECT count(*) FROM records r WHERE r.family_id = n.family_id) AS n_rows, n_edges FROM n""",
-    "duplicate_dialogues": f"""WITH {_RECORDS}, groups AS (
+    "stored_duplicates": f"""WITH {_RECORDS}, groups AS (
   SELECT count(*) AS size, count(DISTINCT component_id) > 1 AS c, count(DISTINCT suite) > 1 AS s, count(DISTINCT gold) > 1 AS g
   FROM records WHERE dialogue IS NOT NULL GROUP BY dialogue HAVING count(*) > 1)
 SELECT size, count(*) AS n_groups, CAST(sum(size - 1) AS BIGINT) AS excess, count(*) FILTER (c) AS cross_component_id, count(*) FILTER (s) AS cross_suite, count(*) FILTER (g) AS cross_gold FROM groups GROUP BY size""",
@@ -229,15 +302,12 @@ SELECT size, count(*) AS n_groups, CAST(sum(size - 1) AS BIGINT) AS excess, coun
 WHERE place <= 100""",
     "split_crossing": f"""SELECT component, count(DISTINCT split) AS n_splits, count(*) AS n FROM (
   SELECT {sql_upper("leakage_component_id")} AS component, {sql_plain("split")} AS split FROM scenarios) WHERE component IS NOT NULL GROUP BY component HAVING count(DISTINCT split) > 1""",
-    "diversity_gates": f"""WITH {_RECORDS}, one AS (SELECT count(*) AS n, count(DISTINCT scenario_id) AS ids, count(DISTINCT family_id) AS families, count(DISTINCT suite) AS suites, count(DISTINCT component_id) AS blocks FROM records),
-g AS (SELECT n = ids AS a, suites = 6 AS b, families * 5 >= n AS c, blocks >= 50 AS d FROM one)
-SELECT 'unique_ids' AS gate, a AS passed FROM g UNION ALL SELECT 'six_suites', b FROM g UNION ALL SELECT 'families', c FROM g UNION ALL SELECT 'blocks', d FROM g UNION ALL SELECT 'all', a AND b AND c AND d FROM g""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         component_variants, threshold_sensitivity, component_top10, edge_statistics, block_pairs, bounded_clusters, cross_cluster_cover,
-        repair_candidates, repair_simulation, duplicate_dialogues, review_packet, split_crossing, diversity_gates,
+        repair_candidates, repair_simulation, duplicate_dialogues, duplicate_report, stored_duplicates, review_packet, split_crossing, diversity_gates,
     )
 }

@@ -12,7 +12,7 @@ from plumbline.plans import catalogue
 
 QUERIES = {n: q for m in catalogue.modules() for n, q in m.QUERIES.items()}
 SQL = {n: s for m in catalogue.modules() for n, s in m.SQL.items()}
-EMPTY = {"payload_leaks", "tag_stripped", "cross_cluster_cover", "clause_overlap"}
+EMPTY = {"tag_stripped", "cross_cluster_cover", "clause_overlap"}
 pytestmark = pytest.mark.skipif(not compare.DATA.exists(), reason="no test tables")
 
 

@@ -1,12 +1,10 @@
 """Injected clients: retries, failures as rows, pages; and the smaller operators beside them."""
 
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import canonical, text
-from plumbline.operators import agreement, scoring, style, validators, views
+from plumbline.operators import agreement, scoring, style, validators
 from plumbline.sources import jsonl, remote, sinks
 
 
@@ -73,32 +71,6 @@ def test_votes_and_broad_agreement(spark):
     assert (found.items, found.unanimous, found.four_agree, found.within_one, found.mean_score) == (2, 1, 2, 1, 2.4)
 
 
-def test_views_and_profiles(spark):
-    schema = "scenario_id string, decision_date date, dialogue array<struct<role:string,text:string>>, state string, label struct<primary_action:string>, family_id string, component_id string, leakage_component_id string, suite string, split string"
-    rows = spark.createDataFrame([("S1", dt.date(2024, 1, 2), [("customer", "hi")], '{"a":1}', ("ANSWER",), "f", "d", "c", "s", "heldout"), ("S2", None, None, None, None, None, None, None, None, None)], schema)
-    payloads = {(r.scenario_id, r.method): r.payload for r in views.evaluation_payloads(rows).collect()}
-    assert payloads["S1", "dialogue_only"] == '{"decision_date":"2024-01-02","dialogue":[{"role":"customer","text":"hi"}]}'
-    assert payloads["S2", "state_oracle_evidence"] == '{"decision_date":null,"dialogue":null,"evidence":[],"typed_state":null}'
-    requests = views.evaluation_requests(views.evaluation_payloads(rows), "E")
-    jobs = views.job_ledger(requests, rows, "slot", "1").collect()
-    assert len(jobs) == 8 and {j.job_id for j in jobs} >= {"E-DIALOGUE-ONLY-S1", "E-STATE-ORACLE-EVIDENCE-S2"}
-    one, two = views.request_digest(requests).first(), views.request_digest(requests.orderBy(F.desc("job_id"))).first()
-    assert one == two and views.request_digest(requests.limit(7)).first() != one
-    changed = views.profiled(F.struct(F.lit(1).alias("a"), F.lit(2).alias("b")), ["a"], {"c": F.lit(3)})
-    assert spark.range(1).select(changed.alias("p")).first().p.asDict() == {"b": 2, "c": 3}
-    assert {(r.scenario_id, r.problem) for r in views.broken_dialogues(rows).collect()} == {("S2", "empty")}
-    replaced = views.with_prediction(spark.createDataFrame([("k", "A"), ("l", "B")], "k string, prediction string"), spark.createDataFrame([("k", "C")], "k string, prediction string"), "k")
-    assert {(r.k, r.prediction) for r in replaced.collect()} == {("k", "C"), ("l", "B")}
-
-
-def test_evidence_of_a_wrong_role_ends_the_job(spark):
-    fields = [F.lit("law").alias("role"), *[F.lit("v").alias(f) for f in views.EVIDENCE_FIELDS]]
-    df = spark.range(1).select(F.array(F.struct(*fields)).alias("e"))
-    assert len(df.select(views.sanitized_evidence(F.col("e"), ["law"]).alias("e")).first().e[0]) == len(views.EVIDENCE_FIELDS)
-    with pytest.raises(Exception, match="not allowed"):
-        df.select(views.sanitized_evidence(F.col("e"), ["rule"]).alias("e")).collect()
-
-
 def test_small_text_helpers_and_checksums(spark, tmp_path):
     row = spark.range(1).select(text.absolute_url(F.lit("//x/y")).alias("u"), text.percent(F.lit(0.1234)).alias("p"), text.record_id(F.lit("a"), F.lit("b")).alias("r")).first()
     assert (row.u, row.p, len(row.r)) == ("https://x/y", "12.3%", 20)
@@ -106,13 +78,6 @@ def test_small_text_helpers_and_checksums(spark, tmp_path):
     assert (tmp_path / "sums").read_text() == "1  a\n2  b\n"
 
 
-def test_views_keep_only_what_they_name(spark):
-    df = spark.createDataFrame([("S", dt.date(2024, 1, 1), "{}", "x")], "scenario_id string, decision_date date, state string, label string")
-    assert views.oracle_view(df).columns == ["scenario_id", "decision_date", "state"]
-    assert views.realization_view(df, "en").first().language == "en" and "label" not in views.realization_view(df).columns
-    assert views.public_view(df, ["state", "scenario_id"]).columns == ["state", "scenario_id"]
-
-
 def test_documents_prompts_and_contents(spark, tmp_path):
     (tmp_path / "d.json").write_text('{\n "a": 1\n}')
     assert jsonl.read_json_document(spark, str(tmp_path / "d.json"), "a long").first().a == 1
