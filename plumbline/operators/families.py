@@ -88,3 +88,36 @@ def spanning_families(scored: DataFrame) -> DataFrame:
     """Families whose rows lie in more than one component; a sound corpus has none."""
     spans = scored.where("family_id IS NOT NULL").groupBy("family_id").agg(F.count_distinct("component_id").alias("n_components"))
     return spans.where("n_components > 1")
+
+
+def pair_records(scored: DataFrame) -> DataFrame:
+    """(method, suite, family_id, component_id, predicted_change, exact_pair): the pairs that must flip.
+
+    Families of two in the pair suites whose labels differ. A family that spans components
+    is no pair (``spanning_families`` names those).
+    """
+    families = scored.where("family_id IS NOT NULL").groupBy("method", "family_id").agg(
+        F.min("suite").alias("suite"), F.count("*").alias("n"), F.count_distinct("gold").alias("golds"), F.count_distinct("component_id").alias("spread"), F.min("component_id").alias("component_id"),
+        (F.count_distinct("prediction") > 1).alias("predicted_change"), F.bool_and(F.col("gold") == F.col("prediction")).alias("exact_pair"),
+    )
+    kept = families.where(F.col("suite").isin(*PAIR_SUITES)).where("n = 2 AND golds = 2 AND spread = 1")
+    return kept.select("method", "suite", "family_id", "component_id", "predicted_change", "exact_pair")
+
+
+def _in_one_component(rows: DataFrame) -> DataFrame:
+    spread = Window.partitionBy("method", "family_id")
+    least, most = F.min("component_id").over(spread), F.max("component_id").over(spread)
+    return rows.withColumns({"__a": least, "__b": most}).where("__a = __b").drop("__a", "__b")
+
+
+def change_records(scored: DataFrame) -> DataFrame:
+    """(method, family_id, component_id, correct_after_change, stale_previous_action): every change of label within a trajectory."""
+    rows = _in_one_component(turn_positions(scored)).where("changed")
+    after, stale = F.col("prediction") == F.col("gold"), F.col("prediction") == F.col("previous_gold")
+    return rows.select("method", "family_id", "component_id", after.alias("correct_after_change"), stale.alias("stale_previous_action"))
+
+
+def trajectory_records(scored: DataFrame) -> DataFrame:
+    """(method, family_id, component_id, complete_trajectory): whether all turns of a trajectory are right."""
+    rows = _in_one_component(turn_positions(scored))
+    return rows.groupBy("method", "family_id").agg(F.min("component_id").alias("component_id"), F.bool_and(F.col("gold") == F.col("prediction")).alias("complete_trajectory"))

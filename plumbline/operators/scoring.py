@@ -36,17 +36,18 @@ def coerced(action: Column) -> Column:
 def scored_rows(jobs: DataFrame, scenarios: DataFrame, events: DataFrame) -> DataFrame:
     """One row for each job with a scenario and a first-generation event.
 
-    A job's component is its own, else it stands alone under its scenario's id.
+    A job's component is its own, else the design component, else it stands alone under its scenario's id.
     """
     j = jobs.select(
         "job_id", "scenario_id", "method", plain_label("split").alias("split"), upper_id("family_id").alias("family_id"),
-        F.coalesce(upper_id("component_id"), "scenario_id").alias("component_id"), "gold_action_sha256",
+        F.coalesce(upper_id("component_id"), upper_id("design_component_id"), "scenario_id").alias("component_id"), "gold_action_sha256",
     )
     s = scenarios.select(
         "scenario_id", "suite", F.col("label.primary_action").alias("gold"), F.col("label.severity").alias("severity"),
         F.col("label.acceptable_actions").alias("acceptable"), F.coalesce(F.size("dialogue"), F.lit(0)).alias("n_turns"),
     )
-    e = first_generation(events, [F.col("result.parsed_action").alias("action"), "api_error"]).select("job_id", coerced(F.col("action")).alias("prediction"), "api_error")
+    e = first_generation(events, [F.col("result.parsed_action").alias("action"), F.col("result.parse_errors").alias("errors"), "api_error"])
+    e = e.select("job_id", coerced(F.col("action")).alias("prediction"), "errors", "api_error")
     return j.join(s, "scenario_id").join(e, "job_id")
 
 
@@ -153,8 +154,8 @@ def constant_baselines(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return each.groupBy("system", *by).agg(*metric_columns(F.col("w"))).select("system", *by, "n", *rate_columns(), "n_severe_unsafe")
 
 
-def coverage_gaps(jobs: DataFrame, events: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """How many jobs lack an event or a scenario, and how many events lack a job."""
+def coverage_gaps(jobs: DataFrame, events: DataFrame, scenarios: DataFrame, samples: int = 5) -> DataFrame:
+    """(gap, n, samples): jobs that lack an event or a scenario, events that lack a job, and the first few ids of each."""
     first = events.where("run_generation = 1 AND job_id IS NOT NULL").select("job_id").distinct()
     parts = [
         (jobs.join(first, "job_id", "left_anti"), "jobs_without_event"),
@@ -163,7 +164,8 @@ def coverage_gaps(jobs: DataFrame, events: DataFrame, scenarios: DataFrame) -> D
     ]
     out = None
     for df, kind in parts:
-        one = df.agg(F.lit(kind).alias("gap"), F.count("*").alias("n"))
+        few = df.select("job_id").orderBy("job_id").limit(samples).agg(F.array_sort(F.collect_list("job_id")).alias("samples"))
+        one = df.agg(F.lit(kind).alias("gap"), F.count("*").alias("n")).crossJoin(F.broadcast(few))
         out = one if out is None else out.unionAll(one)
     return out
 

@@ -83,18 +83,62 @@ def _percentile(values, p):
     return values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])
 
 
-def test_bootstrap_matches_a_sequential_program(spark, scratch):
-    rng = random.Random(1)
-    rows = [(f"j{i}", "m", None, f"c{rng.randrange(7)}", "s", rng.choice(ACTIONS), rng.choice(scoring.OUTCOMES), "none", 1) for i in range(200)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    found = {r.rate: (r.low, r.high) for r in resampling.metric_intervals(df, ["method"], 60, scratch, seed=3).collect()}
+@pytest.mark.parametrize(("n", "seed"), [(1, 3), (7, 27072027), (59, 1), (64, 2)])
+def test_seeded_draws_are_those_of_the_sequential_generator(n, seed):
+    generator, names = random.Random(seed), list(range(n))
+    expected = [[generator.choice(names) for _ in names] for _ in range(90)]
+    draws, later = resampling.SeededDraws(n, seed), resampling.SeededDraws(n, seed)
+    assert [*draws.take(0, 40).tolist(), *draws.take(40, 90).tolist()] == expected
+    assert later.take(63, 90).tolist() == expected[63:]
+
+
+def _sequential(rows, seed, replicates):
     names = sorted({r[3] for r in rows})
-    generator, values = random.Random(3), []
-    for _ in range(60):
+    generator, values = random.Random(seed), []
+    for _ in range(replicates):
         drawn = [generator.choice(names) for _ in names]
         picked = [r for c in drawn for r in rows if r[3] == c]
         values.append(sum(r[5] == r[6] for r in picked) / len(picked))
-    assert found["accuracy"] == pytest.approx((_percentile(values, 0.025), _percentile(values, 0.975)), abs=1e-12)
+    return _percentile(values, 0.025), _percentile(values, 0.975)
+
+
+@pytest.mark.parametrize("cells", [resampling.CELLS, 0])
+def test_bootstrap_matches_a_sequential_program(spark, scratch, cells, monkeypatch):
+    """Each method on its own components and seed, with matrices and with joined draws."""
+    monkeypatch.setattr(resampling.replicate_sums, "__defaults__", (None, False, cells))
+    rng = random.Random(1)
+    rows = [(f"j{i}", "mn"[i % 2], None, f"c{rng.randrange(7 + 3 * (i % 2))}", "s", rng.choice(ACTIONS), rng.choice(scoring.OUTCOMES), "none", 1) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seeds = {"m": 3, "n": 3 + 1009}
+    found = {(r.method, r.rate): (r.low, r.high) for r in resampling.metric_intervals(df, ["method"], 60, scratch, seed=lambda g: seeds[g.method]).collect()}
+    for method, seed in seeds.items():
+        expected = _sequential([r for r in rows if r[1] == method], seed, 60)
+        assert found[method, "accuracy"] == pytest.approx(expected, abs=1e-12)
+
+
+@pytest.mark.parametrize("seed", [None, 5])
+def test_matrices_and_joined_draws_agree(spark, scratch, seed):
+    rng = random.Random(4)
+    rows = [(rng.choice("xyz"), f"c{rng.randrange(12)}", rng.randrange(9)) for _ in range(60)]
+    counts = spark.createDataFrame(rows, "m string, c string, k long").groupBy("m", "c").agg(F.sum("k").alias("k"))
+    for own in (False, True):
+        one, two = (sorted(map(tuple, resampling.replicate_sums(counts, ["m"], ["k"], "c", 40, scratch, seed, own, cells).collect())) for cells in (10_000, 0))
+        assert len(one) == 120 and set(two) <= set(one) and all(r[2] == 0 for r in set(one) - set(two))
+
+
+def test_pairs_changes_and_trajectories(spark):
+    def row(job, family, component, suite, gold, prediction, turns=1):
+        return (job, "m", family, component, suite, gold, prediction, "none", turns)
+
+    rows = [
+        row("1", "p", "c", "temporal", "ANSWER", "ANSWER"), row("2", "p", "c", "temporal", "REFUSE", "ANSWER"), row("3", "same", "c", "temporal", "ANSWER", "ANSWER"), row("4", "same", "c", "temporal", "ANSWER", "REFUSE"),
+        row("5", "span", "c", "temporal", "ANSWER", "ANSWER"), row("6", "span", "d", "temporal", "REFUSE", "REFUSE"), row("7", "t", "c", "multi_turn", "ANSWER", "ANSWER", 1), row("8", "t", "c", "multi_turn", "REFUSE", "ANSWER", 2),
+        row("9", "t", "c", "multi_turn", "CLARIFY", "CLARIFY", 3), row("10", "u", "c", "multi_turn", "ANSWER", "ANSWER", 1), row("11", "u", "d", "multi_turn", "REFUSE", "REFUSE", 2),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [(r.family_id, r.predicted_change, r.exact_pair) for r in families.pair_records(df).collect()] == [("p", False, False)]
+    assert sorted((r.family_id, r.correct_after_change, r.stale_previous_action) for r in families.change_records(df).collect()) == [("t", False, True), ("t", True, False)]
+    assert [(r.family_id, r.complete_trajectory) for r in families.trajectory_records(df).collect()] == [("t", False)]
 
 
 def test_clustered_rates_drop_and_count_invalid_draws(spark, scratch):
