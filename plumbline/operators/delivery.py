@@ -1,20 +1,25 @@
 """Exactly-one selection over at-least-once deliveries, with state across batches.
 
-State is two tables under one version folder:
+State is two tables, each kept as parts that a manifest names in order:
 
 * ``dictionary``: every identifier ever seen, exactly, with a shard and an ordinal that is
-  dense within its shard;
+  dense within its shard; a batch appends the identifiers it adds, in folders by shard;
 * ``bitmaps``: for each shard and run of 32,768 ordinals, the bits of the identifiers
-  already delivered, as one binary that the file format compresses.
-
-A batch is reduced to its first arrival per identifier before anything is shuffled in
-full, so an identifier that holds a third of all rows costs one row per map task. The
-new version is written whole and then named in one pointer file, whose replacement is a
-single rename: a job that dies leaves the former version in force.
+  already delivered, as one binary that the file format compresses; a batch writes the
+  runs it touches, and the latest part that holds a run counts.
+
+So what a batch writes follows the batch, not the state; what it reads of the dictionary
+are the shards it touches. After COMPACT parts the table is written as one, and parts no
+manifest names any more are removed. A batch is reduced to its first arrival per
+identifier before anything is shuffled in full, so an identifier that holds a third of all
+rows costs one row per map task. Parts are written first and then named in the manifest,
+whose replacement is a single rename: a job that dies leaves the former state in force,
+and its leftovers are overwritten by the next try.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -24,6 +29,10 @@ from pyspark.sql import functions as F
 from plumbline.scratch import Scratch
 
 
+#: Parts of a table after which they are written as one.
+COMPACT = 32
+
+
 def _bit_is_set(bits: Column, position: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10)
     return F.coalesce(F.getbit(byte.cast("int"), (position % 8).cast("int")) == 1, F.lit(False))
@@ -48,28 +57,31 @@ class SeenStore:
         self.spark, self.root, self.keys, self.shards = spark, root.rstrip("/"), dict(keys), shards
         self.scratch = Scratch(spark)
 
-    # -- versions -----------------------------------------------------------------
+    # -- the manifest ---------------------------------------------------------------
 
     def _pointer(self) -> str:
         return f"{self.root}/CURRENT"
 
-    def version(self) -> int:
-        """Number of the version in force; 0 before the first batch."""
+    def _manifest(self) -> dict:
         fs, where = self.scratch._fs(self._pointer())
         if not fs.exists(where):
-            return 0
+            return {"version": 0, "dictionary": [], "bitmaps": [], "tops": []}
         stream = fs.open(where)
         try:
-            return int(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _commit(self, version: int) -> None:
+    def version(self) -> int:
+        """Number of batches committed."""
+        return self._manifest()["version"]
+
+    def _commit(self, manifest: dict) -> None:
         jvm = self.spark.sparkContext._jvm
         fs, target = self.scratch._fs(self._pointer())
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self._pointer()}.{version}")
+        fresh = jvm.org.apache.hadoop.fs.Path(f"{self._pointer()}.{manifest['version']}")
         stream = fs.create(fresh, True)
-        stream.write(str(version).encode())
+        stream.write(json.dumps(manifest).encode())
         stream.close()
         # FileContext.rename with OVERWRITE replaces the pointer in one step.
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
@@ -77,15 +89,37 @@ class SeenStore:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(fresh, target, options)
 
-    def _read(self, version: int, name: str) -> DataFrame:
+    def _schema(self, name: str) -> str:
         keys = ", ".join(f"`{k}` {t}" for k, t in self.keys.items())
-        schema = {
-            "dictionary": f"{keys}, shard int, ordinal long",
-            "bitmaps": "shard int, bucket long, bits binary",
-        }[name]
-        if not version:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/v{version}/{name}")
+        return {"dictionary": f"{keys}, ordinal long, shard int", "bitmaps": "bucket long, bits binary, shard int", "tops": "shard int, top long"}[name]
+
+    def _part(self, name: str, number: int) -> str:
+        return f"{self.root}/{name}-{number}"
+
+    def _read(self, manifest: dict, name: str) -> DataFrame:
+        """All parts of a table, those of a shard in folders of their own; with the number of the part."""
+        out = None
+        for number in manifest[name]:
+            one = self.spark.read.schema(self._schema(name)).parquet(self._part(name, number)).withColumn("part", F.lit(number))
+            out = one if out is None else out.unionByName(one)
+        return self.spark.createDataFrame([], self._schema(name) + ", part int") if out is None else out
+
+    def _bitmaps(self, manifest: dict) -> DataFrame:
+        """The bits of every run as the latest part has them."""
+        latest = self._read(manifest, "bitmaps").groupBy("shard", "bucket").agg(F.max_by("bits", "part").alias("bits"))
+        return latest.select("shard", "bucket", "bits")
+
+    def _write(self, df: DataFrame, name: str, number: int, by_shard: bool) -> None:
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        (writer.partitionBy("shard") if by_shard else writer).parquet(self._part(name, number))
+
+    def _sweep(self, manifest: dict) -> None:
+        """Remove parts the manifest does not name."""
+        fs, where = self.scratch._fs(self.root)
+        named = {f"{name}-{n}" for name in ("dictionary", "bitmaps", "tops") for n in manifest[name]} | {"CURRENT"}
+        for found in fs.listStatus(where):
+            if found.getPath().getName() not in named:
+                fs.delete(found.getPath(), True)
 
     # -- one batch ----------------------------------------------------------------
 
@@ -110,12 +144,15 @@ class SeenStore:
         firsts = keyed.groupBy(*names).agg(F.min(rank).alias("__first"))
 
         # Exact dictionary: known identifiers keep their code, new ones extend their shard.
-        current = self.version()
-        known = self._read(current, "dictionary")
-        tops = known.groupBy("shard").agg(F.max("ordinal").alias("top"))
-        coded = firsts.join(known, names, "left").withColumn("is_new", F.col("ordinal").isNull())
+        manifest = self._manifest()
+        number = manifest["version"] + 1
         shard = F.pmod(F.xxhash64(*names), F.lit(self.shards)).cast("int")
-        coded = coded.withColumn("shard", F.coalesce("shard", shard))
+        firsts = self.scratch.save(firsts.withColumn("shard", shard), "firsts")
+        # At most ``shards`` numbers: only their folders of the dictionary are read.
+        touched = [r.shard for r in firsts.select("shard").distinct().collect()]
+        known = self._read(manifest, "dictionary").where(F.col("shard").isin(touched)).select("shard", *names, "ordinal")
+        tops = self._read(manifest, "tops").select("shard", "top")
+        coded = firsts.join(known, ["shard", *names], "left").withColumn("is_new", F.col("ordinal").isNull())
         within = Window.partitionBy("shard", "is_new").orderBy(*names)
         coded = (
             coded.withColumn("__n", F.row_number().over(within))
@@ -126,8 +163,9 @@ class SeenStore:
         )
         coded = self.scratch.save(coded, "coded")
 
-        # One arrival per bit that is still unset.
-        bitmaps = self._read(current, "bitmaps")
+        # One arrival per bit that is still unset, against the runs the batch touches.
+        runs = coded.select("shard", "bucket").distinct()
+        bitmaps = self._bitmaps(manifest).join(runs, ["shard", "bucket"], "left_semi")
         position = F.expr("bitmap_bit_position(ordinal)")
         unseen = (
             coded.join(bitmaps, ["shard", "bucket"], "left")
@@ -136,15 +174,21 @@ class SeenStore:
         )
         unseen = self.scratch.save(unseen, "unseen")
 
-        # The union of old and new bits becomes the next version.
+        # The union of old and new bits, and the new identifiers, become the next parts.
         fresh = unseen.groupBy("shard", "bucket").agg(
             F.expr("bitmap_construct_agg(bitmap_bit_position(ordinal))").alias("bits")
         )
-        union = bitmaps.unionByName(fresh).groupBy("shard", "bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-        added = coded.where("is_new").select(*names, "shard", "ordinal")
-        target = f"{self.root}/v{current + 1}"
-        union.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/bitmaps")
-        known.unionByName(added).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/dictionary")
+        changed = bitmaps.join(fresh.select("shard", "bucket"), ["shard", "bucket"], "left_semi")
+        union = changed.unionByName(fresh).groupBy("shard", "bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
+        added = coded.where("is_new").select(*names, "ordinal", "shard")
+        ended = tops.unionByName(added.groupBy("shard").agg(F.max("ordinal").alias("top"))).groupBy("shard").agg(F.max("top").alias("top"))
+        self._write(union, "bitmaps", number, by_shard=False)
+        self._write(added.repartition("shard"), "dictionary", number, by_shard=True)
+        self._write(ended.coalesce(1), "tops", number, by_shard=False)
+        after = {
+            "version": number, "dictionary": [*manifest["dictionary"], number], "bitmaps": [*manifest["bitmaps"], number], "tops": [number],
+        }
+        self.scratch.drop(firsts, coded)
 
         # Arrival ids are spread evenly, so a frequent identifier does not skew this join.
         keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(names)]
@@ -165,10 +209,27 @@ class SeenStore:
         )
         if keep:
             keep(batch.kept)
-        self._commit(current + 1)
+        self._commit(after)
+        if len(after["bitmaps"]) > COMPACT:
+            self.compact()
+        else:
+            self._sweep(after)
         return batch
 
+    def compact(self) -> None:
+        """Write each table as one part and name these; what is seen stays the same."""
+        manifest = self._manifest()
+        if not manifest["version"]:
+            return
+        # A number of its own: the parts it replaces stay until the new ones are named.
+        number = -manifest["version"]
+        self._write(self._bitmaps(manifest), "bitmaps", number, by_shard=False)
+        self._write(self._read(manifest, "dictionary").drop("part").repartition("shard"), "dictionary", number, by_shard=True)
+        after = manifest | {"dictionary": [number], "bitmaps": [number]}
+        self._commit(after)
+        self._sweep(after)
+
     def count(self) -> int:
         """Identifiers delivered so far, counted from the bitmaps."""
-        found = self._read(self.version(), "bitmaps").select(F.sum(F.expr("bitmap_count(bits)")).alias("n")).first()
+        found = self._bitmaps(self._manifest()).select(F.sum(F.expr("bitmap_count(bits)")).alias("n")).first()
         return int(found.n or 0)

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from plumbline.operators import delivery
 from plumbline.operators.delivery import SeenStore
 from plumbline.scratch import shared_dir
 from plumbline.streaming import ledger
@@ -55,14 +58,54 @@ def test_batches_match_one_pass(spark, tmp_path):
     assert seen.count() == len(first) and seen.version() == 3
 
 
-def test_uncommitted_version_is_not_in_force(spark, tmp_path):
+def _files(tmp_path):
+    return {f.relative_to(tmp_path / "seen"): f.stat().st_size for f in (tmp_path / "seen").rglob("*.parquet")}
+
+
+def test_what_a_batch_writes_follows_the_batch(spark, tmp_path):
+    """A second small batch leaves the first one's parts alone and adds little."""
+    seen = store(spark, tmp_path)
+    first = spark.range(60_000).selectExpr("id AS no", "concat('job-', id) AS job", "id % 3 AS gen", "id AS at", "CAST(NULL AS STRING) AS bits")
+    seen.accept(first, "no", ["at"])
+    before = _files(tmp_path)
+    again = spark.createDataFrame([(70_000, "job-5", 2, 9, None), (70_001, "new", 1, 9, None)], SCHEMA)
+    assert ids(seen.accept(again, "no", ["at"]).kept) == [70_001]
+    after = _files(tmp_path)
+    added = {f: n for f, n in after.items() if f not in before}
+    assert {f for f in before if f not in after and not str(f).startswith("tops")} == set()
+    assert sum(n for f, n in added.items() if str(f).startswith("dictionary")) < 5_000 < sum(before.values()) / 20
+    assert seen.count() == 60_001
+
+
+def test_parts_are_compacted_and_swept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delivery, "COMPACT", 3)
+    seen, kept = store(spark, tmp_path), []
+    rows = [(i, f"j{i % 7}", i % 2, i, None) for i in range(42)]
+    for start in range(0, 42, 6):
+        kept += ids(seen.accept(spark.createDataFrame(rows[start : start + 6], SCHEMA), "no", ["at"]).kept)
+    assert sorted(kept) == list(range(14)) and seen.count() == 14 and seen.version() == 7
+    named = {str(f).split("/")[0] for f in _files(tmp_path)}
+    assert len(named) <= 2 * 4 + 1
+    seen.compact()
+    assert len({str(f).split("/")[0] for f in _files(tmp_path)}) == 3 and seen.count() == 14
+    assert ids(seen.accept(spark.createDataFrame(rows, SCHEMA), "no", ["at"]).kept) == []
+
+
+def test_a_job_that_dies_before_the_rename_leaves_the_former_state(spark, tmp_path, monkeypatch):
     seen = store(spark, tmp_path)
     seen.accept(spark.createDataFrame([(1, "a", 1, 5, None)], SCHEMA), "no", ["at"])
-    # A job that died after writing but before the rename leaves a folder nobody names.
-    (tmp_path / "seen" / "v2").mkdir()
+    later = spark.createDataFrame([(2, "a", 1, 6, None), (3, "b", 1, 6, None)], SCHEMA)
+
+    def dies(self, manifest):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(SeenStore, "_commit", dies)
+        with pytest.raises(OSError, match="lost"):
+            seen.accept(later, "no", ["at"])
     again = store(spark, tmp_path)
-    assert again.version() == 1
-    assert ids(again.accept(spark.createDataFrame([(2, "a", 1, 6, None), (3, "b", 1, 6, None)], SCHEMA), "no", ["at"]).kept) == [3]
+    assert again.version() == 1 and again.count() == 1
+    assert ids(again.accept(later, "no", ["at"]).kept) == [3] and again.count() == 2
 
 
 def test_session_names_the_shared_folder(spark):
@@ -73,9 +116,9 @@ def test_kept_rows_of_a_stream_are_written_before_their_batch_is_committed(spark
     spark.createDataFrame([(1, "a", 1, 5, None), (2, "a", 1, 6, None)], SCHEMA).write.parquet(f"{tmp_path}/in")
     written, commit = [], SeenStore._commit
 
-    def watched(self, version):
-        written.append(spark.read.parquet(f"{self.root.removesuffix('-seen')}/batch={version - 1}").count())
-        commit(self, version)
+    def watched(self, manifest):
+        written.append(spark.read.parquet(f"{self.root.removesuffix('-seen')}/batch={manifest['version'] - 1}").count())
+        commit(self, manifest)
 
     monkeypatch.setattr(SeenStore, "_commit", watched)
     stream = ledger.read_ledger(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, 99)
