@@ -3,9 +3,10 @@
 A rule is a pair of patterns, for what stands before and after a position, and says
 whether to break there. Tables are tried in order, the rules of the labelled language
 first, then those of the other languages of the same kind of script, then the common
-ones; the first rule that matches decides. Only positions after closing marks (and, in
-Thai, at blanks) are put to the rules; those inside quotations or brackets never are. A
-line break always ends a sentence.
+ones; the first rule that matches decides. Positions after closing marks are put to one
+cascade, blanks of Thai lines to another. Rules read the line with the inside of every
+balanced quotation and bracket replaced by one sign, for which the first rule of each
+cascade stands: nothing in there ends a sentence. A line break always ends one.
 """
 
 from __future__ import annotations
@@ -52,8 +53,10 @@ _CLOSING = {
 # Months that follow an ordinal in German.
 _MONTHS_DE = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jänner|Feber"
 
-#: What plainly begins a sentence: a capital or a letter without case, with an opener before it or none.
+#: What plainly begins a sentence: a capital or a letter without case, with an opener before it or none. After an
+#: abbreviation in Latin letters only a capital or an opener does: "Ltd. 的" goes on.
 _BEGINS = r"""["'“„«‹「『‘(（\[【¿¡]*[\p{Lu}\p{Lt}\p{Lo}]|["“„«‹「『(（\[【¿¡]"""
+_BEGINS_CASED = r"""["'“„«‹「『‘(（\[【¿¡]*[\p{Lu}\p{Lt}]|["“„«‹「『(（\[【¿¡]"""
 _BLANK = r"[\p{White_Space}\p{Cf}]"
 #: A word may start right after a letter of a script that writes no blanks, as in "書類No.".
 _WORD_START = r"(?<![\p{Latin}\p{Devanagari}\p{Arabic}\p{M}\p{N}.])"
@@ -86,13 +89,16 @@ def _language_rules(language: str) -> list[tuple[bool, str, str]]:
     if _REFERENCES.get(language):
         rules.append((JOIN, rf"{_WORD_START}(?:{_either(_REFERENCES[language])})\.", ""))
     if _CLOSING.get(language):
-        rules.append((BREAK, rf"{_WORD_START}(?:{_either(_CLOSING[language])})\.", rf"{_BLANK}+(?:{_BEGINS})"))
+        rules.append((BREAK, rf"{_WORD_START}(?:{_either(_CLOSING[language])})\.", rf"{_BLANK}+(?:{_BEGINS_CASED})"))
         rules.append((JOIN, rf"{_WORD_START}(?:{_either(_CLOSING[language])})\.", ""))
     return rules
 
 
-#: First the marks nothing can undo, and dots of omission.
+#: Stands for every character inside a balanced quotation or bracket; no character of Unicode text.
+_INSIDE = "\uffff"
+#: First what is inside, then the marks nothing can undo, and dots of omission.
 _FIRST = [
+    (JOIN, _INSIDE, ""),
     (BREAK, r"[!?。！？．｡؟।॥‼⁇⁈⁉።։۔][.…!?。！？．｡؟।॥‼⁇⁈⁉።։۔\p{Cf}]*", ""),
     (JOIN, r"(?:\.\.|…)\.*…*", ""),
     # A list number or letter at the start of the line.
@@ -113,15 +119,43 @@ _LAST = [
     (JOIN, r"\.", r"[^\p{White_Space}\p{Cf}]"),
     (BREAK, r"\.", rf"{_BLANK}+"),
 ]
+#: Blanks of a Thai line: none inside, none that touches a digit, percent sign or Latin letter, none after the
+#: colon of a speaker or an opener or after a list number; all others.
+_TOUCHED = r"[\p{Nd}%٪％\p{Latin}]"
+_THAI_RULES = [
+    (JOIN, "", _INSIDE),
+    (JOIN, r"[:：]", ""),
+    (JOIN, _TOUCHED, ""),
+    (JOIN, "", rf"{_BLANK}+{_TOUCHED}"),
+    (JOIN, rf"^{_BLANK}*(?:[-–—•*·]|[(（]?(?:\p{{Nd}}{{1,4}}|\p{{Latin}})[.)）、．])", ""),
+    (BREAK, r"[^\p{White_Space}\p{Cf}]", rf"{_BLANK}+[^\p{{White_Space}}\p{{Cf}}]"),
+]
 #: Labels of the languages with Latin script; the rest by their script.
 _LATIN = ("en", "de", "fr", "es")
 _SCRIPTS = (("hi", r"\p{Devanagari}"), ("ar", r"\p{Arabic}"))
 
 
+Rules = list[tuple[bool, regex.Pattern]]
+
+
+def _compiled(rules: list[tuple[bool, str, str]]) -> Rules:
+    sides = ((outcome, f"(?<={before})" if before else "", f"(?={after})" if after else "") for outcome, before, after in rules)
+    return [(outcome, regex.compile(before + after)) for outcome, before, after in sides]
+
+
 @lru_cache(maxsize=64)
-def _cascade(languages: tuple[str, ...]) -> list[tuple[bool, regex.Pattern]]:
-    rules = [*_FIRST, *(r for language in languages for r in _language_rules(language)), *_LAST]
-    return [(outcome, regex.compile(f"(?<={before})(?={after})" if after else f"(?<={before})")) for outcome, before, after in rules]
+def _cascade(languages: tuple[str, ...]) -> Rules:
+    return _compiled([*_FIRST, *(r for language in languages for r in _language_rules(language)), *_LAST])
+
+
+@lru_cache(maxsize=1)
+def _thai_cascade() -> Rules:
+    return _compiled(_THAI_RULES)
+
+
+def _decided(rules: Rules, line: str, at: int) -> bool:
+    """What the first rule that matches at a position says; no rule, no break."""
+    return next((outcome for outcome, rule in rules if rule.match(line, at)), JOIN)
 
 
 _CANDIDATE = regex.compile(r"[.!?…。！？．｡؟।॥‼⁇⁈⁉።։۔]+[\])}）】」』”’»›]*")
@@ -129,9 +163,7 @@ _CANDIDATE = regex.compile(r"[.!?…。！？．｡؟।॥‼⁇⁈⁉።։۔]+
 _CLOSERS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "„": "“”", "«": "»", "‹": "›", "{": "}", "〔": "〕"}
 _PAIRED = regex.compile(r"""["()（）\[\]【】「」『』《》〈〉“”„«»‹›{}〔〕]""")
 _THAI = regex.compile(r"\p{Thai}")
-_THAI_BLANK = regex.compile(rf"(?<=[^\p{{White_Space}}\p{{Cf}}]){_BLANK}*\p{{White_Space}}{_BLANK}*(?=[^\p{{White_Space}}\p{{Cf}}])")
-_NO_BREAK_AT = regex.compile(r"[\p{Nd}%٪％]|\p{Latin}")
-_ITEM = regex.compile(rf"^{_BLANK}*(?:[-–—•*·]|[(（]?(?:\p{{Nd}}{{1,4}}|\p{{Latin}})[.)）、．])$")
+_THAI_BLANK = regex.compile(rf"(?<=[^\p{{White_Space}}\p{{Cf}}]){_BLANK}*\p{{White_Space}}")
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -173,36 +205,34 @@ def _languages(label: str, line: str) -> tuple[str, ...]:
     return (first, *(x for x in _LATIN if x != first)) if first in _LATIN else _LATIN
 
 
+def _masked(line: str) -> str:
+    """The line with the inside of its balanced quotations and brackets hidden, as long as before."""
+    parts, at = [], 0
+    for start, end in _protected(line):
+        parts += [line[at : start + 1], _INSIDE * (end - start - 1)]
+        at = end
+    return "".join([*parts, line[at:]]) if parts else line
+
+
 def line_ends(line: str, label: str) -> list[int]:
     """Positions in a line after which a sentence ends, without the end of the line."""
     found = []
-    spans = _protected(line)
-    if _CANDIDATE.search(line):
+    marked = _CANDIDATE.search(line)
+    thai = _THAI.search(line) and 2 * len(_THAI.findall(line)) > len(_LETTER.findall(line))
+    if not (marked or thai):
+        return found
+    masked = _masked(line)
+    if marked:
         cascade = _cascade(_languages(label, line))
-        at = 0
         for match in _CANDIDATE.finditer(line):
             # A mark closes the part of the run before the first closer that belongs to a pair.
-            start, end = match.span()
-            while at < len(spans) and spans[at][1] < start:
-                at += 1
-            if at < len(spans) and spans[at][0] < start < spans[at][1]:
-                continue
-            marks = end
+            marks = end = match.end()
             while line[marks - 1] in "])}）】」』”’»›":
                 marks -= 1
-            for outcome, rule in cascade:
-                if rule.match(line, marks):
-                    if outcome:
-                        found.append(end)
-                    break
-    if _THAI.search(line) and 2 * len(_THAI.findall(line)) > len(_LETTER.findall(line)):
-        for match in _THAI_BLANK.finditer(line):
-            start, end = match.span()
-            if any(a < start < b for a, b in spans) or _ITEM.match(line[:start]):
-                continue
-            # A colon before the blank belongs to a speaker or an opener.
-            if not (line[start - 1] in ":：" or _NO_BREAK_AT.match(line[start - 1]) or _NO_BREAK_AT.match(line[end])):
-                found.append(start)
+            if _decided(cascade, masked, marks):
+                found.append(end)
+    if thai:
+        found += [m.start() for m in _THAI_BLANK.finditer(line) if _decided(_thai_cascade(), masked, m.start())]
         found = sorted(set(found))
     return found
 

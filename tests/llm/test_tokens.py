@@ -112,6 +112,8 @@ def test_mixture_of_nothing_and_bad_targets(spark, scratch):
     ("de", ["Am 3. März kam Hr. Dr. Uhl, d. h. zu spät.", "Bitte z. B. Nr. 8 ausfüllen.", "„Gut. Danke.“"]),
     ("fr", ["M. Orvel a lu l'art. 6.", "Est-ce sûr ?", "Voir p. ex. la fiche."]),
     ("es", ["El Sr. Olmo vino.", "¿Es seguro?", "¡No!", "Según el núm. 9.", "¿Ya?"]),
+    ("zh", ["我表姐自称持有 Veridan Ltd. 的授权。", "见 Quorix Inc. 与 No. 3 的说明。"]),
+    ("th", ["เขาพูดว่า(รอ สักครู่)แล้วไป", "หมายเหตุ: ปิด", "จบแล้ว"]),
     ("zh", ["他说：“先等。再看！”然后走了。", "真的吗？？", "金额……按流水看没问题。", "【要点】"]),
     ("ja", ["「はい。」と答えた。", "本当？！", "書類No. 6に不備。"]),
     ("ko", ["문서 No. 9에 서명이 없습니다.", "“네. 잠시만요.”라고 했다."]),
@@ -126,6 +128,18 @@ def test_sentences_of_each_language(language, expected):
         assert [text[a:b] for a, b in sentence_spans(text, label)] == expected
 
 
+def test_every_boundary_is_decided_by_a_rule():
+    """Nothing but the tables says break: without their rules there is none."""
+    from plumbline.llm import sentences as module
+
+    texts = ["One. Two! (Three. Four.) Five?", "กรุณารอ สักครู่ จบ", "a。b！c"]
+    assert all(module.line_ends(t, "en") for t in texts)
+    rules = module._cascade(module._languages("en", texts[0]))
+    assert rules[0][0] is module.JOIN and rules[0][1].match(module._masked(texts[0]), texts[0].index("Three.") + 6)
+    masked = module._masked('a "b. c" (d. (e)) f')
+    assert len(masked) == 19 and masked.replace("\uffff", "#") == 'a "####" (######) f'
+
+
 def test_line_breaks_lists_and_blanks():
     text = " 1. First one. \r\n\n\t(2) Second\n- Third.Next one\n 　\n”alone."
     assert [text[a:b] for a, b in sentence_spans(text, "en")] == ["1. First one.", "(2) Second", "- Third.", "Next one", "”alone."]
