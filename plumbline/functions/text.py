@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,15 +86,105 @@ def categories(text: Column, terms: Mapping[str, Sequence[str]]) -> Column:
     return F.array_compact(F.array(*entries))
 
 
+#: Bits of the filter of clause grams; 2 MB whatever the input.
+FILTER_BITS = 1 << 24
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def gram_hashes(text: str, n: int) -> np.ndarray:
+    """Two 64-bit hashes of each distinct run of ``n`` characters, one row each; none for a shorter text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    size = max(len(points) - n + 1, 0)
+    out = np.zeros((size, 2), dtype=np.uint64)
+    for i in range(n):
+        for k, base in enumerate(_BASES):
+            out[:, k] = (out[:, k] + points[i : i + size] + np.uint64(1)) * np.uint64(base)
+            out[:, k] ^= out[:, k] >> np.uint64(31)
+    return np.unique(out, axis=0) if size else out
+
+
+def _hashed_grams(n: int, filter_words: object = None):
+    """(key, h1, h2) of every distinct gram of each text, of those the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, parts = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                found = gram_hashes(text, n)
+                if filter_words is not None and len(found):
+                    slot = found[:, 0] % np.uint64(FILTER_BITS)
+                    found = found[(filter_words.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]
+                at.append(np.full(len(found), row))
+                parts.append(found)
+            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, 2), dtype=np.int64)
+            keys = batch.column(0).take(pa.array(np.concatenate(at) if at else np.zeros(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.ascontiguousarray(flat[:, 0])), pa.array(np.ascontiguousarray(flat[:, 1]))], names=[batch.schema.names[0], "h1", "h2"])
+
+    return run
+
+
 def gram_overlap(texts: DataFrame, text_key: str, clauses: DataFrame, clause_key: str, n: int) -> DataFrame:
-    """(text_key, clause_key, shared): how many distinct n-grams of the compact ``text`` columns two sides share.
+    """(text_key, clause_key, shared): how many distinct n-grams of the ``text`` columns two sides share.
 
-    An inverted-index join on the gram: both sides exploded once, grams that one side
-    lacks never leave their partition's join.
+    Grams are 128-bit hashes. Those of the clauses set bits in a filter of fixed size, so of
+    the texts only grams that some clause may hold leave their task; the join on the hash
+    decides. Null texts share nothing; rows repeated under a key count for each row.
+    """
+    spark = texts.sparkSession
+
+    def grams(df: DataFrame, key: str, words: object = None) -> DataFrame:
+        two = df.select(key, "text")
+        return two.mapInArrow(_hashed_grams(n, words), f"`{key}` {two.schema[0].dataType.simpleString()}, h1 long, h2 long")
+
+    held = grams(clauses, clause_key)
+    slots = held.select(F.pmod("h1", F.lit(FILTER_BITS)).alias("slot"))
+    bits = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("bit"))
+    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    for row in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        table[row.word] = row.bits & (2**64 - 1)
+    found = grams(texts, text_key, spark.sparkContext.broadcast(table))
+    return found.join(held, ["h1", "h2"]).groupBy(text_key, clause_key).agg(F.count("*").alias("shared"))
+
+
+# Markers that must not be in a released file, archives, and patterns of infrastructure and people.
+OPERATIONAL_MARKERS = (
+    "private_selection_provenance", "private_diversity_repair_provenance", "selected_task_id", "review_id", "request_payload", "response_payload",
+    "chat_completions_url", "credential_env", "not_public_release", "not_yet_published",
+)
+LOCAL_MARKERS = ("F:\\", "C:\\Users\\", "/Users/", "/home/", "_private_do_not_send", "api_key=", "authorization: bearer", "/chat/completions")
+ARCHIVES = (".tar.gz", ".tgz", ".zip", ".7z")
+INFRASTRUCTURE = (
+    r"(?U)(?<!\d)(?:10|192\.168|172\.(?:1[6-9]|2\d|3[01]))(?:\.\d{1,3}){2}(?!\d)",
+    r"/(?:root|opt|home|srv)/[A-Za-z0-9_./-]+",
+)
+PERSONAL = (r"(?U)[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}", r"(?U)\b1[3-9]\d{9}\b")
+
+
+def policy_findings(files: DataFrame, key: str, path: str, text: str, exceptions: Sequence[str] = ()) -> DataFrame:
+    """(key, finding): files of a release that break its policy: nested archives, operational or local markers, infrastructure, personal data.
+
+    Excepted paths are not read further than their name; a null text only has a name.
     """
-    left = texts.select(text_key, F.explode(ngrams(F.col("text"), n)).alias("gram"))
-    right = clauses.select(clause_key, F.explode(ngrams(F.col("text"), n)).alias("gram"))
-    return left.join(right, "gram").groupBy(text_key, clause_key).agg(F.count("*").alias("shared"))
+    value, name = F.coalesce(F.col(text), F.lit("")), F.lower(F.col(path))
+
+    def any_of(tests: list[Column]) -> Column:
+        found = F.lit(False)
+        for test in tests:
+            found = found | test
+        return found
+
+    read = ~F.coalesce(F.col(path).isin(*exceptions), F.lit(False)) if exceptions else F.lit(True)
+    kinds = {
+        "nested archive": F.coalesce(any_of([F.endswith(name, F.lit(a)) for a in ARCHIVES]), F.lit(False)),
+        "operational marker": read & any_of([F.contains(value, F.lit(t)) for t in OPERATIONAL_MARKERS]),
+        "local marker": read & any_of([F.contains(F.lower(value), F.lit(t.lower())) for t in LOCAL_MARKERS]),
+        "infrastructure": read & any_of([value.rlike(p) for p in INFRASTRUCTURE]),
+        "personal data": read & any_of([value.rlike(p) for p in PERSONAL]),
+    }
+    found = F.array_compact(F.array(*[F.when(test, F.lit(kind)) for kind, test in kinds.items()]))
+    return files.select(key, F.explode(found).alias("finding"))
 
 
 def absolute_url(url: Column, scheme: str = "https") -> Column:

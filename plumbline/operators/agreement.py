@@ -75,9 +75,28 @@ def panel_decisions(votes: DataFrame, item: str, choice: str, accepts: str, conf
     return found.select(item, F.col("t.votes").alias("votes"), "accept", "confidence", (F.col("n_choices") == 1).alias("unanimous"), decision.alias("decision"))
 
 
-def second_round(found: DataFrame) -> DataFrame:
-    """Items for another round: not unanimous, or unresolved."""
-    return found.where("NOT unanimous OR decision = 'unresolved'")
+def second_round(votes: DataFrame, item: str, choice: str, defect: str, acceptable: DataFrame) -> DataFrame:
+    """(item, mode, reason): items for another round: votes that differ, a most frequent choice outside the acceptable ones, or any defect.
+
+    ``acceptable`` is (item, acceptable array), unique; an item it lacks accepts nothing.
+    Equal vote counts go to the smallest choice; the first reason that holds is given.
+    """
+    counts = votes.groupBy(item, choice).agg(F.count("*").alias("v"))
+    top = counts.groupBy(item).agg(F.min_by(choice, F.struct(-F.col("v"), F.col(choice))).alias("mode"), F.count("*").alias("kinds"))
+    flawed = votes.groupBy(item).agg(F.coalesce(F.bool_or(defect), F.lit(False)).alias("flawed"))
+    joined = top.join(flawed, item).join(acceptable, item, "left")
+    inside = F.coalesce(F.array_contains("acceptable", F.col("mode")), F.lit(False))
+    reason = F.when(F.col("kinds") > 1, "not unanimous").when(~inside, "outside the acceptable actions").when(F.col("flawed"), "defect")
+    return joined.select(item, "mode", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def rating_summary(ratings: DataFrame, item: str, score: str, matches: str, defect: str) -> DataFrame:
+    """(items, ratings, mean_score, match_rate, defects, defect_items): over all ratings, from whole-number sums."""
+    sums = ratings.groupBy(item).agg(F.count("*").alias("n"), F.sum(score).alias("s"), F.count_if(matches).alias("m"), F.count_if(defect).alias("d"))
+    return sums.agg(
+        F.count("*").alias("items"), F.sum("n").alias("ratings"), (F.sum("s") / F.sum("n")).alias("mean_score"), (F.sum("m") / F.sum("n")).alias("match_rate"),
+        F.sum("d").alias("defects"), F.count_if(F.col("d") > 0).alias("defect_items"),
+    )
 
 
 def panel_design(ratings: DataFrame, item: str, rater: str) -> DataFrame:

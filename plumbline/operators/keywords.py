@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 #: Labels a baseline may have.
 LABELS = 100
-#: Latin words and single ideographs.
-TOKEN = r"([a-z0-9]+|[\x{4e00}-\x{9fff}])"
+#: Numbers, Latin words and single ideographs of a text in lower case whose numbers are <num>.
+NUMBER, TOKEN = r"[0-9]+(?:[./:-][0-9]+)*", r"(<num>|[a-z]+|[\x{4e00}-\x{9fff}])"
 
 
 def tokens(text: Column) -> Column:
-    """Distinct tokens of a text in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1)))
+    """Distinct tokens of a text: u: and a single one, b: and two adjacent ones."""
+    single = F.regexp_extract_all(F.regexp_replace(F.lower(text), NUMBER, "<num>"), F.lit(TOKEN), F.lit(1))
+    # Zipped with itself one on: inside a lambda the extraction would run for every element.
+    n = F.greatest(F.size(single) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(single, F.lit(1), n), F.slice(single, F.lit(2), n), lambda a, b: F.concat(F.lit("b:"), a, b))
+    return F.array_distinct(F.concat(F.transform(single, lambda t: F.concat(F.lit("u:"), t)), pairs))
 
 
 def label_counts(rows: DataFrame, label: str) -> DataFrame:

@@ -1,111 +1,144 @@
-"""Lexical edges between records: exact groups as stars, and SimHash candidates confirmed by Jaccard similarity.
-
-Two records are candidates if three of the six bands of their 64-bit SimHashes agree, so
-any three flipped bits are survived. All members of a bucket are compared with each
-other, in blocks of bounded size, and each pair only in the first bucket where it meets.
-Near edges are pairs, so a family of n texts that are all alike gives n (n - 1) / 2. A pair
-above the thresholds whose SimHashes agree in fewer bands is not found; README gives the
-measured share.
+"""Lexical edges between records: exact groups as stars, and MinHash candidates confirmed by Jaccard similarity.
+
+A text has two sets: the character trigrams of its compact normal form, and its words and
+ideographs with adjacent pairs of them. Each set is signed by MinHash; runs of ROWS values
+are the buckets in which candidates meet. A pair at the threshold itself is missed by all
+BANDS with a probability below a thousandth: (1 - 0.82^8)^32 for trigrams and
+(1 - 0.88^8)^18 for words. All members of a bucket are compared with each other, in blocks
+of bounded size, and every edge is confirmed on the sets themselves. Near edges are pairs, so
+a family of n texts that are all alike gives n (n - 1) / 2.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.text import ngrams, normalized
+from plumbline.functions.text import normalized
 from plumbline.scratch import Scratch
 
 # Thresholds for character trigrams and for tokens.
 CHAR_FROM, TOKEN_FROM = 0.82, 0.88
-#: First bit and width of each band; keys are three bands together, 32 or 33 bits.
-BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Values in a bucket's key, and keys from the trigrams and from the tokens.
+ROWS, CHAR_BANDS, TOKEN_BANDS = 8, 32, 18
 #: Members of one bucket compared in one block.
 BLOCK = 2000
-_TOKEN = r"(<num>|[\p{L}\p{N}&&[^\x{3400}-\x{9fff}]]+|[\x{3400}-\x{9fff}])"
+#: Single ideographs, and runs of other letters and digits.
+_TOKEN = re.compile("<num>|[㐀-鿿]|(?:(?![㐀-鿿])[^\\W_])+")
 
+_rng = np.random.default_rng(20270728)
+_PERMUTATIONS = tuple(
+    ((_rng.integers(0, 2**32, ROWS * bands, dtype=np.uint64) | np.uint64(1)).astype(np.uint32), _rng.integers(0, 2**32, ROWS * bands, dtype=np.uint64).astype(np.uint32))
+    for bands in (CHAR_BANDS, TOKEN_BANDS)
+)
+_SPREAD = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def tokens(text: Column) -> Column:
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def trigrams(text: str) -> np.ndarray:
+    """Distinct character trigrams without blanks, as exact codes in order."""
+    points = np.frombuffer(text.replace(" ", "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    if len(points) < 3:
+        return np.zeros(0, dtype=np.uint64)
+    return np.unique((points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:])
+
+
+def tokens(text: str) -> set[str]:
     """Distinct words and ideographs, and adjacent pairs of them."""
-    single = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
-    # Zipped with itself one on: inside a lambda the extraction would run for every element.
-    n = F.greatest(F.size(single) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(single, F.lit(1), n), F.slice(single, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(single, pairs))
+    single = _TOKEN.findall(text)
+    return {*single, *(f"{a} {b}" for a, b in zip(single, single[1:], strict=False))}
+
+
+def _token_codes(text: str) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in tokens(text)], dtype=np.uint64)
+
+
+def _keys(codes: np.ndarray, which: int) -> np.ndarray:
+    """Bucket keys of a set; none for an empty one."""
+    multipliers, addends = _PERMUTATIONS[which]
+    if not len(codes):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(len(multipliers), 2**32 - 1, dtype=np.uint32)
+    for start in range(0, len(codes), 4096):
+        hashed = (_mixed(codes[start : start + 4096]) >> np.uint64(32)).astype(np.uint32)
+        np.minimum(least, (hashed[:, None] * multipliers + addends).min(axis=0), out=least)
+    bands = (least.reshape(-1, ROWS).astype(np.uint64) * _SPREAD).sum(axis=1, dtype=np.uint64)
+    return _mixed(bands ^ _mixed(np.arange(len(bands), dtype=np.uint64) * np.uint64(2) + np.uint64(which + 1))).view(np.int64)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Share of common elements of two arrays without repeats; 0 for two empty ones."""
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, keys = ([], []), []
+        for text in batch.column("t").to_pylist():
+            sets = trigrams(text), _token_codes(text)
+            for side, codes in zip(sizes, sets, strict=True):
+                side.append(len(codes))
+            keys.append(np.concatenate([_keys(codes, i) for i, codes in enumerate(sets)]).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes[0], pa.int32()), pa.array(sizes[1], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "g", "w", "keys"])
 
 
-def simhash_of(features: list[str]) -> int:
-    """64-bit SimHash of equally weighted features, as a signed number."""
-    if not len(features):
-        return 0
-    digests = b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features)
-    bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1)
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(features)
-    return int(np.packbits(majority).view(">i8")[0])
+def jaccards(left: str, right: str) -> tuple[float, float]:
+    """Similarity of the trigram sets and of the token sets; 0 for two empty ones."""
+    a, b = trigrams(left), trigrams(right)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    x, y = tokens(left), tokens(right)
+    shared = len(x & y)
+    return both / max(1, len(a) + len(b) - both), shared / max(1, len(x) + len(y) - shared)
 
 
-@F.pandas_udf(T.LongType())
-def simhash(features: pd.Series) -> pd.Series:
-    """``simhash_of`` of each array."""
-    return features.map(simhash_of, na_action="ignore").astype("Int64")
+@F.pandas_udf(T.StructType([T.StructField("c", T.DoubleType()), T.StructField("w", T.DoubleType())]))
+def _similarities(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([jaccards(a, b) for a, b in zip(left, right, strict=True)], columns=["c", "w"], dtype=float)
 
 
 def _meeting(heads: DataFrame) -> DataFrame:
-    """(left_id, right_id), left smaller: pairs of ``heads`` (id, s, g, w) that meet in a bucket and whose sizes allow a link, each once."""
-    parts = [F.shiftrightunsigned("s", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BANDS]
-    triples = list(itertools.combinations(range(len(BANDS)), 3))
-    keys = F.array(*[F.struct(F.lit(n).alias("which"), ((parts[i] * 2048 + parts[j]) * 2048 + parts[k]).alias("bits")) for n, (i, j, k) in enumerate(triples)])
-    buckets = heads.select("id", "s", "g", "w", F.explode(keys).alias("k"))
+    """(left_id, right_id), left smaller: pairs of ``heads`` (id, g, w, keys) that meet in a bucket and whose sizes allow a link, each once."""
+    buckets = heads.select("id", "g", "w", F.explode(F.array_distinct("keys")).alias("k"))
     shared = buckets.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = buckets.join(shared, "k").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A member meets its own block and, as left side, the later ones, as right side the earlier ones.
-    one = members.select("k", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("id", "s", "g", "w")])
-    other = members.select("k", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("id", "s", "g", "w")])
+    one = members.select("k", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("id", "g", "w")])
+    other = members.select("k", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("id", "g", "w")])
     met = one.join(other, ["k", "i", "j"]).where("i < j OR id_a < id_b")
-    # The first bucket of a pair is that of its first three equal bands.
-    differing = F.col("s_a").bitwiseXOR(F.col("s_b"))
-    equal = sum((F.when(F.shiftrightunsigned(differing, at).bitwiseAND(F.lit((1 << width) - 1)) == 0, 1 << n).otherwise(0) for n, (at, width) in enumerate(BANDS)), F.lit(0))
-    upto, first = (F.array(*map(F.lit, x)) for x in ([(2 << k) - 1 for _, _, k in triples], [1 << i | 1 << j | 1 << k for i, j, k in triples]))
-    met = met.where(equal.bitwiseAND(F.get(upto, F.col("k.which"))) == F.get(first, F.col("k.which")))
     # Two sets are at most as similar as their sizes; the least size is 0 only for sets without a link.
     alike = [(F.least(f"{c}_a", f"{c}_b") / F.nullif(F.greatest(f"{c}_a", f"{c}_b"), F.lit(0))) >= least for c, least in (("g", CHAR_FROM), ("w", TOKEN_FROM))]
-    return met.where(alike[0] | alike[1]).select(F.least("id_a", "id_b").alias("left_id"), F.greatest("id_a", "id_b").alias("right_id"))
+    met = met.where(F.coalesce(alike[0], F.lit(False)) | F.coalesce(alike[1], F.lit(False)))
+    return met.select(F.least("id_a", "id_b").alias("left_id"), F.greatest("id_a", "id_b").alias("right_id")).distinct()
 
 
 def lexical_edges(records: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
     """(left_id, right_id, edge_type, score): edges of three types, left smaller.
 
     Records with equal normal forms are exact: each to the first of its group. The first
-    ones are compared further. Null texts have no edges. A key stored twice counts once.
+    ones are compared further. Null texts have no edges. A key stored twice counts once. An
+    empty table gives an empty result.
     """
     rows = records.select(F.col(key).alias("id"), normalized(F.col(text)).alias("t")).where("t IS NOT NULL AND t <> ''").dropDuplicates(["id"])
     # Read several times below, and its text comes from Python.
-    hashed = scratch.save(rows.withColumn("h", F.sha2("t", 256)), "texts")
+    hashed = scratch.save(rows.withColumn("h", F.unhex(F.sha2("t", 256))), "texts")
     firsts = hashed.groupBy("h").agg(F.min("id").alias("first"))
-    exact = hashed.join(firsts, "h").where("id <> first").select(F.col("first").alias("left_id"), F.col("id").alias("right_id"), F.lit("exact_semantic_signature").alias("edge_type"), F.lit(1.0).alias("score"))
+    exact = hashed.select("id", "h").join(firsts, "h").where("id <> first").select(F.col("first").alias("left_id"), F.col("id").alias("right_id"), F.lit("exact_semantic_signature").alias("edge_type"), F.lit(1.0).alias("score"))
     heads = hashed.select("id", "t").join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
-    compact = F.replace("t", F.lit(" "), F.lit(""))
-    heads = heads.withColumns({"grams": ngrams(compact, 3), "words": tokens(F.col("t"))})
-    heads = scratch.save(heads.select("id", "grams", "words", simhash("words").alias("s")), "heads")
-    pairs = _meeting(heads.select("id", "s", F.size("grams").alias("g"), F.size("words").alias("w")))
-    a = heads.select(F.col("id").alias("left_id"), F.col("grams").alias("ga"), F.col("words").alias("wa"))
-    b = heads.select(F.col("id").alias("right_id"), F.col("grams").alias("gb"), F.col("words").alias("wb"))
-    scored = pairs.join(a, "left_id").join(b, "right_id").withColumns({"c": jaccard(F.col("ga"), F.col("gb")), "w": jaccard(F.col("wa"), F.col("wb"))})
+    kind = hashed.schema["id"].dataType.simpleString()
+    pairs = _meeting(scratch.save(heads.mapInArrow(_signed, f"id {kind}, g int, w int, keys array<long>"), "signed"))
+    a, b = (hashed.select(F.col("id").alias(f"{side}_id"), F.col("t").alias(f"t_{side}")) for side in ("left", "right"))
+    scored = pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", _similarities("t_left", "t_right").alias("s"))
     options = F.array(
-        F.when(F.col("c") >= CHAR_FROM, F.struct(F.lit("char_ngram").alias("edge_type"), F.col("c").alias("score"))),
-        F.when(F.col("w") >= TOKEN_FROM, F.struct(F.lit("token_jaccard").alias("edge_type"), F.col("w").alias("score"))),
+        F.when(F.col("s.c") >= CHAR_FROM, F.struct(F.lit("char_ngram").alias("edge_type"), F.col("s.c").alias("score"))),
+        F.when(F.col("s.w") >= TOKEN_FROM, F.struct(F.lit("token_jaccard").alias("edge_type"), F.col("s.w").alias("score"))),
     )
     near = scored.select("left_id", "right_id", F.explode(F.array_compact(options)).alias("o")).select("left_id", "right_id", "o.*")
     return exact.unionAll(near)

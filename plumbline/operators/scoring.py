@@ -193,16 +193,18 @@ def paired_models(scored: DataFrame, model: str, left: str, right: str) -> DataF
 
 
 def rescored(scored: DataFrame, overlay: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Metrics under replaced labels beside the original ones, and their differences.
+    """Metrics under replaced labels beside the original ones, and their differences, over all rows and over those of high confidence.
 
-    ``overlay`` is (scenario_id, new_gold), at most one row each; a null keeps the label.
+    ``overlay`` is (scenario_id, new_gold, sure), at most one row each; a null label keeps
+    the old one. The subset are the rows an overlay is sure of.
     """
     joined = scored.join(overlay, "scenario_id", "left")
     versions = F.array(F.struct(F.lit("before").alias("version"), F.col("gold").alias("g")), F.struct(F.lit("after").alias("version"), F.coalesce("new_gold", "gold").alias("g")))
-    both = joined.withColumn("v", F.explode(versions)).withColumns({"gold": F.col("v.g"), "version": F.col("v.version")})
-    found = score(both, [*by, "version"])
+    subsets = F.when(F.col("sure"), F.array(F.lit("all"), F.lit("high_confidence"))).otherwise(F.array(F.lit("all")))
+    both = joined.withColumn("subset", F.explode(subsets)).withColumn("v", F.explode(versions)).withColumns({"gold": F.col("v.g"), "version": F.col("v.version")})
+    found = score(both, [*by, "subset", "version"])
     names = ("accuracy", "macro_f1", "unsafe_rate")
-    wide = found.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("version") == v, F.col(c))).alias(f"{c}_{v}") for c in names for v in ("before", "after")])
+    wide = found.groupBy(*by, "subset").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("version") == v, F.col(c))).alias(f"{c}_{v}") for c in names for v in ("before", "after")])
     return wide.select("*", *[(F.col(f"{c}_after") - F.col(f"{c}_before")).alias(f"{c}_change") for c in names])
 
 

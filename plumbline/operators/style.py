@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import ngrams
+from plumbline.scratch import Scratch
+
 
 def length_profile(rows: DataFrame, by: str, length: Column) -> DataFrame:
     """Count, sum, median and outer tenths of the lengths of each group."""
@@ -37,17 +40,44 @@ def marker_rates(rows: DataFrame, by: str, text: Column, markers: dict[str, str]
     return rows.groupBy(by).agg(F.count(text).alias("n"), *[F.count_if(text.rlike(p)).alias(f"n_{name}") for name, p in markers.items()])
 
 
-def nearest(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
-    """(id, neighbour, similarity): for every text of ``left`` (id, text) the most alike of ``right`` by character n-grams.
+#: Rarest grams by which a first neighbour is looked for.
+FIRST = 8
+
 
-    Only pairs that share a gram are formed, by a join on the gram; ties go to the
-    smallest id. Texts that share none have no neighbour.
+def nearest(left: DataFrame, right: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(id, neighbour, similarity): for every text of ``left`` (id, text) the most alike of ``right`` by character n-grams, exactly.
+
+    Ties go to the smallest id; texts that share no gram have no neighbour; ids are unique.
+    A first neighbour is looked for by the FIRST rarest grams of a text. One as similar as
+    that, s, shares at least s times the text's grams, so it holds one of the rarest
+    n - ceil(s n) + 1; only those are searched again, among texts whose size allows s. Grams
+    common to nearly all texts are thus joined only where nothing alike was found.
     """
-    from plumbline.functions.text import ngrams
-
-    a = left.select("id", F.explode(ngrams(F.col("text"), n)).alias("gram"), F.size(ngrams(F.col("text"), n)).alias("na"))
-    b = right.select(F.col("id").alias("neighbour"), F.explode(ngrams(F.col("text"), n)).alias("gram"), F.size(ngrams(F.col("text"), n)).alias("nb"))
-    shared = a.join(b, "gram").groupBy("id", "neighbour", "na", "nb").agg(F.count("*").alias("c"))
-    scored = shared.withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c")))
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "neighbour")).alias("b"))
-    return best.select("id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.s")).alias("similarity"))
+
+    def sets(df: DataFrame, key: str, grams: str) -> DataFrame:
+        hashed = F.transform(ngrams(F.col("text"), n), lambda g: F.xxhash64(g))
+        return df.where("text IS NOT NULL").select(F.col("id").alias(key), hashed.alias(grams)).where(F.size(grams) > 0)
+
+    a, b = scratch.save(sets(left, "id", "ga"), "left"), scratch.save(sets(right, "neighbour", "gb"), "right")
+    held = b.select("neighbour", F.size("gb").alias("nb"), F.explode("gb").alias("gram"))
+    frequent = held.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = a.select("id", F.size("ga").alias("na"), F.explode("ga").alias("gram")).join(frequent, "gram", "left").fillna(0, ["df"])
+    # As many grams as the text has: one array a text.
+    rarest = scratch.save(ranked.groupBy("id", "na").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda g: g["gram"]).alias("grams")), "rarest")
+
+    def best(wanted: DataFrame) -> DataFrame:
+        """The best partner of each id that shares a gram with it; ``wanted`` is (id, na, grams, least)."""
+        asked = wanted.select("id", "na", "least", F.explode("grams").alias("gram"))
+        fits = (F.least("na", "nb") >= F.col("least") * F.greatest("na", "nb") - 1e-9)
+        met = asked.join(held, "gram").where(fits).select("id", "neighbour").distinct()
+        both = met.join(a, "id").join(b, "neighbour").select("id", "neighbour", F.size(F.array_intersect("ga", "gb")).alias("c"), F.size("ga").alias("na"), F.size("gb").alias("nb"))
+        scored = both.withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c")))
+        return scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "neighbour")).alias("b"))
+
+    known = F.filter("grams", lambda g: g.isNotNull())
+    first = scratch.save(best(rarest.select("id", "na", F.slice(known, 1, FIRST).alias("grams"), F.lit(0.0).alias("least"))), "first")
+    bound = F.coalesce(-F.col("b.s"), F.lit(0.0))
+    again = rarest.join(first, "id", "left").withColumn("least", bound)
+    upto = F.col("na") - F.ceil(F.col("least") * F.col("na") - 1e-9).cast("int") + 1
+    found = best(again.select("id", "na", F.slice("grams", F.lit(1), F.least("na", upto)).alias("grams"), "least"))
+    return found.select("id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.s")).alias("similarity"))

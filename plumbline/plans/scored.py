@@ -104,8 +104,9 @@ def paired_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics if every label were the last acceptable action, against the primary one."""
-    overlay = table(spark, sf_dir, "scenarios").select("scenario_id", F.element_at("label.acceptable_actions", -1).alias("new_gold"))
+    """Metrics if every label were the last acceptable action, against the primary one; sure where only one action is acceptable."""
+    actions = F.col("label.acceptable_actions")
+    overlay = table(spark, sf_dir, "scenarios").select("scenario_id", F.element_at(actions, -1).alias("new_gold"), (F.size(actions) == 1).alias("sure"))
     return scoring.rescored(scored(spark, sf_dir), overlay, ["method"])
 
 
@@ -409,11 +410,12 @@ FROM (SELECT unnest(['jobs_without_event', 'events_without_job', 'jobs_without_s
 b AS (SELECT scenario_id, gold, component_id, prediction FROM scored WHERE method = 'state_only')
 SELECT a.suite AS method, a.gold IS NOT DISTINCT FROM b.gold AND a.component_id IS NOT DISTINCT FROM b.component_id AS agrees, a.prediction = b.prediction AS same, count(*) AS n
 FROM a JOIN b USING (scenario_id) GROUP BY 1, 2, 3""",
-    "rescored": f"""WITH {SCORED}, v AS (SELECT method, 'before' AS version, gold, prediction, severity FROM scored
-  UNION ALL SELECT method, 'after', coalesce(acceptable[len(acceptable)], gold), prediction, severity FROM scored),
-counted AS (SELECT method, version, {_counts()} FROM v GROUP BY method, version), r AS (SELECT method, version, n, {_RATES} FROM counted),
-w AS (SELECT a.method, a.n, a.accuracy AS accuracy_before, b.accuracy AS accuracy_after, a.macro_f1 AS macro_f1_before, b.macro_f1 AS macro_f1_after,
-  a.unsafe_rate AS unsafe_rate_before, b.unsafe_rate AS unsafe_rate_after FROM r a JOIN r b ON a.method = b.method AND a.version = 'before' AND b.version = 'after')
+    "rescored": f"""WITH {SCORED}, m AS (SELECT *, unnest(CASE WHEN len(acceptable) = 1 THEN ['all', 'high_confidence'] ELSE ['all'] END) AS subset FROM scored),
+v AS (SELECT method, subset, 'before' AS version, gold, prediction, severity FROM m
+  UNION ALL SELECT method, subset, 'after', coalesce(acceptable[len(acceptable)], gold), prediction, severity FROM m),
+counted AS (SELECT method, subset, version, {_counts()} FROM v GROUP BY method, subset, version), r AS (SELECT method, subset, version, n, {_RATES} FROM counted),
+w AS (SELECT a.method, a.subset, a.n, a.accuracy AS accuracy_before, b.accuracy AS accuracy_after, a.macro_f1 AS macro_f1_before, b.macro_f1 AS macro_f1_after,
+  a.unsafe_rate AS unsafe_rate_before, b.unsafe_rate AS unsafe_rate_after FROM r a JOIN r b ON a.method = b.method AND a.subset = b.subset AND a.version = 'before' AND b.version = 'after')
 SELECT *, accuracy_after - accuracy_before AS accuracy_change, macro_f1_after - macro_f1_before AS macro_f1_change, unsafe_rate_after - unsafe_rate_before AS unsafe_rate_change FROM w""",
     "flag_sensitivity": f"""WITH {SCORED}, v AS (SELECT method, 'full' AS version, gold, prediction, severity FROM scored
   UNION ALL SELECT method, 'kept', gold, prediction, severity FROM scored WHERE n_turns >= 2),

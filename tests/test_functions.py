@@ -36,6 +36,54 @@ def test_findings(spark, value, kinds):
     assert {r.kind for r in text.findings(df, ["id"], "t").collect()} == kinds
 
 
+def test_shared_grams_match_plain_sets(spark):
+    rows = [(1, "abcabcabd"), (2, "xabcaby"), (3, "zz"), (4, None), (5, ""), (1, "abcab"), (6, "手续费手续费率")]
+    clauses = [(10, "abcabd"), (11, "续费手续费"), (12, None), (13, "qqqqqq")]
+    sets = [[(k, {t[i : i + 4] for i in range(len(t or "") - 3)}) for k, t in side] for side in (rows, clauses)]
+    expected = {}
+    for k, x in sets[0]:
+        for c, y in sets[1]:
+            if x & y:
+                expected[k, c] = expected.get((k, c), 0) + len(x & y)
+    left, right = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(clauses, "clause long, text string")
+    found = {(r.id, r.clause): r.shared for r in text.gram_overlap(left, "id", right, "clause", 4).collect()}
+    assert found == expected and len(expected) >= 3
+    assert text.gram_overlap(left, "id", right.limit(0), "clause", 4).count() == 0
+    assert len(text.gram_hashes("aaaaaa", 3)) == 1 and len(text.gram_hashes("ab", 3)) == 0
+
+
+@pytest.mark.parametrize(("path", "value", "found"), [
+    ("a/b.TAR.GZ", None, {"nested archive"}), ("a.txt", "the request_payload", {"operational marker"}), ("a.txt", "in c:\\USERS\\x", {"local marker"}),
+    ("a.txt", "host 192.168.0.7", {"infrastructure"}), ("a.txt", "host 172.32.0.7", set()), ("a.txt", "/srv/data", {"infrastructure"}),
+    ("a.txt", "mail a@b.cn", {"personal data"}), ("skip.txt", "request_payload /root/x", set()), ("a.txt", "", set()),
+])
+def test_policy_findings(spark, path, value, found):
+    df = spark.createDataFrame([(1, path, value)], "id int, p string, t string")
+    assert {r.finding for r in text.policy_findings(df, "id", "p", "t", ["skip.txt"]).collect()} == found
+
+
+def test_registry(spark):
+    from plumbline.operators import registry
+
+    rows = [
+        (2, "c", "m1", "q2", "later", "//x/2", "2024-02-01", "<p>投诉处理</p> 微信"), (1, "c", "m1", "q1", "<b>first</b>", "//x/1", "2024-01-01", "适当性"), (3, "d", None, "q1", "t", "https://y/3", None, "内幕信息，操纵市场"),
+        (4, "d", "m4", "q1", "nothing", "//z", "2023-01-01", "none of them"), (5, "d", None, None, None, None, None, None),
+    ]
+    found = registry.registry(spark.createDataFrame(rows, "arrival long, channel string, manuscript string, query string, title string, url string, published string, content string"))
+    of = {r.source_channel: r for r in found.collect()}
+    assert set(of) == {"c", "d"} and found.count() == 2
+    assert (of["c"].title, of["c"].url, of["c"].published_date, of["c"].query_terms) == ("first", "https://x/1", "2024-01-01", ["q1", "q2"])
+    assert of["c"].categories == ["complaint_workflow", "public_or_social_channel", "suitability_and_access"] and len(of["c"].record_id) == 20
+    assert [(e.category, e.term) for e in of["d"].evidence] == [("inside_information", "内幕信息"), ("market_manipulation", "操纵市场")]
+    assert [r.source_channel for r in registry.latest(found, 5).collect()] == ["c", "d"]
+    counted = registry.counts(found, "categories")
+    scenarios = spark.createDataFrame([("s1", (["A", "A", "B"],)), ("s2", (["P"],)), ("s3", (["X"],)), ("s4", (None,))], "scenario_id string, label struct<controlling_rule_ids:array<string>>")
+    rules = spark.createDataFrame([("A", ["inside_information", "conflict_of_interest"]), ("B", []), ("P", [registry.PROXY])], "rule_id string, categories array<string>")
+    covered = {r.rule_id: (r.scenario_support, r.record_categories_present, r.covered_by_records, r.covered_by_anchors) for r in registry.rule_coverage(scenarios, rules, counted).collect()}
+    assert covered == {"A": (2, ["inside_information"], True, True), "B": (1, [], False, False), "P": (1, [], False, True), "X": (1, [], False, False)}
+    assert tuple(registry.scenario_coverage(scenarios, rules, counted).first()) == (4, 1, 2)
+
+
 def test_tags_and_categories(spark):
     df = spark.createDataFrame([("<p>a <b>fee</b>\n x</p>",), (None,)], "t string")
     assert [r[0] for r in df.select(text.stripped_tags(F.col("t"))).collect()] == ["a fee x", None]

@@ -1,5 +1,7 @@
 """Injected clients: retries, failures as rows, pages; and the smaller operators beside them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,14 +57,29 @@ def test_pending_jobs_skip_failed_ones(spark):
     assert sorted(r.job_id for r in scoring.pending_jobs(jobs, events).collect()) == ["b", "c"]
 
 
-def test_nearest_and_markers(spark):
+def test_nearest_and_markers(spark, scratch):
     left = spark.createDataFrame([(1, "abcd"), (2, "zz"), (3, None), (4, "")], "id long, text string")
     right = spark.createDataFrame([(9, "abcd"), (8, "abcd"), (7, "abxx")], "id long, text string")
-    assert [tuple(r) for r in style.nearest(left, right, 2).collect()] == [(1, 8, 1.0)]
+    assert [tuple(r) for r in style.nearest(left, right, 2, scratch).collect()] == [(1, 8, 1.0)]
     found = style.marker_rates(left.withColumn("k", F.lit("k")), "k", F.col("text"), {"z": "z"}).first()
     assert (found.n, found.n_z) == (3, 1)
 
 
+@pytest.mark.parametrize("first", [1, 8])
+def test_nearest_matches_every_comparison(spark, scratch, monkeypatch, first):
+    monkeypatch.setattr(style, "FIRST", first)
+    rng = random.Random(9)
+    rows = [[(i, "".join(rng.choices("abcde", k=rng.randrange(1, 30)))) for i in range(n)] for n in (40, 90)]
+    sets = [[(i, {t[k : k + 2] for k in range(len(t) - 1)}) for i, t in side] for side in rows]
+    expected = set()
+    for i, x in sets[0]:
+        scored = [(-len(x & y) / len(x | y), j) for j, y in sets[1] if x & y]
+        if scored:
+            expected.add((i, min(scored)[1], -min(scored)[0]))
+    left, right = (spark.createDataFrame(side, "id long, text string") for side in rows)
+    assert {tuple(r) for r in style.nearest(left, right, 2, scratch).collect()} == expected
+
+
 def test_votes_and_broad_agreement(spark):
     rows = spark.createDataFrame([("a", {"x": 3, "y": 2}), ("b", {"x": 4}), ("c", None), ("d", {"x": None})], "k string, v map<string,long>")
     assert sorted((r.k, r.total) for r in agreement.wrong_vote_totals(rows, "k", "v").collect()) == [("b", 4), ("d", 0)]
@@ -93,8 +110,6 @@ def test_documents_prompts_and_contents(spark, tmp_path):
 def test_digests_and_second_rounds(spark):
     df = spark.createDataFrame([("a", "0CC175B9C0F1B6A831C399E269772661"), ("b", None)], "k string, d string")
     assert [r.k for r in validators.digest_mismatches(df, "k", "d", F.md5(F.col("k").cast("binary"))).collect()] == ["b"]
-    found = spark.createDataFrame([(1, True, "confirm"), (2, False, "confirm"), (3, True, "unresolved")], "item int, unanimous boolean, decision string")
-    assert sorted(r.item for r in agreement.second_round(found).collect()) == [2, 3]
     votes = spark.createDataFrame([(1, c, True, 5) for c in "aaaab"] + [(2, c, False, 4) for c in "aaaaa"] + [(3, c, True, 5) for c in "aabbc"], "item int, choice string, ok boolean, conf int")
     decided = {r.item: (r.decision, r.votes) for r in agreement.panel_decisions(votes, "item", "choice", "ok", "conf").collect()}
     assert decided == {1: ("confirm", 4), 2: ("revise", 5), 3: ("unresolved", 2)}

@@ -158,9 +158,9 @@ def test_paired_models_rescoring_and_flags(spark):
     df = spark.createDataFrame(rows, "job_id string, method string, scenario_id string, model string, component_id string, gold string, prediction string").withColumn("severity", F.lit("none"))
     found = scoring.paired_models(df, "model", "A", "B").collect()
     assert [(r.scenario_id, r.left_prediction, r.right_prediction, r.agrees) for r in found] == [("s1", "ANSWER", "REFUSE", True)]
-    overlay = spark.createDataFrame([("s2", "ANSWER"), ("s1", None)], "scenario_id string, new_gold string")
-    changed = scoring.rescored(df, overlay, []).first()
-    assert (changed.accuracy_before, changed.accuracy_after, changed.accuracy_change) == (0.5, 0.25, -0.25)
+    overlay = spark.createDataFrame([("s2", "ANSWER", True), ("s1", None, False)], "scenario_id string, new_gold string, sure boolean")
+    changed = {r.subset: (r.n, r.accuracy_before, r.accuracy_after, r.accuracy_change) for r in scoring.rescored(df, overlay, []).collect()}
+    assert changed == {"all": (4, 0.5, 0.25, -0.25), "high_confidence": (1, 1.0, 0.0, -1.0)}
     shift = scoring.without_flagged(df, df.where("scenario_id = 's2'").select("scenario_id"), []).first()
     assert (shift.n_full, shift.n_kept) == (4, 3) and shift.accuracy_shift == 1 / 3 - 0.5
     metrics = scoring.long_metrics(scoring.score(df, []), [], ["accuracy", "macro_f1"])
