@@ -45,10 +45,10 @@ class Scratch:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as a table and return a reader of it."""
+    def save(self, df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+        """Write ``df`` as a table, in files of at most ``file_rows`` rows if given, and return a reader of it."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path  # noqa: SLF001
         return kept
