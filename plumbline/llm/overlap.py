@@ -50,8 +50,9 @@ SHARE, AT_LEAST = 0.2, 2
 #: Evaluation records of one automaton, whose nodes are the distinct pieces selected. A training
 #: text costs one walk through each automaton, so few large ones are cheaper than many small.
 SHARD = 12_000
-#: Training texts that one task scans at most with its shard's automaton.
-SLICE = 200_000
+#: Training texts that one task scans at most with its shard's automaton. Tasks go shard by shard and a worker
+#: keeps the last automaton it built, so short tasks do not build more of them.
+SLICE = 10_000
 #: Counters of how often pieces occur, and how many are in one row while they are added up.
 COUNTERS, ROW = 1 << 20, 1 << 15
 #: Partial sums that are added up in one task at a time.
@@ -205,6 +206,17 @@ class _Shard:
         return 5 * both >= 4 * (len(mine) + len(own) - both)
 
 
+_last: dict[tuple[str, int], _Shard] = {}
+
+
+def _shard(path: str, number: int) -> _Shard:
+    """A shard, from the worker's memory if it is the one used last."""
+    if (path, number) not in _last:
+        _last.clear()
+        _last[path, number] = _Shard(path, number)
+    return _last[path, number]
+
+
 def _scanning(shards: str, texts: str, train: str, ranges: list[tuple[int, int, int]], slices: int):
     """(a, b): linked pairs. Each input row is one shard against one slice of the texts."""
 
@@ -217,7 +229,7 @@ def _scanning(shards: str, texts: str, train: str, ranges: list[tuple[int, int,
             shard = None
             for part in parts[task % slices :: slices]:
                 for batch in part.to_batches(columns=["id", "text", "n_pieces"], filter=fits):
-                    shard = shard or (_Shard(shards, number) if batch.num_rows else None)
+                    shard = shard or (_shard(shards, number) if batch.num_rows else None)
                     left: list[np.ndarray] = []
                     right: list[int] = []
                     for record, text, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -273,7 +285,7 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
 
     distinct = rows.groupBy(F.col("__split").alias("split"), "digest").agg(F.first("text").alias("text"))
     distinct = distinct.select("split", "digest", "text", n_pieces_udf("text").alias("n_pieces"))
-    classes = scratch.save(distinct.withColumn("id", F.monotonically_increasing_id()), "texts")
+    classes = scratch.save(distinct.withColumn("id", F.monotonically_increasing_id()), "texts", SLICE)
     held, known = classes.where(F.col("split") == evaluation), classes.where(F.col("split") == train)
 
     spark = records.sparkSession
@@ -285,7 +297,6 @@ def split_overlap(records: DataFrame, id_column: str, dialogue: str, split: str,
     chosen = scratch.save(chosen, "shards")
     spans = chosen.groupBy("shard").agg(F.min("n_a").alias("lo"), F.max("n_a").alias("hi")).collect()
     ranges = sorted((s.shard, s.lo, s.hi) for s in spans)
-    # As many tasks as there are cores, more only if a slice would be too long: each builds its automaton.
     slices = max(-(-spark.sparkContext.defaultParallelism // shards), -(-sizes.get(train, 0) // SLICE))
     tasks = spark.range(0, len(ranges) * slices, 1, max(1, len(ranges) * slices))
     scan = _scanning(chosen._scratch_path, classes._scratch_path, train, ranges, slices)  # noqa: SLF001
