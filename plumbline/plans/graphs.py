@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text
 from plumbline.functions.canonical import canonical
 from plumbline.functions.labels import plain_label, sql_plain, sql_trimmed, sql_upper, upper_id
-from plumbline.operators import graph
+from plumbline.operators import graph, resplit
 from plumbline.scratch import Scratch
 from plumbline.sources.tables import table
 
@@ -195,6 +195,14 @@ def split_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("n_splits > 1")
 
 
+def component_resplit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heldout split of whole leakage components with a fifth of the rows: rows, rows that enter and leave, and components of both splits."""
+    rows = table(spark, sf_dir, "scenarios").select(upper_id("leakage_component_id").alias("component"), plain_label("split").alias("split"), "suite", F.col("label.primary_action").alias("gold"))
+    placed = resplit.resplit(rows, "component", "split", "suite", "gold", 0.2, int(SEED))
+    joined = rows.join(placed, "component")
+    return joined.groupBy("split_name").agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_components"), F.count_if(~F.col("split").eqNullSafe(F.col("split_name"))).alias("n_moved"))
+
+
 def _realized(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
     """Sizes of the components of blocks, families and all edges."""
     return graph.tagged_components([("all", records(spark, sf_dir), _BOTH, _between_records(spark, sf_dir))], "scenario_id", scratch)
@@ -308,6 +316,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         component_variants, threshold_sensitivity, component_top10, edge_statistics, block_pairs, bounded_clusters, cross_cluster_cover,
-        repair_candidates, repair_simulation, duplicate_dialogues, duplicate_report, stored_duplicates, review_packet, split_crossing, diversity_gates,
+        repair_candidates, repair_simulation, duplicate_dialogues, duplicate_report, stored_duplicates, review_packet, split_crossing, component_resplit, diversity_gates,
     )
 }
