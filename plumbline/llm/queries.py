@@ -16,7 +16,7 @@ from plumbline.llm.mixture import Mixture, mix
 from plumbline.llm.sentences import sentences
 from plumbline.llm.splits import assign_splits, broken_groups
 from plumbline.llm.tables import edge_type, plain_label, sql_trimmed, table, upper_id
-from plumbline.llm.tokens import encode
+from plumbline.llm.tokens import decoded_bytes, encode
 from plumbline.scratch import Scratch
 
 RELATING = ("leakage_component_id", "family_id")
@@ -125,6 +125,18 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(whole).select("split_name", "target_share", (F.col("n_scenarios") / F.col("n")).alias("actual_share"), "n_scenarios")
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each split whether its share is within a hundredth of the target; with all scenarios, and the relations the new splits tear apart."""
+    scratch = Scratch(spark)
+    placed, rows = scratch.save(p7_assigned(spark, sf_dir), "placed"), _related(spark, sf_dir).select("scenario_id", *RELATING)
+    ties = rows.join(placed, "scenario_id").select("split_name", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in RELATING])).alias("t")).where("t.v IS NOT NULL")
+    torn = ties.groupBy("t").agg(F.count_distinct("split_name").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_torn"))
+    counts, whole = placed.groupBy("split_name").agg(F.count("*").alias("n")), placed.agg(F.count("*").alias("n_scenarios"))
+    near = F.abs(F.coalesce("n", F.lit(0)) / F.col("n_scenarios") - F.col("target_share")) <= 0.01
+    found = table(spark, sf_dir, "split_targets").join(counts, "split_name", "left").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(torn))
+    return found.select("split_name", near.alias("near"), "n_scenarios", "n_torn")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -138,6 +150,14 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("n_documents"), F.sum(F.when(F.col("n") >= 0, F.col("n"))).alias("n_tokens"))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source: documents, null and empty lists, and the bytes the tokens stand for, which are those of the texts."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", plain_label("source").alias("source"))
+    sizes = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n"), decoded_bytes(spark)("ids").alias("b"))
+    found = sources.join(sizes, "doc_id").groupBy("source")
+    return found.agg(F.count("*").alias("n_documents"), F.count_if(F.col("n").isNull()).alias("n_null"), F.count_if(F.col("n") == 0).alias("n_empty"), F.sum("b").alias("n_bytes"))
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
     documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
     return mix(documents, targets, "doc_id", "text", "source", Scratch(spark))
@@ -153,6 +173,16 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source has its share within a hundredth or one document, keeps to its cap, and has as many rows in the mixture as reported; one without any copy has no share to check."""
+    found = _mixture(spark, sf_dir)
+    rows = found.rows.groupBy("source").agg(F.count("*").alias("k"), F.max("copy_no").alias("top"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("largest"))
+    whole = rows.agg(F.sum("t").alias("w"))
+    joined = found.report.join(rows, "source", "left").fillna(0, ["k", "top", "t", "largest"]).crossJoin(F.broadcast(whole))
+    near = (F.col("k") == 0) | (F.abs(F.col("t") - F.col("target_share") * F.col("w")) <= F.greatest(F.col("w") * 0.01, "largest"))
+    return joined.select("source", near.alias("near"), (F.col("top") <= F.col("max_repeats")).alias("capped"), ((F.col("k") == F.col("n_rows")) & (F.col("t") == F.col("n_tokens"))).alias("whole"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every sentence of every document ends."""
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "end_char")
@@ -207,6 +237,10 @@ SQL = {
     "p1_records": f"""WITH {_FORMATTED} SELECT DISTINCT group_id, n_copies FROM sized
 UNION ALL SELECT scenario_id, 1 FROM scenarios WHERE dialogue IS NULL OR len(dialogue) = 0""",
     "p7_found": f"WITH RECURSIVE {_RELATED} SELECT group_id, scenario_id FROM placed JOIN broken USING (root)",
+    "p7_checks": "SELECT split_name, true AS near, (SELECT count(DISTINCT scenario_id) FROM scenarios) AS n_scenarios, CAST(0 AS BIGINT) AS n_torn FROM split_targets",
+    "p8_checks": f"""SELECT lower({sql_trimmed("source")}) AS source, count(*) AS n_documents, count(*) FILTER (text IS NULL) AS n_null, count(*) FILTER (text = '') AS n_empty,
+  CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM documents GROUP BY 1""",
+    "p9_checks": f"SELECT lower({sql_trimmed('source')}) AS source, true AS near, true AS capped, true AS whole FROM mix_targets",
     "p5_found": f"WITH RECURSIVE {_EDGES} SELECT group_id, scenario_id FROM grouped",
     "p5_sizes": f"""WITH RECURSIVE {_EDGES}
 SELECT n_members, count(*) AS n_groups FROM (SELECT count(*) AS n_members FROM grouped GROUP BY group_id) GROUP BY n_members""",
@@ -225,10 +259,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_assigned": p7_assigned,
     "p7_report": p7_report,
+    "p7_checks": p7_checks,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
+    "p8_checks": p8_checks,
     "p9_mixture": p9_mixture,
     "p9_report": p9_report,
+    "p9_checks": p9_checks,
     "p10_found": p10_found,
     "p10_lengths": p10_lengths,
 }

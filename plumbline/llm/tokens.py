@@ -14,6 +14,7 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -211,3 +212,18 @@ def encode(texts: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", fo
     two = texts.select(F.col(key), F.col(text).alias("__text"))
     kind = two.schema[0].dataType.simpleString()
     return two.mapInArrow(encoding(texts.sparkSession, name, folder), f"`{key}` {kind}, ids array<int>")
+
+
+def decoded_bytes(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Callable:
+    """A pandas UDF: how many bytes the tokens of each list of ids stand for; null for null."""
+    ranks = shared_ranks(spark, name, folder)
+
+    @F.pandas_udf("long")
+    def count(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sizes = np.zeros(len(ranks.value), dtype=np.int64)
+        for token, number in ranks.value.items():
+            sizes[number] = len(token)
+        for ids in lists:
+            yield pd.Series([None if x is None else int(sizes[np.asarray(x, dtype=np.int64)].sum()) for x in ids], dtype="Int64")
+
+    return count
