@@ -68,6 +68,12 @@ def relation_edges(records: DataFrame, vertex: str, fields: Sequence[str]) -> Da
     return out
 
 
+def parent_edges(records: DataFrame, vertex: str, parent: str) -> DataFrame:
+    """Edges from every record to the one it names as its parent; null and empty names, and records of themselves, give none."""
+    found = records.where(F.col(parent).isNotNull() & (F.col(parent) != "") & (F.col(parent) != F.col(vertex)))
+    return found.select(F.col(vertex).alias("a"), F.col(parent).alias("b"))
+
+
 def size_summary(sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count, least, median, most, share of the largest, concentration and its inverse of group sizes (column n)."""
     rows, squares = F.sum("n"), F.sum(F.col("n") * F.col("n"))

@@ -170,9 +170,10 @@ def coverage_gaps(jobs: DataFrame, events: DataFrame, scenarios: DataFrame, samp
     return out
 
 
-def pending_jobs(jobs: DataFrame, events: DataFrame) -> DataFrame:
-    """Jobs still to run: those without any recorded first-generation event, failed ones included."""
-    return jobs.join(events.where("run_generation = 1").select("job_id").distinct(), "job_id", "left_anti")
+def pending_jobs(jobs: DataFrame, events: DataFrame, canary: int | None = None) -> DataFrame:
+    """Jobs still to run: those without any recorded first-generation event, failed ones included; with ``canary`` only the first so many by id."""
+    rest = jobs.join(events.where("run_generation = 1").select("job_id").distinct(), "job_id", "left_anti")
+    return rest if canary is None else rest.orderBy("job_id").limit(canary)
 
 
 def paired_models(scored: DataFrame, model: str, left: str, right: str) -> DataFrame:

@@ -251,7 +251,9 @@ def broken_dialogues(scenarios: DataFrame, asker: str = "customer") -> DataFrame
     return scenarios.select("scenario_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def with_prediction(rows: DataFrame, predictions: DataFrame, key: str, column: str = "prediction") -> DataFrame:
-    """Rows with the column replaced by that of ``predictions`` (key, column); rows without one keep theirs."""
-    new = predictions.select(key, F.col(column).alias("__new"))
-    return rows.join(new, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+def with_prediction(rows: DataFrame, predictions: DataFrame, key: str, column: str = "prediction", required: bool = False) -> DataFrame:
+    """Rows with the column replaced by that of ``predictions`` (key, column); rows without one keep theirs, or end the job if one is required."""
+    new = predictions.select(key, F.col(column).alias("__new"), F.lit(True).alias("__known"))
+    lacking = F.raise_error(F.concat(F.lit("no prediction for "), F.col(key).cast("string"))).cast(rows.schema[column].dataType)
+    kept = F.when(F.col("__known").isNull(), lacking).otherwise(F.col("__new")) if required else F.coalesce("__new", column)
+    return rows.join(new, key, "left").withColumn(column, kept).drop("__new", "__known")

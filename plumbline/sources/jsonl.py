@@ -30,14 +30,15 @@ def read_prompt(spark: SparkSession, path: str) -> str:
     return text
 
 
-def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of all files below a folder, paths relative to it.
+def file_digests(spark: SparkSession, folder: str, pattern: str = "*", without: str = r"(^|/)__pycache__/|\.pyc$") -> DataFrame:
+    """(path, bytes, sha256) of all files below a folder, paths relative to it, but for caches (paths that match ``without``).
 
     Files are read whole by one task each, as a digest needs.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     base = folder.split(":", 1)[-1].rstrip("/") + "/"
     path = F.substring_index(F.col("path"), base, -1)
+    files = files.where(~path.rlike(without))
     return files.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -122,6 +122,13 @@ def test_components_of_variants_and_without_vertices(spark, scratch):
     assert {k: sorted(v) for k, v in sizes.items()} == {"none": [1, 1, 1, 1], "field": [1, 1, 2], "all": [4], "kept": [1, 3]}
 
 
+def test_parents_and_relations_join_components(spark, scratch):
+    rows = spark.createDataFrame([("a", "x", None), ("b", None, "a"), ("c", None, "c"), ("d", None, ""), ("e", "y", "zz")], "id string, f string, parent string")
+    between = graph.relation_edges(rows, "id", ["f"]).unionAll(graph.parent_edges(rows, "id", "parent"))
+    found = {r.v: r.root for r in graph.components(rows.select(F.col("id").alias("v")), between, scratch).collect()}
+    assert found == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+
+
 def test_duplicate_summary(spark):
     rows = spark.createDataFrame([("t", "s", "A", 1), ("t", "s", "B", 1), ("t", "z", "A", 1), ("u", "s", "A", 2), (None, "s", "A", 3)], "t string, s string, gold string, block int")
     found = graph.duplicate_summary(rows, "t", "s", ["gold", "block"], "gold").first().asDict()

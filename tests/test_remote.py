@@ -55,6 +55,7 @@ def test_pending_jobs_skip_failed_ones(spark):
     jobs = spark.createDataFrame([("a",), ("b",), ("c",)], "job_id string")
     events = spark.createDataFrame([("a", 1), ("b", 2), (None, 1)], "job_id string, run_generation long")
     assert sorted(r.job_id for r in scoring.pending_jobs(jobs, events).collect()) == ["b", "c"]
+    assert [r.job_id for r in scoring.pending_jobs(jobs, events, canary=1).collect()] == ["b"]
 
 
 def test_nearest_and_markers(spark, scratch):

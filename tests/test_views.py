@@ -135,6 +135,8 @@ def test_profiles_predictions_and_leaks(spark):
     assert spark.range(1).select(changed.alias("p")).first().p.asDict() == {"b": 2, "c": 3}
     replaced = views.with_prediction(spark.createDataFrame([("k", "A"), ("l", "B")], "k string, prediction string"), spark.createDataFrame([("k", "C")], "k string, prediction string"), "k")
     assert {(r.k, r.prediction) for r in replaced.collect()} == {("k", "C"), ("l", "B")}
+    with pytest.raises(Exception, match="no prediction for l"):
+        views.with_prediction(spark.createDataFrame([("k", "A"), ("l", "B")], "k string, prediction string"), spark.createDataFrame([("k", "C")], "k string, prediction string"), "k", required=True).collect()
     df = spark.createDataFrame([(1, '{"a":[{"split":1}]}'), (2, '{"a":1}')], "id int, j string")
     assert [(r.id, r["keys"]) for r in views.leaks(df, "id", "j").collect()] == [(1, ["split"])]
     with pytest.raises(Exception, match="forbidden keys: split"):
