@@ -52,7 +52,7 @@ SHARE, AT_LEAST = 0.2, 2
 SHARD = 12_000
 #: Training texts that one task scans at most with its shard's automaton. Tasks go shard by shard and a worker
 #: keeps the last automaton it built, so short tasks do not build more of them.
-SLICE = 10_000
+SLICE = 40_000
 #: Counters of how often pieces occur, and how many are in one row while they are added up.
 COUNTERS, ROW = 1 << 20, 1 << 15
 #: Partial sums that are added up in one task at a time.
