@@ -91,16 +91,16 @@ def ordered(df):
 
 def test_cover_is_greedy_with_ties_to_the_least(spark, scratch):
     edges = spark.createDataFrame([("f1", "f2"), ("f1", "f3"), ("f4", "f5"), ("f6", "f6"), (None, "f1")], ENDS)
-    for most in (100, 0):
+    for most in (100, 1):
         assert ordered(graph.family_cover(edges, scratch, most)) == [("f1", 2), ("f4", 1), ("f6", 1)]
     assert graph.family_cover(edges.limit(0), scratch).count() == 0
 
 
-@pytest.mark.parametrize("most", [10_000, 25, 0])
+@pytest.mark.parametrize("most", [10_000, 12, 0])
 def test_cover_matches_a_plain_loop_in_one_task_and_in_rounds(spark, scratch, most):
     rng = random.Random(7)
-    names = [f"f{i:02d}" for i in range(30)]
-    edges = [(rng.choice(names), rng.choice(names)) for _ in range(140)] + [("f00", rng.choice(names)) for _ in range(40)]
+    names = [f"f{i:02d}" for i in range(14)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(36)] + [("f00", rng.choice(names)) for _ in range(12)]
     live, expected = list(edges), []
     while live:
         counts = {f: sum(f in e for e in live) for f in names}
