@@ -91,16 +91,28 @@ FILTER_BITS = 1 << 24
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def gram_hashes(text: str, n: int) -> np.ndarray:
-    """Two 64-bit hashes of each distinct run of ``n`` characters, one row each; none for a shorter text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    size = max(len(points) - n + 1, 0)
-    out = np.zeros((size, 2), dtype=np.uint64)
+def gram_hashes(texts: Sequence[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hashes): two 64-bit hashes of each distinct run of ``n`` characters of each text; none for null and shorter texts.
+
+    All texts are hashed as one, and runs that cross from one into the next left out.
+    """
+    points = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
+    lengths = np.array([len(p) for p in points], dtype=np.int64)
+    whole = np.concatenate([*points, np.zeros(0, dtype=np.uint32)]).astype(np.uint64)
+    size = max(len(whole) - n + 1, 0)
+    rows = np.repeat(np.arange(len(points)), lengths)[:size]
+    inside = np.arange(size) + n <= np.cumsum(lengths)[rows] if size else np.zeros(0, dtype=bool)
+    out = np.zeros((2, size), dtype=np.uint64)
     for i in range(n):
         for k, base in enumerate(_BASES):
-            out[:, k] = (out[:, k] + points[i : i + size] + np.uint64(1)) * np.uint64(base)
-            out[:, k] ^= out[:, k] >> np.uint64(31)
-    return np.unique(out, axis=0) if size else out
+            out[k] = (out[k] + whole[i : i + size] + np.uint64(1)) * np.uint64(base)
+            out[k] ^= out[k] >> np.uint64(31)
+    rows, out = rows[inside], out[:, inside]
+    order = np.lexsort((out[1], out[0], rows))
+    rows, out = rows[order], out[:, order]
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = (rows[1:] != rows[:-1]) | (out[:, 1:] != out[:, :-1]).any(axis=0)
+    return rows[fresh], out[:, fresh]
 
 
 def _hashed_grams(n: int, filter_words: object = None):
@@ -108,19 +120,15 @@ def _hashed_grams(n: int, filter_words: object = None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, parts = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                if text is None:
-                    continue
-                found = gram_hashes(text, n)
-                if filter_words is not None and len(found):
-                    slot = found[:, 0] % np.uint64(FILTER_BITS)
-                    found = found[(filter_words.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]
-                at.append(np.full(len(found), row))
-                parts.append(found)
-            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, 2), dtype=np.int64)
-            keys = batch.column(0).take(pa.array(np.concatenate(at) if at else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.ascontiguousarray(flat[:, 0])), pa.array(np.ascontiguousarray(flat[:, 1]))], names=[batch.schema.names[0], "h1", "h2"])
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                rows, found = gram_hashes(part.column(1).to_pylist(), n)
+                if filter_words is not None:
+                    slot = found[0] % np.uint64(FILTER_BITS)
+                    kept = (filter_words.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                    rows, found = rows[kept], found[:, kept]
+                h1, h2 = (pa.array(np.ascontiguousarray(h).view(np.int64)) for h in found)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), h1, h2], names=[batch.schema.names[0], "h1", "h2"])
 
     return run
 

@@ -32,8 +32,10 @@ def registry(found: DataFrame) -> DataFrame:
     """
     url = absolute_url(F.coalesce("url", F.lit("")))
     rows = found.withColumn("url", url).withColumn("key", F.coalesce(F.col("manuscript").cast("string"), "url"))
-    title, content = stripped_tags(F.coalesce("title", F.lit(""))), stripped_tags(F.coalesce("content", F.lit("")))
-    tags = categories(F.concat(title, F.lit("\n"), content), CATEGORIES)
+    # Stripped once, in a projection of its own, before every term is looked for in it.
+    rows = rows.withColumns({"title": stripped_tags(F.coalesce("title", F.lit(""))), "content": stripped_tags(F.coalesce("content", F.lit("")))})
+    rows = rows.withColumn("all", F.concat("title", F.lit("\n"), "content"))
+    title, content, tags = F.col("title"), F.col("content"), categories(F.col("all"), CATEGORIES)
     first = F.struct(
         title.alias("title"), "url", F.substring(F.coalesce(F.col("published").cast("string"), F.lit("")), 1, 10).alias("published_date"),
         F.sha2(content.cast("binary"), 256).alias("content_sha256"),

@@ -49,7 +49,7 @@ def test_shared_grams_match_plain_sets(spark):
     found = {(r.id, r.clause): r.shared for r in text.gram_overlap(left, "id", right, "clause", 4).collect()}
     assert found == expected and len(expected) >= 3
     assert text.gram_overlap(left, "id", right.limit(0), "clause", 4).count() == 0
-    assert len(text.gram_hashes("aaaaaa", 3)) == 1 and len(text.gram_hashes("ab", 3)) == 0
+    assert text.gram_hashes(["aaaaaa", None, "ab", "", "abcd", "a"], 3)[0].tolist() == [0, 4, 4] and len(text.gram_hashes([], 3)[0]) == 0
 
 
 @pytest.mark.parametrize(("path", "value", "found"), [
