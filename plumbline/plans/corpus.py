@@ -89,8 +89,7 @@ def clause_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios that share runs of 24 characters with rule commentary."""
     turns = _turns(spark, sf_dir).select("scenario_id", text.compacted("text").alias("text"))
     clauses = table(spark, sf_dir, "documents").where(plain_label("source") == "rule_commentary").select("doc_id", text.compacted("text").alias("text"))
-    found = text.gram_overlap(turns, "scenario_id", clauses, "doc_id", 24)
-    return found.groupBy("scenario_id").agg(F.count("*").alias("n_clauses"), F.max("shared").alias("most_shared"))
+    return text.overlap_counts(turns, "scenario_id", clauses, "doc_id", 24, Scratch(spark))
 
 
 def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
